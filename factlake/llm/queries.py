@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from factlake.llm.bpe import bpe_round_trip
 from factlake.llm.common import fresh_path, table
+from factlake.llm.lines import line_dedup
+from factlake.llm.quality import quality_scores
 from factlake.llm.token_counts import token_counts
 
 TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 1024
@@ -26,6 +28,43 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs, min_docs=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+OP3_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS position
+  FROM documents
+), keyed AS (
+  SELECT doc_id, line, position,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), hot AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+), marked AS (
+  SELECT keyed.*, hot.key IS NOT NULL AS dropped FROM keyed LEFT JOIN hot USING (key)
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
+       CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def held_out(id):
+    return F.coalesce(F.crc32(F.coalesce(id.cast("string"), F.lit(""))) % 3 == 1, F.lit(False))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"), usable=lambda id: ~held_out(id))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_round_trip(docs, tokenizer_path())
@@ -33,6 +72,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_line_dedup": op3_line_dedup,
+    "op8_quality": op8_quality,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
