@@ -11,6 +11,7 @@ from factlake.llm.bpe import bpe_round_trip
 from factlake.llm.common import fresh_path, table
 from factlake.llm.lines import line_dedup
 from factlake.llm.quality import quality_scores
+from factlake.llm.sharding import histogram_shards
 from factlake.llm.token_counts import token_counts
 
 TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 1024
@@ -55,6 +56,13 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the digest is taken before the exchange, so that the query's exchange carries no text
+    placed = histogram_shards(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")))), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def held_out(id):
     return F.coalesce(F.crc32(F.coalesce(id.cast("string"), F.lit(""))) % 3 == 1, F.lit(False))
 
@@ -73,6 +81,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op6_sharding": op6_sharding,
     "op8_quality": op8_quality,
     "op10_bpe": op10_bpe,
 }
