@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from factlake.llm.bpe import bpe_round_trip
 from factlake.llm.common import fresh_path, table
+from factlake.llm.fingerprints import edited_fingerprints
 from factlake.llm.lines import line_dedup
 from factlake.llm.quality import quality_scores
 from factlake.llm.sharding import histogram_shards
 from factlake.llm.token_counts import token_counts
+from factlake.llm.warc import warc_round_trip
 
 TOKENIZER, TOKEN_LIMIT = "byte_bpe_50k.json", 1024
 
@@ -73,6 +75,29 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc_round_trip(pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS largest FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN largest END AS refers_to
+FROM g
+"""
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edited_fingerprints(docs)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_round_trip(docs, tokenizer_path())
@@ -83,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op6_sharding": op6_sharding,
     "op8_quality": op8_quality,
+    "op7_warc": op7_warc,
+    "op9_fingerprints": op9_fingerprints,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_warc": OP7_SQL}
