@@ -9,11 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.common import free_name, row_key, stored
-
-#: Bits of the filter that tells which rows may have a copy: 1024 rows of 4 KB, at any input size.
-FILTER_BITS = 1 << 25
-
+from factlake.llm.common import free_name, maybe_in, row_key, stored
 
 def canonical(text: Column) -> Column:
     """NFKC, full case folding, NFKC again, and each run of Unicode white space one space, none at the ends."""
@@ -28,10 +24,6 @@ def wide_hash(canon: Column) -> Column:
     return F.concat(half(F.xxhash64(canon)), half(F.xxhash64(F.lit("wide"), canon)))
 
 
-def _bit(fingerprint: Column) -> Column:
-    return F.pmod(F.xxhash64(fingerprint), F.lit(FILTER_BITS))
-
-
 def collisions(rows: DataFrame, prints: DataFrame) -> DataFrame:
     """(print, canon, rank) for each canonical text but the least of a bucket that holds several.
 
@@ -39,11 +31,7 @@ def collisions(rows: DataFrame, prints: DataFrame) -> DataFrame:
     texts out of the exchange; copies meet within a task first, as least and greatest text.
     """
     shared = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
-    bits = shared.groupBy(F.bitmap_bucket_number(_bit(F.col("print"))).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit(F.col("print")))).alias("bits"))
-    position = F.bitmap_bit_position(_bit(F.col("print")))
-    byte = F.conv(F.hex(F.substring("bits", (position / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    maybe = rows.withColumn("part", F.bitmap_bucket_number(_bit(F.col("print")))).join(F.broadcast(bits), "part")
-    maybe = maybe.withColumn("byte", byte).withColumn("at", (position % 8).cast("int")).filter("(shiftright(byte, at) & 1) = 1")
+    maybe = maybe_in(rows, "print", shared)
     compared = maybe.groupBy("print").agg(F.min("canon").alias("least"), F.max("canon").alias("greatest")).filter("least <> greatest")
     several = maybe.join(compared.select("print"), "print", "left_semi").groupBy("print", "canon").agg(F.lit(1).alias("one"))
     return several.select("print", "canon", (F.dense_rank().over(Window.partitionBy("print").orderBy("canon")) - 1).alias("rank")).filter("rank > 0")

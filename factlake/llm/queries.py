@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factlake.llm.bpe import bpe_round_trip
 from factlake.llm.common import fresh_path, table
+from factlake.llm.decontaminate import contaminated
 from factlake.llm.fingerprints import edited_fingerprints
 from factlake.llm.lines import line_dedup
 from factlake.llm.quality import quality_scores
@@ -58,6 +59,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # the digest is taken before the exchange, so that the query's exchange carries no text
@@ -106,6 +112,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op6_sharding": op6_sharding,
     "op8_quality": op8_quality,
     "op7_warc": op7_warc,
