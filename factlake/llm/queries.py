@@ -12,6 +12,7 @@ from factlake.llm.common import fresh_path, table
 from factlake.llm.decontaminate import contaminated
 from factlake.llm.fingerprints import edited_fingerprints
 from factlake.llm.lines import line_dedup
+from factlake.llm.near import near_duplicates
 from factlake.llm.quality import quality_scores
 from factlake.llm.sharding import histogram_shards
 from factlake.llm.token_counts import token_counts
@@ -64,6 +65,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # the digest is taken before the exchange, so that the query's exchange carries no text
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_sharding": op6_sharding,
     "op8_quality": op8_quality,
     "op7_warc": op7_warc,
