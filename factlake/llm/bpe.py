@@ -15,9 +15,10 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 # The printable characters that stand for themselves in the byte alphabet of the
@@ -253,6 +254,12 @@ def n_ids(ids: str) -> int:
     return ids.count(",") + 1 if ids else 0
 
 
+def id_lists(encoded: list[str]) -> pa.Array:
+    joined = ",".join(filter(None, encoded))
+    values = pc.split_pattern(pa.array([joined]), ",").values.cast(pa.int32()) if joined else pa.array([], pa.int32())
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(n_ids, encoded))], pa.int32()), values)
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     """One encoder for each worker process; what it has learnt serves later tasks too."""
@@ -299,7 +306,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: boo
                     pa.array(map(n_ids, encoded), pa.int64()),
                     pa.array([sha(x.encode()) for x in encoded], pa.string()),
                     pa.array([sha(bpe.decode(x).encode()) for x in encoded], pa.string()),
-                ] + ([pa.array([[int(i) for i in x.split(",") if i] for x in encoded], pa.list_(pa.int32()))] if ids else [])
+                ] + ([id_lists(encoded)] if ids else [])
                 yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:-1]] + values, names=[*kept, *results])
 
     return docs.select(*kept, docs[text]).mapInArrow(run, schema)
