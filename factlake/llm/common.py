@@ -49,19 +49,19 @@ def row_key(*columns: str):
 FILTER_BITS = 1 << 25
 
 
-def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, inverse: bool = False) -> DataFrame:
     """The ``rows`` whose ``key`` may be one of ``wanted``'s.
 
     A filter before an exact join: no wanted row is lost, and most others stay out of the
     exchange. What is broadcast has 4 MB at most; where very many keys are wanted it lets more
-    through.
+    through. ``inverse``: all other rows.
     """
     bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     part, position = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
     bits = wanted.select(key).groupBy(part.alias("part")).agg(F.bitmap_construct_agg(position).alias("bits"))
     byte = F.conv(F.hex(F.substring("bits", (position / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    held = rows.withColumn("part", part).join(F.broadcast(bits), "part").withColumn("byte", byte).withColumn("at", (position % 8).cast("int"))
-    return held.filter("(shiftright(byte, at) & 1) = 1").drop("part", "bits", "byte", "at")
+    held = rows.withColumn("part", part).join(F.broadcast(bits), "part", "left" if inverse else "inner").withColumn("byte", byte).withColumn("at", (position % 8).cast("int"))
+    return held.filter("coalesce(shiftright(byte, at) & 1, 0) = " + ("0" if inverse else "1")).drop("part", "bits", "byte", "at")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -15,6 +15,7 @@ from factlake.llm.lines import line_dedup
 from factlake.llm.near import near_duplicates
 from factlake.llm.quality import quality_scores
 from factlake.llm.sharding import histogram_shards
+from factlake.llm.substrings import substring_dedup
 from factlake.llm.token_counts import token_counts
 from factlake.llm.warc import warc_round_trip
 
@@ -33,6 +34,36 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs, window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM words WHERE len(w) >= 13)
+), least AS (
+  SELECT g, min(doc_id) AS m FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p
+  FROM (SELECT windows.doc_id, i, unnest(generate_series(0, 12)) AS k FROM windows JOIN least USING (g) WHERE m < windows.doc_id)
+), gone_by AS (
+  SELECT doc_id, list(p) AS p FROM gone GROUP BY doc_id
+), flat AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words
+), kept AS (
+  SELECT flat.doc_id, string_agg(word, ' ' ORDER BY flat.i) AS t
+  FROM flat LEFT JOIN gone ON gone.doc_id = flat.doc_id AND gone.p = flat.i WHERE gone.p IS NULL GROUP BY flat.doc_id
+)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+       CAST(coalesce(len(gone_by.p), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM words LEFT JOIN gone_by USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_docs=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -117,6 +148,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_near_duplicates": op5_near_duplicates,
@@ -126,4 +158,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op7_warc": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op7_warc": OP7_SQL}
