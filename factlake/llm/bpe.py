@@ -29,7 +29,7 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LOW_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _LOW_NUMBERS = "0-9²³¹¼-¾"
 _LOW_SPACE = "\t-\r \x85\xa0"
-_SPACE = _LOW_SPACE + "  -     　"
+_SPACE = _LOW_SPACE + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _byte_of_char() -> dict[str, int]:
