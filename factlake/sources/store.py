@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.functions.classify import Policy
+from factlake.model import HISTORY
 from factlake.plans.compile import Facts
 
 LAYOUT = 1
-TABLES = ("history", "nodes", "volatile")
 
 
 @dataclass
@@ -40,4 +40,5 @@ class FactStore:
 
     def open(self, policy: Policy = Policy()) -> Facts:
         at = f"{self.root}/{self.version()}"
-        return Facts(*(self.spark.read.parquet(f"{at}/{t}") for t in TABLES), policy=policy)
+        history = self.spark.read.schema(HISTORY).parquet(f"{at}/history")
+        return Facts(history, self.spark.read.parquet(f"{at}/nodes"), self.spark.read.parquet(f"{at}/volatile"), policy)
