@@ -56,12 +56,13 @@ def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, inverse: bool = False
     exchange. What is broadcast has 4 MB at most; where very many keys are wanted it lets more
     through. ``inverse``: all other rows.
     """
+    part, bits, byte, at = (free_name(rows, c) for c in ("part", "bits", "byte", "at"))
     bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    part, position = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
-    bits = wanted.select(key).groupBy(part.alias("part")).agg(F.bitmap_construct_agg(position).alias("bits"))
-    byte = F.conv(F.hex(F.substring("bits", (position / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    held = rows.withColumn("part", part).join(F.broadcast(bits), "part", "left" if inverse else "inner").withColumn("byte", byte).withColumn("at", (position % 8).cast("int"))
-    return held.filter("coalesce(shiftright(byte, at) & 1, 0) = " + ("0" if inverse else "1")).drop("part", "bits", "byte", "at")
+    which, position = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+    filters = wanted.select(key).groupBy(which.alias(part)).agg(F.bitmap_construct_agg(position).alias(bits))
+    held = rows.withColumn(part, which).join(F.broadcast(filters), part, "left" if inverse else "inner")
+    held = held.withColumn(byte, F.conv(F.hex(F.substring(bits, (position / 8).cast("int") + 1, 1)), 16, 10).cast("int")).withColumn(at, (position % 8).cast("int"))
+    return held.filter(f"coalesce(shiftright({byte}, {at}) & 1, 0) = {0 if inverse else 1}").drop(part, bits, byte, at)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

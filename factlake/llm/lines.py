@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from factlake.llm.common import row_key, stored
+from factlake.llm.common import free_name, row_key, stored
 
 _STRIP = b" \t\n\x0b\x0c\r"
 LINES = "h1 long, h2 long, row long, position int"
@@ -71,7 +71,7 @@ def _streamed(min_docs: int):
             # lines that differ from both neighbours are decided at once, unless at an edge
             same = np.zeros(len(h1) + 1, bool)
             same[1:-1] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-            alone = ~same[:-1] & ~same[1:]
+            alone = ~same[:-1] & ~same[1:] & (min_docs > 1)
             if len(alone):
                 alone[[0, -1]] = False
             for i in np.flatnonzero(~alone):
@@ -143,9 +143,10 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", min_docs
     (before), ``n_dropped`` and ``kept_sha256``. A text that loses all lines is empty; a null
     text stays null with one line and the digest of the empty string."""
     results = {"n_lines": LongType(), "n_dropped": LongType(), "kept_sha256": StringType()}
-    bitmaps = line_keep_bitmaps(docs, text, id, min_docs, min_chars)
+    row, covered, keep = (free_name(docs, c) for c in ("row", "covered", "keep"))
+    bitmaps = line_keep_bitmaps(docs, text, id, min_docs, min_chars).select(F.col("row").alias(row), F.col("covered").alias(covered), F.col("keep").alias(keep))
     kept = [c for c in docs.columns if c not in results]
-    joined = docs.select(*kept, row_key(id, text).alias("row")).join(bitmaps, "row", "left").select(*kept, "covered", "keep")
+    joined = docs.select(*kept, row_key(id, text).alias(row)).join(bitmaps, row, "left").select(*kept, covered, keep)
     schema = StructType([docs.schema[c] for c in kept])
     for name, kind in results.items():
         schema = schema.add(name, kind)

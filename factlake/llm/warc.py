@@ -132,7 +132,7 @@ def write_archive(out, records: list[bytes], more: Iterator[bytes], dictionary_b
 
 def read_archive(source, chunk: int = 65_536) -> Iterator[bytes]:
     """Each frame's content, decoded as a stream; a torn file is an error."""
-    dictionary, data = None, source.read(chunk)
+    dictionary, data = None, source.read(max(8, chunk))
     if len(data) >= 8 and struct.unpack("<I", data[:4])[0] == DICTIONARY_FRAME:
         size = struct.unpack("<I", data[4:8])[0]
         while len(data) < 8 + size:
