@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factlake.model import Settings
 
+#: Turned away before they are read: no sign of life.
+UNREAD = ("no-client-cert", "rate-limited", "backpressure")
 STATUS = {"applied": 200, "skewed": 409, "stale": 409, "deactivated": 403}
 
 
@@ -55,11 +57,11 @@ def node_table(outcomes: DataFrame) -> DataFrame:
     """(certname, first_seen, last_seen, last_producer_ts, deactivated, expired) by node.
 
     A node exists from its first applied push. Later rejects are contacts too, but for those
-    that are turned away before they are read (without an identity).
+    that are turned away before they are read or come after a deactivation.
     """
     ok = F.col("outcome") == "applied"
     first = F.min(F.when(ok, F.col("seq"))).over(Window.partitionBy("certname"))
-    contact = ok | ((F.col("outcome") != "no-client-cert") & (F.col("outcome") != "deactivated") & (F.col("seq") > F.col("first_seq")))
+    contact = ok | (~F.col("outcome").isin(*UNREAD, "deactivated") & (F.col("seq") > F.col("first_seq")))
     none = F.lit(None).cast("timestamp_ntz")
     nodes = outcomes.select("certname", "seq", "received_at", "producer_ts", "outcome").withColumn("first_seq", first).filter(F.col("first_seq").isNotNull())
     return nodes.groupBy("certname").agg(

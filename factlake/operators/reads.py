@@ -78,3 +78,10 @@ def register_views(history: DataFrame, nodes: DataFrame, volatile: DataFrame) ->
         f"SELECT {names}, valid_from >= t1 AND valid_from < t2, NOT is_open AND valid_to >= t1 AND valid_to < t2 FROM fact_history "
         "WHERE certname = node AND ((valid_from >= t1 AND valid_from < t2) OR (NOT is_open AND valid_to >= t1 AND valid_to < t2))"
     )
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(body): each row as a JSON object whose facts are JSON themselves, with no literal rewritten."""
+    quoted = [F.concat(F.lit(f'"{c}":'), F.col(c) if c == "value" else F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)) for c in rows.columns]
+    present = [F.when(F.col(c).isNotNull(), q) for c, q in zip(rows.columns, quoted)]
+    return rows.select(F.concat(F.lit("{"), F.concat_ws(",", *present), F.lit("}")).alias("body"))

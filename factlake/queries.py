@@ -269,34 +269,30 @@ def expire_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir).select("certname", "last_seen", "expired")
 
 
-_SEALED = "certname LIKE '%5'"
-
-
 @registered(
-    _FACTS + f""", latest AS (SELECT certname, max(valid_from) AS m FROM history WHERE is_open AND {_SEALED} GROUP BY certname),
+    _ALL + f""", latest AS (SELECT certname, max(valid_from) AS m FROM history JOIN nodes USING (certname) WHERE is_open AND expired IS NOT NULL GROUP BY certname),
 seals AS (SELECT certname, greatest(TIMESTAMP '{AT}', m + INTERVAL 1 MICROSECOND) AS seal FROM latest)
 SELECT history.certname, path, value, valid_from, coalesce(valid_to, seal) AS valid_to, is_open AND seal IS NULL AS is_open,
        coalesce(ended_by, CASE WHEN seal IS NOT NULL THEN 'seal' END) AS ended_by FROM history LEFT JOIN seals USING (certname)"""
 )
 def deactivate_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = ingest.node_table(_outcomes(spark, sf_dir))
-    _, sealed = lifecycle.deactivate(nodes, _history(spark, sf_dir), nodes.filter(_SEALED), AT)
+    """The nodes that have gone silent are sunset for good."""
+    nodes = _nodes(spark, sf_dir)
+    _, sealed = lifecycle.deactivate(nodes, _history(spark, sf_dir), nodes.filter("expired IS NOT NULL"), AT)
     return sealed.select("certname", "path", "value", "valid_from", F.when(~F.col("is_open"), F.col("valid_to")).alias("valid_to"), "is_open", "ended_by")
 
 
 def _reset_events(pushes: DataFrame) -> DataFrame:
-    """A reset halfway for every fifth node."""
-    ids = F.substring("certname", 2, 20).cast("long")
+    """A reset of each node, halfway through its pushes."""
     halfway = F.floor((F.min("seq") + F.max("seq")) / 2).cast("long")
-    return pushes.filter(ids % 5 == 0).groupBy("certname").agg(halfway.alias("seq"), F.max("received_at").alias("at")).select("certname", "seq", F.lit("reset").alias("kind"), "at")
+    return pushes.groupBy("certname").agg(halfway.alias("seq"), F.max("received_at").alias("at")).select("certname", "seq", F.lit("reset").alias("kind"), "at")
 
 
 @registered()
 def reset_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of the nodes whose watermark was reset, by the sequential path."""
+    """Changes and rejects of nodes whose watermark is reset, by the sequential path."""
     pushes = event_pushes(table(spark, sf_dir, "events"))
-    resets = _reset_events(pushes)
-    changes = lifecycle.sequential_changes(pushes.join(resets.select("certname"), "certname", "left_semi"), resets)
+    changes = lifecycle.sequential_changes(pushes, _reset_events(pushes))
     return changes.select("certname", "seq", "ts", "change", "path", "value")
 
 

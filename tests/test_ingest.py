@@ -132,6 +132,20 @@ def test_sql_views(spark):
     assert spark.sql("SELECT * FROM node_diff('n', TIMESTAMP_NTZ '2026-01-01 11:00:00', TIMESTAMP_NTZ '2026-01-01 12:00:00')").count() == 2
 
 
+def test_json_keeps_literals(spark):
+    _, history, _ = play(spark, [("n", t1, '{"k":1.00,"s":"a\\"b"}', "clean")])
+    found = [r.body for r in reads.as_json(reads.node_facts(history, "n").select("path", "value", "is_open")).collect()]
+    assert found == ['{"path":"k","value":1.00,"is_open":true}', '{"path":"s","value":"a\\"b","is_open":true}']
+
+
+def test_rejects_before_reading_are_no_contact(spark):
+    given = pushes(spark, [("n", t1, '{"k":1}', "clean"), ("n", t2, '{"k":1}', "clean"), ("n", t3, '{"k":1}', "clean")])
+    limited = given.withColumn("reason", F.when(F.col("seq") == 2, "rate-limited")).withColumn("status", F.when(F.col("seq") == 2, 429))
+    outcomes = ingest.push_outcomes(plan_pushes(limited))
+    assert [(r.outcome, r.status) for r in outcomes.orderBy("seq").collect()] == [("applied", 200), ("applied", 200), ("rate-limited", 429)]
+    assert ingest.node_table(outcomes).first().last_seen == t2
+
+
 def test_deactivation_seals(spark):
     outcomes, history, _ = play(spark, [("n", t1, '{"os":"A"}', "clean"), ("m", t1, '{"os":"A"}', "clean")])
     nodes = ingest.node_table(outcomes)
