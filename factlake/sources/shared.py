@@ -1,7 +1,8 @@
-"""Folders that the driver and all executors see."""
+"""What the driver and all executors share: folders, and this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -21,3 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package where the driver found it. On a cluster where it
+    lies elsewhere it is shipped as usual (``--py-files``), and this changes nothing."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
