@@ -44,6 +44,20 @@ class WaveletMatrix:
         return self._down(symbol, i) - self.first[symbol]
 
 
+#: Searches begin with so many words at once, from a table of what the index holds.
+TABLE = 8
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _gram(symbols: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` symbols from each position on."""
+    h = np.zeros(len(at), np.uint64)
+    for d in range(length):
+        h = (h ^ symbols[at + d].astype(np.uint64)) * _MIX[0]
+        h = (h ^ (h >> np.uint64(32))) * _MIX[1]
+    return h
+
+
 class FmIndex:
     """Over several word sequences; finds the longest match of up to ``depth`` words.
 
@@ -61,13 +75,23 @@ class FmIndex:
         inside[ends] = False
         text[inside] = ids + 1  # 0 ends a sequence
         self.sequence = np.repeat(np.arange(len(lengths)), lengths + 1)
-        rank, h = text, 1
-        while h < depth:
-            after = np.zeros(n, np.int64)
-            after[:-h] = rank[h:]
-            rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + after, return_inverse=True)[1]
-            h *= 2
-        self.suffixes = np.argsort(rank, kind="stable")
+        # ranks by the first h words; as many neighbours' ranks as fit into 63 bits give the next
+        key, h = text, 1
+        while True:
+            bits = max(1, int(key.max(initial=0)).bit_length())
+            take = min(63 // bits, -(-depth // h))
+            wide = np.zeros(n, np.int64)
+            for k in range(take):
+                wide <<= bits
+                wide[: max(0, n - k * h)] |= key[k * h :]
+            h *= take
+            self.suffixes = np.argsort(wide)
+            if h >= depth:
+                break
+            ordered = wide[self.suffixes]
+            key = np.empty(n, np.int64)
+            key[self.suffixes] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
+        self.table = min(TABLE, depth - 1)
         same = np.ones(max(0, n - 1), bool)
         self.common = np.zeros(n, np.int8)
         padded = np.concatenate([text, np.zeros(depth, np.int64)])
@@ -80,6 +104,11 @@ class FmIndex:
         self.tree = WaveletMatrix(text[self.suffixes - 1], sigma)
         self.n = n
         self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        begin = np.flatnonzero(self.common < self.table)
+        grams = _gram(padded, self.suffixes[begin], self.table)
+        order = np.argsort(grams)
+        self.grams, self.gram_begin = grams[order], begin[order]
+        self.gram_end = np.append(begin[1:], n)[order]
 
     def group(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """For each suffix: where those that share its first ``length`` words begin and end."""
@@ -102,7 +131,9 @@ class FmIndex:
         there (``depth`` at most) and the first suffix of its interval.
 
         All sequences go backward side by side. A match that can't be extended to the left is
-        first cut on the right, to its parent interval, word by word.
+        first cut on the right, to its parent interval, word by word. A sequence whose last
+        words are in the table starts before them; those then match up to its end, and have no
+        interval (-1).
         """
         symbol = self.symbols(words)
         found, where = np.zeros(len(words), np.int8), np.zeros(len(words), np.int64)
@@ -111,8 +142,20 @@ class FmIndex:
         low, high = np.zeros(len(lengths), np.int64), np.full(len(lengths), self.n, np.int64)
         size = np.zeros(len(lengths), np.int64)
         sorted_lengths = -lengths[order]
+        skip = np.zeros(len(lengths), bool)
+        able = np.flatnonzero(lengths >= self.table) if self.table else np.zeros(0, np.int64)
+        if len(able):
+            grams = _gram(symbol, ends[able] - self.table, self.table)
+            at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+            hit = self.grams[at] == grams
+            able, at = able[hit], at[hit]
+            skip[able], low[able], high[able], size[able] = True, self.gram_begin[at], self.gram_end[at], self.table
+            for d in range(self.table):
+                found[ends[able] - 1 - d], where[ends[able] - 1 - d] = d + 1, -1
         for step in range(int(lengths.max(initial=0))):
             lanes = order[: np.searchsorted(sorted_lengths, -step, side="left")]
+            if step < self.table:
+                lanes = lanes[~skip[lanes]]
             at = ends[lanes] - 1 - step
             size[lanes] = np.where(symbol[at] < 0, 0, size[lanes])
             self._cut(lanes[size[lanes] == self.depth], low, high, size)

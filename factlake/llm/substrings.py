@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ FILTER_BITS, FILTER_KEYS, HOT = 1 << 26, 1 << 24, 2000
 
 
 class Anchored:
-    """Words of documents and their windows' anchors.
+    """Words of documents and their windows' anchors, for many documents at once.
 
     A window's anchor is one of its word triples: that with the longest words, then the least
     hash. Equal windows have equal anchors, so windows need only be sought among those of their
@@ -32,46 +33,57 @@ class Anchored:
     def __init__(self, window: int, max_words: int = 500_000) -> None:
         self.window, self.max_words, self.known = window, max_words, {}
 
-    def words(self, text: str) -> np.ndarray:
-        """56 bits of each word's hash, then 8 of its length; words are what stands between
-        space, tab, line feed, vertical tab, form feed and carriage return."""
-        words = text.encode().split()
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, number of words of each text). A word is 56 bits of its hash, then 8 of its
+        length; words are what stands between space, tab, line feed, vertical tab, form feed
+        and carriage return."""
+        split = [t.encode().split() for t in texts]
+        sizes = np.array(list(map(len, split)), np.int64)
+        words = list(chain.from_iterable(split))
         if len(self.known) > self.max_words:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w) >> 8 << 8 | min(255, len(w))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), sizes
 
-    def runs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, first window, windows) of each run."""
+    def runs(self, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, document, first word, windows) of each run of windows within a document."""
         n = len(words) - self.window + 1
         if n < 1:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
         gram = min(GRAM, self.window)
         m = len(words) - gram + 1
         h, size = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
         for i in range(gram):
             h = _mix(h + _MIX[0]) ^ words[i : i + m]
             size += words[i : i + m] & np.uint64(255)
-        h = _mix(h)
-        first = ((np.uint64(255) - np.minimum(size, np.uint64(255))) << np.uint64(56)) | (h >> np.uint64(8))
-        at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(first, self.window - gram + 1).argmin(axis=1)
-        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        return h[at[starts]], starts, np.diff(np.append(starts, n))
+        least = ((np.uint64(255) - np.minimum(size, np.uint64(255))) << np.uint64(56)) | (_mix(h) >> np.uint64(8))
+        width, over = 1, self.window - gram + 1
+        while width < over:  # minima of twice the width, and at last of the whole window
+            step = min(width, over - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        inside = doc[:n] == doc[self.window - 1 :]
+        starts = np.flatnonzero(inside & np.concatenate(([True], (least[1:] != least[:-1]) | (doc[1:n] != doc[: n - 1]))))
+        # windows that cross into the next document end a run too
+        after = np.cumsum(np.concatenate(([0], inside)))
+        ends = np.append(starts[1:], n)
+        return least[starts], doc[starts], starts, after[ends] - after[starts]
 
 
 def _anchors(window: int):
     def run(batches):
         tool = Anchored(window)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                ids, found = [], [np.zeros(0, np.uint64)]
-                for id, text in zip(*(c.slice(a, 500).to_pylist() for c in batch.columns)):
-                    x = np.unique(tool.runs(tool.words(text))[0])
-                    ids.extend([id] * len(x))
-                    found.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids, pa.int64())], names=["anchor", "id"])
+            for a in range(0, batch.num_rows, 300):
+                ids, texts = (batch.column(c).slice(a, 300) for c in (0, 1))
+                anchor, doc, _, _ = tool.runs(*tool.words(texts.to_pylist()))
+                order = np.lexsort((anchor, doc))
+                anchor, doc = anchor[order], doc[order]
+                new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), ids.take(pa.array(doc[new]))], names=["anchor", "id"])
 
     return run
 
@@ -87,11 +99,31 @@ class Wanted:
         at = (anchors & np.uint64(FILTER_BITS - 1)).astype(np.int64)
         return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-    def __call__(self, anchors: np.ndarray, lists) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, anchors: np.ndarray, doc: np.ndarray, lists) -> tuple[np.ndarray, np.ndarray]:
+        """Of each anchor of each document: is it shared, is it hot."""
         if lists is None:
             return self._in(self.shared, anchors), self._in(self.hot, anchors)
-        shared, hot = (np.array(x or [], np.int64).view(np.uint64) for x in lists)
-        return np.isin(anchors, shared), np.isin(anchors, hot)
+        out = []
+        for column in lists:
+            hit = np.zeros(len(anchors), bool)
+            for d, wanted in enumerate(column):
+                if wanted:
+                    own = slice(*np.searchsorted(doc, [d, d + 1]))
+                    hit[own] = np.isin(anchors[own], np.array(wanted, np.int64).view(np.uint64))
+            out.append(hit)
+        return out[0], out[1]
+
+
+#: An odd base of a polynomial hash modulo 2**64, and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
 
 
 def _passages(window: int, filters, with_words: bool):
@@ -102,33 +134,32 @@ def _passages(window: int, filters, with_words: bool):
         tool, wanted = Anchored(window), Wanted(*filters.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 300):
-                keys, contents, rows, ids, starts, blobs = [], [], [], [], [], []
-                columns = [c.slice(a, 300).to_pylist() for c in batch.columns]
-                lists = zip(columns[3], columns[4]) if len(columns) > 3 else [None] * len(columns[0])
-                for row, id, text, own in zip(*columns[:3], lists):
-                    words = tool.words(text)
-                    anchor, first, count = tool.runs(words)
-                    if not len(anchor):
-                        continue
-                    shared, hot = wanted(anchor, own)
-                    packed = (words >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
-                    for i in np.flatnonzero(shared).tolist():
-                        begin, n = int(first[i]), int(count[i])
-                        pieces = [(begin, n)] if not hot[i] else [(begin + k, 1) for k in range(n)]
-                        for at, windows in pieces:
-                            blob = packed[WORD_BYTES * at : WORD_BYTES * (at + windows + window - 1)]
-                            content = xxhash.xxh3_64_intdigest(blob)
-                            keys.append(int(anchor[i]) if not hot[i] else content)
-                            contents.append(content)
-                            rows.append(row)
-                            ids.append(id)
-                            starts.append(at)
-                            blobs.append(blob)
-                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                part = batch.slice(a, 300)
+                lists = [part.column(i).to_pylist() for i in (3, 4)] if part.num_columns > 3 else None
+                words, sizes = tool.words(part.column(2).to_pylist())
+                anchor, doc, start, count = tool.runs(words, sizes)
+                shared, hot = wanted(anchor, doc, lists)
+                anchor, doc, start, count, hot = (x[shared] for x in (anchor, doc, start, count, hot))
+                pieces = np.where(hot, count, 1)
+                nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                anchor, doc, hot = (np.repeat(x, pieces) for x in (anchor, doc, hot))
+                start = np.repeat(start, pieces) + nth
+                count = np.where(hot, 1, np.repeat(count, pieces))
+                length = count + window - 1
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((words >> np.uint64(16)) * _powers(_BASE, len(words)))])
+                content = _mix((sums[start + length] - sums[start]) * _powers(_INVERSE, len(words) + 1)[start] + length.astype(np.uint64))
+                key = np.where(hot, content, anchor)
+                at = pa.array(doc)
+                hashes = [pa.array(key.view(np.int64)), pa.array(content.view(np.int64))]
                 if with_words:
-                    yield pa.RecordBatch.from_arrays([signed(keys), signed(contents), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "content", "id", "words"])
+                    packed = (words >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+                    index = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length - start, length)
+                    ends = np.concatenate([[0], np.cumsum(length * WORD_BYTES)]).astype(np.int32)
+                    blobs = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(packed[index]))])
+                    yield pa.RecordBatch.from_arrays([*hashes, part.column(1).take(at), blobs], names=["key", "content", "id", "words"])
                 else:
-                    yield pa.RecordBatch.from_arrays([signed(keys), signed(contents), pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], names=["key", "content", "row", "id", "start"])
+                    first = np.cumsum(sizes) - sizes
+                    yield pa.RecordBatch.from_arrays([*hashes, part.column(0).take(at), part.column(1).take(at), pa.array((start - first[doc]).astype(np.int32))], names=["key", "content", "row", "id", "start"])
 
     return run
 
@@ -230,12 +261,12 @@ def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", id: s
     results = {"n_words": LongType(), "n_removed": LongType(), "kept_sha256": StringType()}
     removed = stored(removed_windows(docs, window, text, id, **options), "removed-windows")
     kept = [c for c in docs.columns if c not in results]
-    row, hit = free_name(docs, "row"), free_name(docs, "hit")
+    row, starts = free_name(docs, "row"), free_name(docs, "starts")
     keyed = docs.select(*kept, row_key(id, text).alias(row))
-    wanted = removed.withColumnRenamed("row", row)
+    wanted = removed.select(F.col("row").alias(row), F.col("starts").alias(starts))
     # documents that lose nothing stay where they are; the filter tells them, all but a few
-    touched = maybe_in(keyed, row, wanted).join(wanted, row, "left").select(*kept, "starts")
-    whole = maybe_in(keyed, row, wanted, inverse=True).select(*kept, F.lit(None).cast("array<int>").alias("starts"))
+    touched = maybe_in(keyed, row, wanted).join(wanted, row, "left").select(*kept, starts)
+    whole = maybe_in(keyed, row, wanted, inverse=True).select(*kept, F.lit(None).cast("array<int>").alias(starts))
     schema = StructType([docs.schema[c] for c in kept])
     for name, kind in results.items():
         schema = schema.add(name, kind)
