@@ -181,7 +181,7 @@ def least_ids(contents: list[bytes], ids: np.ndarray, window: int) -> list[np.nd
     return [part[: 1 - window] for part in np.split(out, np.cumsum(lengths)[:-1])]
 
 
-def _searched(window: int, shard_words: int = 1_500_000):
+def _searched(window: int, shard_words: int = 200_000):
     """A partition's shards: rows come sorted by key, and a shard ends between two keys."""
 
     def run(batches):
