@@ -89,7 +89,8 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id")
     base = docs.select(row_key(id, text).alias("row"), F.coalesce(text, F.lit("")).alias("own"))
     heads = base.withColumnRenamed("row", "next_row").join(linked.select(F.col("next.row").alias("next_row"), "cut", F.col("row").alias("to")), "next_row")
     heads = heads.select(F.col("to").alias("row"), F.substring("own", F.lit(1), F.col("cut")).alias("head")).groupBy("row").agg(F.first("head").alias("head"))
-    kept = [c for c in docs.columns if c not in (text, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")]
+    # with no columns but the id, both joins read one and the same exchange of the texts
+    kept = [c for c in docs.columns if c not in (text, id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")]
     names = {c: free_name(docs, f"k{i}") for i, c in enumerate(kept)}
     base = docs.select(row_key(id, text).alias("row"), F.coalesce(text, F.lit("")).alias("own"), *[F.col(c).alias(names[c]) for c in kept])
     joined = base.join(linked, "row").join(heads, "row")
@@ -100,6 +101,6 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id")
         out = out.withColumn("print", suffixed("print", "rank"))
     same = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
     return out.select(
-        *[F.col(names[c]).alias(c) for c in kept], "n_chars", "edited_sha256", "fingerprint", F.col("print").alias("edited_fingerprint"),
+        F.col("doc").alias(id), *[F.col(names[c]).alias(c) for c in kept], "n_chars", "edited_sha256", "fingerprint", F.col("print").alias("edited_fingerprint"),
         same("fingerprint", "print").alias("near_edited"), same("fingerprint", "next.fingerprint").alias("near_next"),
     )
