@@ -8,14 +8,17 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.llm.common import free_name, maybe_in, row_key, stored
 
 K, SKETCHES, PICKS, THRESHOLD = 5, 24, 4, 0.8
-#: Groups of one sketch up to this size give all their pairs; larger ones give stars by rounds.
-SMALL = 12
+#: Groups of one sketch up to this size give all their pairs at once; larger ones give the pairs
+#: of some of their rows in each turn, and of GROWTH times as many in the next, up to all.
+SMALL, GROWTH = 12, 8
+#: Rows that others are compared with are broadcast if they have no more shingles than this.
+BROADCAST_SHINGLES = 1_000_000
 
 _WORDS = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -113,25 +116,33 @@ def _sketched(batches):
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             rows, texts = (batch.column(c).slice(a, 500) for c in (0, 1))
-            digests, values = [], []
+            digests, lengths, values = [], [], []
             for text in texts.to_pylist():
                 digests.append(xxhash.xxh3_128_digest((text or "").encode()))
                 s = shingles.of(text or "")
+                lengths.append(len(s))
                 values.append(order_sketches(s).view(np.int64) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([rows, pa.array(digests, pa.binary()), pa.array(values, pa.list_(pa.int64()))], names=["row", "digest", "sketches"])
+            yield pa.RecordBatch.from_arrays([rows, pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(values, pa.list_(pa.int64()))], names=["row", "digest", "length", "sketches"])
 
 
-def _verified(batches):
-    """(x, y, good) of pairs; the shingles of x stay while its pairs follow each other."""
-    shingles, last, own = Shingles(), None, None
+def _verified(batches, most: int = 1_000_000):
+    """(x, y, good) of pairs; shingles stay for the next pairs, ``most`` at a time."""
+    shingles, known, held = Shingles(), {}, 0
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             x, y, tx, ty = (c.slice(at, 500) for c in batch.columns)
             good = []
-            for row, t, u in zip(x.to_pylist(), tx.to_pylist(), ty.to_pylist()):
-                if row != last:
-                    last, own = row, shingles.of(t)
-                good.append(similarity(own, shingles.of(u)) >= THRESHOLD)
+            for i, pair in enumerate(zip(x.to_pylist(), y.to_pylist())):
+                own = []
+                for row, texts in zip(pair, (tx, ty)):
+                    if (s := known.get(row)) is None:
+                        if held > most:
+                            known.clear()
+                            held = 0
+                        s = known[row] = shingles.of(texts[i].as_py())
+                        held += len(s)
+                    own.append(s)
+                good.append(similarity(*own) >= THRESHOLD)
             yield pa.RecordBatch.from_arrays([x, y, pa.array(good, pa.bool_())], names=["x", "y", "good"])
 
 
@@ -155,70 +166,109 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def candidate_pairs(sketches: DataFrame, roots: DataFrame | None, tried: DataFrame | None, turn: int) -> DataFrame:
-    """(x, y) that share a sketch and aren't known to be of one class.
+def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``roots`` after more ``edges``: only the classes that these join are worked on."""
+    if roots is None:
+        return components(edges)
+    for end in ("a", "b"):
+        edges = edges.join(roots.select(F.col("row").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    edges = stored(edges.filter("a <> b").distinct(), "crossing")
+    if not edges.limit(1).count():
+        return roots
+    over = components(edges)
+    old = roots.join(over.select(F.col("row").alias("root"), F.col("root").alias("top")), "root", "left").select("row", F.coalesce("top", "root").alias("root"))
+    return stored(old.unionAll(over.join(roots, "row", "left_anti").select("row", "root")), "roots")
 
-    A group of up to ``SMALL`` rows gives all its pairs; a larger one each row's pair with its
-    centre, the group's first row in an order of this turn's. So pairs are no more than rows
-    times a constant, however large a group is. Rows of the centre's class give none.
+
+def sketch_groups(sketches: DataFrame, common: DataFrame) -> DataFrame:
+    """(sketch, row, length, n, at): rows by sketch groups of ``n`` rows, ``at`` their place there.
+
+    All groups have one order: first the rows that share most with others, as these are the
+    likeliest to link the rest. Sketches that one row alone has are left out.
     """
-    order = F.xxhash64(F.lit(turn), F.col("row"))
-    member = sketches if roots is None else sketches.join(roots, "row", "left")
-    member = member.select("row", "sketch", (F.col("row") if roots is None else F.coalesce("root", "row")).alias("root"))
-    groups = member.groupBy("sketch").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("row", "root"), F.struct(order, F.col("row"))).alias("centre"), F.count("*").alias("n")).filter("r0 < r1")
-    open_ = member.join(groups, "sketch")
-    star = open_.filter((F.col("n") > SMALL) & (F.col("root") != F.col("centre.root"))).select(F.col("centre.row").alias("x"), F.col("row").alias("y"))
-    few = open_.filter(F.col("n") <= SMALL).groupBy("sketch").agg(F.collect_list(F.struct("row", "root")).alias("rows"))
-    few = few.select(F.explode("rows").alias("p"), "rows").select("p", F.explode("rows").alias("q")).filter("p.row < q.row AND p.root <> q.root").select(F.col("p.row").alias("x"), F.col("q.row").alias("y"))
-    pairs = star.unionAll(few).groupBy("x", "y").agg(F.count("*").alias("shared"))
-    if tried is not None:
-        pairs = pairs.join(tried, ["x", "y"], "left_anti")
-    return pairs
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", turns: int = 4) -> DataFrame:
+    shared = maybe_in(sketches, "sketch", common).join(common, "sketch")
+    degrees = shared.groupBy("row").agg(F.sum("n").alias("degree"))
+    order = Window.partitionBy("sketch").orderBy(F.col("degree").desc(), "row")
+    return shared.join(degrees, "row").select("sketch", "row", "length", "n", (F.row_number().over(order) - 1).alias("at"))
+
+
+def open_groups(members: DataFrame, roots: DataFrame | None, done: int) -> DataFrame:
+    """The groups that have rows of several classes and more than ``done`` rows, with ``root``."""
+    members = members.filter(F.col("n") > done).drop("root")
+    members = members.withColumn("root", F.col("row")) if roots is None else members.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    several = members.groupBy("sketch").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("sketch")
+    return members.join(several, "sketch", "left_semi").select("sketch", "row", "length", "n", "at", "root")
+
+
+def candidate_pairs(members: DataFrame, tried: DataFrame | None, first: int, last: int) -> DataFrame:
+    """(x, y, length, shared) of open groups: the rows in places ``first`` to ``last`` - 1 of each,
+    all of a small one, with every later row there that is of another class, may be similar by
+    its number of shingles and wasn't tried with x. ``length`` is that of x."""
+    end = F.when(F.col("n") <= SMALL, SMALL).otherwise(last)
+    x = members.filter((F.col("at") >= first) & (F.col("at") < end)).select("sketch", F.col("row").alias("x"), F.col("length").alias("length"), F.col("at").alias("x_at"), F.col("root").alias("x_root"))
+    y = members.select("sketch", F.col("row").alias("y"), F.col("length").alias("y_length"), F.col("at").alias("y_at"), F.col("root").alias("y_root"))
+    met = x.join(y, "sketch").filter("x_at < y_at AND x_root <> y_root").filter(F.least("length", "y_length") >= F.lit(THRESHOLD) * F.greatest("length", "y_length"))
+    pairs = met.groupBy("x", "y").agg(F.first("length").alias("length"), F.count("*").alias("shared"))
+    return pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti")
+
+
+def checked_pairs(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(x, y, good) of ``pairs``. Where x are few rows their texts are broadcast, so that each
+    text of y is in an exchange once, however many pairs it is in."""
+    texts = lambda wanted: maybe_in(keyed, "row", wanted).join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    xs, ys = (pairs.select(F.col(c).alias("row")).distinct() for c in ("x", "y"))
+    few = (pairs.select("x", "length").distinct().agg(F.sum("length")).first()[0] or 0) <= BROADCAST_SHINGLES
+    if few:
+        of_x, of_y = F.broadcast(texts(xs)), texts(ys)
+    else:
+        of_x = of_y = texts(xs.unionAll(ys).distinct())
+    met = pairs.join(of_y.select(F.col("row").alias("y"), F.col("text").alias("ty")), "y").join(of_x.select(F.col("row").alias("x"), F.col("text").alias("tx")), "x")
+    return stored(met.select("x", "y", "tx", "ty").mapInArrow(_verified, "x long, y long, good boolean"), "checked")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(row, id, class_id, class_size): the near-duplicate class of each distinct row, named by its least id.
 
     Two texts are linked if an alignment of their occurrence-labelled five-word shingles keeps
     0.8 or more of all of them (words in lower case, without punctuation); classes are what links
     connect. Equal texts are one text from the start. Candidates share one of 24 sketches of
     four k-mers in text order. The first turn verifies for each text its most promising
-    candidate, the next ones all that still cross classes; in groups of one sketch that are too
-    large for all pairs, each turn has other centres, so a link is only missed where a text
-    meets no centre that it is linked to.
+    candidate, the next ones what still crosses classes, until every pair that shares a sketch
+    was verified, is in one class anyhow or differs too much in its number of shingles. So the
+    pairs of a large group of texts that share a sketch but aren't similar grow with its square.
 
     Texts without words are linked to equal texts alone; a null text counts as empty, so all
     null and empty texts are one class. Null ids are ids like others (a class of nulls alone
     has a null id); repeated rows are one row here. An empty table gives no rows.
     """
     keyed = docs.select(row_key(id, text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
-    base = stored(keyed.mapInArrow(_sketched, "row long, digest binary, sketches array<long>"), "sketches").dropDuplicates(["row"])
-    copies = stored(base.join(base.groupBy("digest").agg(F.min("row").alias("rep")), "digest").select("row", "rep", F.when(F.col("row") == F.col("rep"), F.col("sketches")).alias("sketches")), "copies")
+    base = stored(keyed.mapInArrow(_sketched, "row long, digest binary, length int, sketches array<long>"), "sketches").dropDuplicates(["row"])
+    copies = stored(base.join(base.groupBy("digest").agg(F.min("row").alias("rep")), "digest").select("row", "rep", "length", F.when(F.col("row") == F.col("rep"), F.col("sketches")).alias("sketches")), "copies")
     # most sketches are one row's alone: those go before the turns
-    sketches = copies.filter("sketches IS NOT NULL").select("row", F.explode("sketches").alias("sketch"))
-    common = stored(sketches.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1").select("sketch"), "common")
-    sketches = stored(maybe_in(sketches, "sketch", common).join(common, "sketch", "left_semi"), "common-sketches")
+    sketches = copies.filter("sketches IS NOT NULL").select("row", "length", F.explode("sketches").alias("sketch"))
+    common = stored(sketches.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+    open_ = sketch_groups(sketches, common)
 
     roots = tried = None
-    edges: list[DataFrame] = []
-    for turn in range(turns):
-        pairs = candidate_pairs(sketches, roots, tried, turn)
+    turn = done = 0
+    while True:
+        open_ = stored(open_groups(open_, roots, done), "open")
+        if not open_.limit(1).count():
+            break
+        last = 1 if turn == 0 else max(SMALL, done * GROWTH)
+        pairs = candidate_pairs(open_, tried, done, last)
         if turn == 0:  # one pair for each row is enough to join most of a class
-            best = pairs.groupBy("y").agg(F.max_by("x", F.struct("shared", "x")).alias("x"))
-            pairs = best.select("x", "y")
-        pairs = stored(pairs.select("x", "y"), "pairs")
+            best = pairs.groupBy("y").agg(F.max_by(F.struct("x", "length"), F.struct("shared", "x")).alias("best"))
+            pairs = best.select("best.x", "y", "best.length")
+        else:
+            done = last
+        turn += 1
+        pairs = stored(pairs.select("x", "y", "length"), "pairs")
         if not pairs.limit(1).count():
-            break
-        wanted = pairs.select(F.explode(F.array("x", "y")).alias("row")).distinct()
-        texts = maybe_in(keyed, "row", wanted).join(wanted, "row", "left_semi").dropDuplicates(["row"])
-        met = pairs.join(texts.select(F.col("row").alias("y"), F.col("text").alias("ty")), "y").join(texts.select(F.col("row").alias("x"), F.col("text").alias("tx")), "x")
-        checked = stored(met.select("x", "y", "tx", "ty").mapInArrow(_verified, "x long, y long, good boolean"), "checked")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        edges.append(checked.filter("good").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        every = edges[0]
-        for more in edges[1:]:
-            every = every.unionAll(more)
-        roots = components(every)
+            continue
+        checked = checked_pairs(keyed, pairs)
+        tried = pairs.select("x", "y") if tried is None else tried.unionAll(pairs.select("x", "y"))
+        roots = merged(roots, checked.filter("good").select(F.col("x").alias("a"), F.col("y").alias("b")))
     members = copies.select("row", "rep")
     if roots is not None:
         members = members.join(roots.withColumnRenamed("row", "rep"), "rep", "left").select("row", F.coalesce("root", "rep").alias("class"))

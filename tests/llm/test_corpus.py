@@ -285,6 +285,47 @@ def test_large_near_groups(spark):
     assert collections.Counter(r.class_id for r in found) == {0: 70} | {1000 + i: 1 for i in range(20)}
 
 
+def test_star_shaped_near_group(spark):
+    """1000 copies that are linked to their original, but not to each other."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdef"), 6))
+    base = [word() for _ in range(200)]
+    rows = [(5000, " ".join(base))]
+    for i in range(1000):
+        words = list(base)
+        for k in (int(rng.integers(5, 45)) + 50 * j for j in range(4)):
+            words[k] = word()
+        rows.append((i, " ".join(words)))
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(r.class_id for r in found) == {0: 1001}
+
+
+def test_every_pair_of_a_large_sketch_group_meets(spark, monkeypatch):
+    """All rows share a sketch, only neighbours in a chain are linked; beside it a class owns the group."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdef"), 6))
+    chain, rows = [word() for _ in range(100)], []
+    for i in range(40):  # 10 new shingles or fewer of 96 at each step
+        rows.append((100 + i, " ".join(chain)))
+        chain[(7 * i) % 90 + 5] = word()
+    owner = [word() for _ in range(100)]
+    rows += [(i, " ".join([*owner, str(i)])) for i in range(60)]
+    pair = [word() for _ in range(100)]
+    rows += [(200, " ".join(pair)), (201, " ".join(pair[:-1])), (202, " ".join(word() for _ in range(100)))]
+    made = near._sketched
+    monkeypatch.setattr(near, "_sketched", lambda batches, f=made: _one_sketch(f, batches))
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter(r.class_id for r in found) == {0: 60, 100: 40, 200: 2, 202: 1}
+
+
+def _one_sketch(sketched, batches):
+    import pyarrow as pa
+
+    for batch in sketched(batches):
+        at = batch.schema.get_field_index("sketches")
+        yield batch.set_column(at, "sketches", pa.array([[1] for _ in range(batch.num_rows)], pa.list_(pa.int64())))
+
+
 def test_near_odd_rows(docs, none):
     found = near.near_duplicates(docs).collect()
     classes = collections.defaultdict(set)
