@@ -17,6 +17,9 @@ K, SKETCHES, PICKS, THRESHOLD = 5, 24, 4, 0.8
 #: Groups of one sketch up to this size give all their pairs at once; larger ones give the pairs
 #: of some of their rows in each turn, and of GROWTH times as many in the next, up to all.
 SMALL, GROWTH = 12, 8
+#: Texts of up to SHORT shingles also meet by single shingles. Texts of under 20 are similar to
+#: none of more.
+SHORT = 24
 #: Rows that others are compared with are broadcast if they have no more shingles than this.
 BROADCAST_SHINGLES = 1_000_000
 
@@ -84,6 +87,14 @@ def order_sketches(shingles: np.ndarray, sketches: int = SKETCHES, picks: int =
     return h
 
 
+def prefix_keys(shingles: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The least k-mers by one hash, as many as a text may lack of another at the threshold and
+    one more: two similar texts have one of these in common, whatever the hash."""
+    n = len(shingles)
+    lacking = n - int(np.ceil(n * threshold - 1e-9))
+    return np.sort(_mix(shingles ^ _MIX[2]))[: lacking + 1]
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Most labelled k-mers that an alignment keeps in order within the band. Labels are unique
     in a text, so this longest common subsequence is a longest increasing one of positions."""
@@ -121,7 +132,10 @@ def _sketched(batches):
                 digests.append(xxhash.xxh3_128_digest((text or "").encode()))
                 s = shingles.of(text or "")
                 lengths.append(len(s))
-                values.append(order_sketches(s).view(np.int64) if len(s) else [])
+                keys = order_sketches(s) if len(s) else s
+                if 0 < len(s) <= SHORT:
+                    keys = np.concatenate([keys, prefix_keys(s)])
+                values.append(keys.view(np.int64))
             yield pa.RecordBatch.from_arrays([rows, pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(values, pa.list_(pa.int64()))], names=["row", "digest", "length", "sketches"])
 
 
@@ -232,7 +246,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     Two texts are linked if an alignment of their occurrence-labelled five-word shingles keeps
     0.8 or more of all of them (words in lower case, without punctuation); classes are what links
     connect. Equal texts are one text from the start. Candidates share one of 24 sketches of
-    four k-mers in text order. The first turn verifies for each text its most promising
+    four k-mers in text order; texts of up to 24 shingles also meet by single shingles, so that
+    no link of a text under 20 is missed. The first turn verifies for each text its most promising
     candidate, the next ones what still crosses classes, until every pair that shares a sketch
     was verified, is in one class anyhow or differs too much in its number of shingles. So the
     pairs of a large group of texts that share a sketch but aren't similar grow with its square.

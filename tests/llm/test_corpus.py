@@ -7,6 +7,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,13 +320,24 @@ def test_every_pair_of_a_large_sketch_group_meets(spark, monkeypatch):
 
 
 def _one_sketch(sketched, batches):
-    import pyarrow as pa
-
     for batch in sketched(batches):
         at = batch.schema.get_field_index("sketches")
         yield batch.set_column(at, "sketches", pa.array([[1] for _ in range(batch.num_rows)], pa.list_(pa.int64())))
 
 
+def test_short_texts_always_meet():
+    rng = np.random.default_rng(9)
+    keys = lambda texts: [k for b in near._sketched([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row", "text"])]) for k in b.column("sketches").to_pylist()]
+    texts = [" ".join("".join(rng.choice(list("abcdef"), 6)) for _ in range(n)) for n in [8] * 1500 + list(range(1, 24)) * 5]
+    longer = [t + " more" for t in texts]
+    tool, linked = near.Shingles(), 0
+    for t, u, a, b in zip(texts, longer, keys(texts), keys(longer)):
+        if near.similarity(tool.of(t), tool.of(u)) >= 0.8:
+            linked += 1
+            assert set(a) & set(b)
+    assert linked > 1500
+
+
 def test_near_odd_rows(docs, none):
     found = near.near_duplicates(docs).collect()
     classes = collections.defaultdict(set)
