@@ -46,7 +46,7 @@ def structure(text: str, words: list[str], distinct: int) -> list[int]:
         min(BINS - 1, int(BINS * len(set(lines)) / len(lines) * 0.999)),
         min(BINS - 1, max(map(len, words), default=0) // 4),
         fine(min(1.0, text.count(" | ") / w)),
-        fine(min(1.0, sum(map(str.isupper, words[:: max(1, len(words) // 256)])) / min(w, 256))),
+        fine(min(1.0, sum(map(str.isupper, words)) / w)),
     ]
 
 

@@ -451,6 +451,12 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.quality_scores(docs, labels.limit(0), metadata=("size",)).collect()} == {0.5}
 
 
+def test_capitals_count_in_the_whole_text():
+    upper = lambda words: quality.structure(" ".join(words), words, len(set(words)))[-1]
+    assert upper(["a", "A"] * 256) == upper(["A", "a"] * 256) == int(16 * 0.5**0.5)
+    assert upper(["A"] * 256 + ["a"] * 255) == int(16 * (256 / 511) ** 0.5)
+
+
 def test_pairwise_identity():
     rng = np.random.default_rng(0)
     machine = quality.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
