@@ -45,7 +45,7 @@ def windows(tokens: str, length: int) -> Column:
     return F.when(n >= length, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", id: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", id: str = "doc_id", item: str = "item_id", item_text: str = "text", whole: bool = False) -> DataFrame:
     """(row, item, n_windows, n_slots, n_changed, first_word, last_word): the benchmark items that
     documents hold, in their own words or with other numbers, names and units.
 
@@ -53,7 +53,14 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, te
     count where the slots of a passage (windows at one offset) agree: each value of the item
     stands for one value in the document, and no two values for the same one. Windows of the benchmark that are more
     than half slots say too little and aren't looked up; items shorter than a window can't be
-    found. ``row`` is ``row_key(id, text)``. Null texts and items match nothing; null ids are
+    found.
+
+    ``whole``, as the registered query and the pipeline have it, lets each window count whose
+    own slots agree (each value of the item stands for one value; two may meet in one), whatever
+    the others of its passage do. n_slots and n_changed are then those of the longest runs of
+    windows that agree with each other.
+
+    ``row`` is ``row_key(id, text)``. Null texts and items match nothing; null ids are
     ids like others; repeated rows are one row here, repeated items count once; empty tables
     give no rows.
     """
@@ -79,6 +86,21 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, te
     steps = F.sequence(F.lit(1), F.lit(window))
     value = lambda c, at: F.lower(F.element_at(c, at))
     slot = lambda p: F.filter(F.transform(steps, lambda k: F.struct(value("item_words", p.item_at + k).alias("mine"), value("words", p.at + k).alias("theirs"))), lambda s: F.substring(s.mine, 1, 1).isin(NUMBER, NAME, UNIT))
+    if whole:
+        agree = lambda s: F.size(s) == F.size(F.array_distinct(F.transform(s, lambda v: v.mine)))
+        each = F.filter(F.transform("places", lambda p: F.struct(p.alias("place"), F.array_distinct(slot(p)).alias("slots"))), lambda w: agree(w.slots))
+        both = both.withColumn("windows", each).filter(F.size("windows") > 0)
+        none = F.struct(F.array().cast("array<struct<mine:string,theirs:string>>").alias("run"), F.lit(0).alias("n"), F.lit(0).alias("changed"))
+
+        def grown(state, w):
+            run = F.when(agree(F.array_union(state.run, w.slots)), F.array_union(state.run, w.slots)).otherwise(w.slots)
+            return F.struct(run.alias("run"), F.greatest(state.n, F.size(run)).alias("n"), F.greatest(state.changed, F.size(F.filter(run, lambda s: s.mine != s.theirs))).alias("changed"))
+
+        both = both.withColumn("runs", F.aggregate("windows", none, grown))
+        return both.groupBy("row", "item").agg(
+            F.sum(F.size("windows")).cast("long").alias("n_windows"), F.max("runs.n").cast("long").alias("n_slots"), F.max("runs.changed").cast("long").alias("n_changed"),
+            F.min(F.array_min("windows.place.at")).cast("long").alias("first_word"), (F.max(F.array_max("windows.place.at")) + window - 1).cast("long").alias("last_word"),
+        )
     both = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("places", slot))))
     n, mine, theirs = F.size("slots"), F.size(F.array_distinct("slots.mine")), F.size(F.array_distinct("slots.theirs"))
     return both.filter((n == mine) & (n == theirs)).groupBy("row", "item").agg(

@@ -93,7 +93,7 @@ FROM marked GROUP BY doc_id
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return contaminated(docs, table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,17 @@ def test_templates(spark, none):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def leaks(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r["items"] for r in decontaminate.contaminated(docs, bench, whole=True).collect()}
+
+
+def test_windows_count_by_themselves(spark):
+    item = "Ann said that Tom has 12 apples and gives 5 kg of them to Mary, then Tom walks 3 miles back home alone again"
+    assert leaks(spark, [item], ["so " + item.replace("then Tom", "then Joe"), "so " + item.replace("12", "9").replace("5", "9"), item.replace("apples", "pears").replace("them", "it")]) == {0: [0], 1: [0]}
+
+
 def test_verbatim_passages_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     say = lambda n: " ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(n))
