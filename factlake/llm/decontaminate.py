@@ -29,6 +29,11 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(x, r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+", f"{NAME}$0")
 
 
+def plain(text: Column) -> Column:
+    """The text in lower case without marks: its words stand for themselves."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01\x02\x03]", " "))
+
+
 def words(marked_text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(marked_text, SEPARATOR, " ")), " ")
 
@@ -57,29 +62,48 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, te
 
     ``whole``, as the registered query and the pipeline have it, lets each window count whose
     own slots agree (each value of the item stands for one value; two may meet in one), whatever
-    the others of its passage do. n_slots and n_changed are then those of the longest runs of
+    the others of its passage do. Literal windows in lower case are looked up as well, whatever
+    share of them is slots, and items shorter than a window as one literal window of their
+    length. n_windows, n_slots and n_changed are the most of any of these. n_slots and n_changed are then those of the longest runs of
     windows that agree with each other.
 
     ``row`` is ``row_key(id, text)``. Null texts and items match nothing; null ids are
     ids like others; repeated rows are one row here, repeated items count once; empty tables
     give no rows.
     """
-    items = benchmark.select(F.col(item).alias("item"), marked(F.col(item_text)).alias("marked")).distinct()
+    keyed = docs.select(row_key(id, text).alias("row"), F.col(text).alias("text"))
+    asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
+    if not whole:
+        return _matches(keyed, asked, marked, window, False)
+    sizes = asked.select(plain(F.col("text")).alias("plain")).select(words(F.col("plain")).alias("w")).filter("w[0] <> ''").select(F.size("w").alias("n"))
+    short = sorted(r.n for r in sizes.filter(F.col("n") < window).distinct().collect())
+    ways = [_matches(keyed, asked, marks, window, True) for marks in (marked, plain)] + [_matches(keyed, asked, plain, n, True, of_size=n) for n in short]
+    every = ways[0].withColumn("way", F.lit(0))
+    for way, more in enumerate(ways[1:], 1):
+        every = every.unionAll(more.withColumn("way", F.lit(way)))
+    first = lambda c: F.min_by(c, "way").alias(c)
+    return every.groupBy("row", "item").agg(*[F.max(c).alias(c) for c in ("n_windows", "n_slots", "n_changed")], first("first_word"), first("last_word"))
+
+
+def _matches(keyed: DataFrame, asked: DataFrame, marks, window: int, whole: bool, of_size: int | None = None) -> DataFrame:
+    """``template_matches`` by one way to mark texts, of all items or those of ``of_size`` words."""
+    items = asked.select("item", marks(F.col("text")).alias("marked")).distinct()
     items = items.select(F.xxhash64("item", "marked").alias("item_row"), "item", words(F.col("marked")).alias("item_words"), template(F.col("marked")).alias("item_template"))
+    if of_size is not None:
+        items = items.filter((F.size("item_words") == of_size) & (F.col("item_words")[0] != ""))
     sought = items.select("item_row", "item_template", F.posexplode(windows("item_template", window)).alias("item_at", "hash"))
     slots = F.size(F.filter(F.slice("item_template", F.col("item_at") + 1, window), lambda w: w.isin(NUMBER, NAME, UNIT)))
     sought = stored(sought.filter(slots * 2 <= window).select("hash", "item_row", "item_at"), "benchmark-windows")
     small = sought.count() <= BROADCAST_WINDOWS
 
-    keyed = docs.select(row_key(id, text).alias("row"), F.col(text).alias("text"))
-    found = keyed.select("row", template(marked(F.col("text"))).alias("template"))
+    found = keyed.select("row", template(marks(F.col("text"))).alias("template"))
     found = found.select("row", F.posexplode(windows("template", window)).alias("at", "hash"))
     found = found.join(F.broadcast(sought) if small else sought, "hash")
     pairs = stored(found.groupBy("row", "item_row", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.sort_array(F.collect_set(F.struct("at", "item_at"))).alias("places")), "template-pairs")
 
     # the few documents that match come again, for their words
     texts = maybe_in(keyed, "row", pairs).join(pairs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
-    texts = texts.select("row", marked(F.col("text")).alias("marked")).select("row", words(F.col("marked")).alias("words"), template(F.col("marked")).alias("template"))
+    texts = texts.select("row", marks(F.col("text")).alias("marked")).select("row", words(F.col("marked")).alias("words"), template(F.col("marked")).alias("template"))
     both = pairs.join(texts, "row").join(items, "item_row")
     same = lambda p: F.slice("template", p.at + 1, window) == F.slice("item_template", p.item_at + 1, window)
     both = both.withColumn("places", F.filter("places", same)).filter(F.size("places") > 0)

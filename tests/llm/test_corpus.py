@@ -249,6 +249,12 @@ def test_windows_count_by_themselves(spark):
     assert leaks(spark, [item], ["so " + item.replace("then Tom", "then Joe"), "so " + item.replace("12", "9").replace("5", "9"), item.replace("apples", "pears").replace("them", "it")]) == {0: [0], 1: [0]}
 
 
+def test_literal_windows_and_short_items(spark):
+    sums = "1 2 3 plus 4 5 6 plus 7 8 9 is 12 15 18 or 21 24 27"
+    texts = ["so " + sums + " then", "it asks: How many  moons, has\nMars? and so on", "moons has mars", "a\n" + sums.replace("plus", "minus")]
+    assert leaks(spark, [sums, "how many moons has Mars?", "", "?"], texts) == {0: [0], 1: [1]}
+
+
 def test_verbatim_passages_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     say = lambda n: " ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(n))
