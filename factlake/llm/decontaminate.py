@@ -19,13 +19,15 @@ SEPARATOR = r"[^\p{L}\p{M}\p{N}\x01\x02\x03]+"
 BROADCAST_WINDOWS = 500_000
 
 
-def marked(text: Column) -> Column:
+def marked(text: Column, everywhere: bool = False) -> Column:
     """The text with each slot's word behind its mark: numbers (without their own . and ,),
-    units after a number, and capitalised words that don't begin a sentence."""
+    units after a number, and capitalised words that don't begin a sentence, or all of them."""
     x = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01\x02\x03]", " ")
     x = F.regexp_replace(x, r"(\d)[.,](?=\d)", "$1")
     x = F.regexp_replace(x, r"\d+", f" {NUMBER}$0 ")
     x = F.regexp_replace(x, rf"({NUMBER}\d+)\s+({'|'.join(sorted(UNITS, key=len, reverse=True))})\b", f"$1 {UNIT}$2")
+    if everywhere:
+        return F.regexp_replace(x, r"(?<![\p{L}\p{M}\p{N}\x02\x03])\p{Lu}\p{Ll}+", f"{NAME}$0")
     return F.regexp_replace(x, r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+", f"{NAME}$0")
 
 
@@ -64,7 +66,8 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, te
     own slots agree (each value of the item stands for one value; two may meet in one), whatever
     the others of its passage do. Literal windows in lower case are looked up as well, whatever
     share of them is slots, and items shorter than a window as one literal window of their
-    length. n_windows, n_slots and n_changed are the most of any of these. n_slots and n_changed are then those of the longest runs of
+    length. So are templates in which every capitalised word is a name, at the start of a
+    sentence or after any white space too. n_windows, n_slots and n_changed are the most of any of these. n_slots and n_changed are then those of the longest runs of
     windows that agree with each other.
 
     ``row`` is ``row_key(id, text)``. Null texts and items match nothing; null ids are
@@ -77,7 +80,7 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, te
         return _matches(keyed, asked, marked, window, False)
     sizes = asked.select(plain(F.col("text")).alias("plain")).select(words(F.col("plain")).alias("w")).filter("w[0] <> ''").select(F.size("w").alias("n"))
     short = sorted(r.n for r in sizes.filter(F.col("n") < window).distinct().collect())
-    ways = [_matches(keyed, asked, marks, window, True) for marks in (marked, plain)] + [_matches(keyed, asked, plain, n, True, of_size=n) for n in short]
+    ways = [_matches(keyed, asked, marks, window, True) for marks in (marked, plain, lambda text: marked(text, everywhere=True))] + [_matches(keyed, asked, plain, n, True, of_size=n) for n in short]
     every = ways[0].withColumn("way", F.lit(0))
     for way, more in enumerate(ways[1:], 1):
         every = every.unionAll(more.withColumn("way", F.lit(way)))

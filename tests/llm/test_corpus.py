@@ -255,6 +255,13 @@ def test_literal_windows_and_short_items(spark):
     assert leaks(spark, [sums, "how many moons has Mars?", "", "?"], texts) == {0: [0], 1: [1]}
 
 
+def test_names_anywhere(spark):
+    item = "Tom has 5 red apples. Tom gives 2 to his aunt. Tom eats 1 of them. Tom then sells the rest of all apples"
+    other = "Ann said that Tom has some old apples and gives many of them to Mary today"
+    texts = [item.replace("Tom", "Ann").replace("5", "8"), other.upper(), other.replace(" ", "\n"), other.lower(), other.replace(" Tom", "  Joe"), item.replace("red", "old").replace("aunt", "dog").replace("eats", "has").replace("sells", "buys")]
+    assert leaks(spark, [item, other], texts) == {0: [0], 1: [1], 2: [1], 3: [1], 4: [1]}
+
+
 def test_verbatim_passages_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     say = lambda n: " ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(n))
