@@ -61,20 +61,21 @@ def _gram(symbols: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 class FmIndex:
     """Over several word sequences; finds the longest match of up to ``depth`` words.
 
-    Suffixes are sorted by their first words only, as many as a search can compare. ``parent``
-    intervals come from the longest common prefixes of neighbours.
+    Suffixes are sorted by their first words only, as many as a search can compare. The suffix
+    array isn't kept: what stays is the wavelet matrix, a byte for each suffix, the words it
+    shares with the one before, from which parent intervals come, and for each interval of
+    ``depth`` words the least of the ``ids`` of its sequences.
     """
 
-    def __init__(self, words: np.ndarray, lengths: np.ndarray, depth: int) -> None:
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, depth: int, ids: np.ndarray | None = None) -> None:
         self.depth = depth
-        self.alphabet, ids = np.unique(words, return_inverse=True)
+        self.alphabet, symbols = np.unique(words, return_inverse=True)
         n = len(words) + len(lengths)
         ends = np.cumsum(lengths + 1) - 1
         text = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
         inside[ends] = False
-        text[inside] = ids + 1  # 0 ends a sequence
-        self.sequence = np.repeat(np.arange(len(lengths)), lengths + 1)
+        text[inside] = symbols + 1  # 0 ends a sequence
         # ranks by the first h words; as many neighbours' ranks as fit into 63 bits give the next
         key, h = text, 1
         while True:
@@ -85,40 +86,42 @@ class FmIndex:
                 wide <<= bits
                 wide[: max(0, n - k * h)] |= key[k * h :]
             h *= take
-            self.suffixes = np.argsort(wide)
+            suffixes = np.argsort(wide)
             if h >= depth:
                 break
-            ordered = wide[self.suffixes]
+            ordered = wide[suffixes]
             key = np.empty(n, np.int64)
-            key[self.suffixes] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
+            key[suffixes] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
         self.table = min(TABLE, depth - 1)
         same = np.ones(max(0, n - 1), bool)
         self.common = np.zeros(n, np.int8)
         padded = np.concatenate([text, np.zeros(depth, np.int64)])
         for d in range(depth):
-            x = padded[self.suffixes + d]
+            x = padded[suffixes + d]
             same &= x[1:] == x[:-1]
             self.common[1:] += same
         sigma = len(self.alphabet) + 1
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
-        self.tree = WaveletMatrix(text[self.suffixes - 1], sigma)
+        self.tree = WaveletMatrix(text[suffixes - 1], sigma)
         self.n = n
-        self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.begins: dict[int, np.ndarray] = {}
+        if ids is not None:
+            self.ids = np.minimum.reduceat(np.repeat(ids, lengths + 1)[suffixes], self.begin(depth))
         begin = np.flatnonzero(self.common < self.table)
-        grams = _gram(padded, self.suffixes[begin], self.table)
+        grams = _gram(padded, suffixes[begin], self.table)
         order = np.argsort(grams)
         self.grams, self.gram_begin = grams[order], begin[order]
         self.gram_end = np.append(begin[1:], n)[order]
 
-    def group(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix: where those that share its first ``length`` words begin and end."""
-        if length not in self.groups:
-            begin = np.flatnonzero(self.common < length) if length else np.zeros(1, np.int64)
-            which = np.zeros(self.n, np.int64)
-            which[begin] = 1
-            which = np.cumsum(which) - 1
-            self.groups[length] = begin[which].astype(np.int32), np.append(begin[1:], self.n)[which].astype(np.int32)
-        return self.groups[length]
+    def begin(self, length: int) -> np.ndarray:
+        """Where the intervals of suffixes that share their first ``length`` words begin."""
+        if length not in self.begins:
+            self.begins[length] = np.flatnonzero(self.common < length).astype(np.int32) if length else np.zeros(1, np.int32)
+        return self.begins[length]
+
+    def least(self, suffix: np.ndarray) -> np.ndarray:
+        """The least id in the interval of ``depth`` words of each suffix."""
+        return self.ids[np.searchsorted(self.begin(self.depth), suffix, side="right") - 1]
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
         """Ids of words, -1 for those that aren't here."""
@@ -177,5 +180,6 @@ class FmIndex:
         size[lanes] -= 1
         for length in np.unique(size[lanes]):
             those = lanes[size[lanes] == length]
-            begin, end = self.group(int(length))
-            low[those], high[those] = begin[low[those]], end[low[those]]
+            begin = self.begin(int(length))
+            at = np.searchsorted(begin, low[those], side="right")
+            low[those], high[those] = begin[at - 1], np.append(begin, self.n)[at]

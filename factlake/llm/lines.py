@@ -15,8 +15,8 @@ from pyspark.sql.types import LongType, StringType, StructType
 from factlake.llm.common import free_name, row_key, stored
 
 _STRIP = b" \t\n\x0b\x0c\r"
-LINES = "h1 long, h2 long, row long, position int"
-FOUND = "h1 long, h2 long, documents long, row long, position int, part int, kind int"
+LINES = "h1 long, h2 long, row binary, position int"
+FOUND = "h1 long, h2 long, documents long, row binary, position int, part int, kind int"
 DROP, OPEN, TALLY = 0, 1, 2
 
 
@@ -37,7 +37,7 @@ def _hashes(min_chars: int):
                             position.append(i)
                             digests.append(xxhash.xxh3_128_digest(key))
                 two = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(rows, pa.int64()), pa.array(position, pa.int32())], names=["h1", "h2", "row", "position"])
+                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(rows, pa.binary()), pa.array(position, pa.int32())], names=["h1", "h2", "row", "position"])
 
     return run
 
@@ -61,26 +61,26 @@ def _streamed(min_docs: int):
 
         def flush():
             columns = list(zip(*out)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 3
+            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int32()] * 3
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["h1", "h2", "documents", "row", "position", "part", "kind"])
             out.clear()
             return batch
 
         for batch in batches:
-            h1, h2, row, position = (c.to_numpy() for c in batch.columns)
+            h1, h2, position = (batch.column(c).to_numpy() for c in (0, 1, 3))
             # lines that differ from both neighbours are decided at once, unless at an edge
             same = np.zeros(len(h1) + 1, bool)
             same[1:-1] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
             alone = ~same[:-1] & ~same[1:] & (min_docs > 1)
             if len(alone):
                 alone[[0, -1]] = False
-            for i in np.flatnonzero(~alone):
+            seen = np.flatnonzero(~alone)
+            for i, r in zip(seen.tolist(), batch.column(2).take(pa.array(seen)).to_pylist()):
                 now = (int(h1[i]), int(h2[i]))
                 if now != key:
                     close(first)
                     first = key is None
                     key, documents, last_row, held = now, 0, None, []
-                r = int(row[i])
                 if r != last_row:
                     documents, last_row = documents + 1, r
                     if documents == min_docs:
@@ -135,7 +135,7 @@ def line_keep_bitmaps(docs: DataFrame, text: str = "text", id: str = "doc_id", m
             sizes = [max(g) + 1 for g in gone]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(map(len, gone), pa.int64()), pa.array(map(keep_bitmap, sizes, gone), pa.binary())], names=["row", "covered", "n_dropped", "keep"])
 
-    return gone.mapInArrow(run, "row long, covered int, n_dropped long, keep binary")
+    return gone.mapInArrow(run, "row binary, covered int, n_dropped long, keep binary")
 
 
 def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", min_docs: int = 10, min_chars: int = 1) -> DataFrame:

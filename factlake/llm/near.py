@@ -1,8 +1,7 @@
-"""Near-duplicates by Order MinHash, verified by banded alignment."""
+"""Near-duplicates by Order MinHash, verified by banded alignment of words."""
 
 from __future__ import annotations
 
-import bisect
 import re
 
 import numpy as np
@@ -13,15 +12,14 @@ from pyspark.sql import functions as F
 
 from factlake.llm.common import free_name, maybe_in, row_key, stored
 
-K, SKETCHES, PICKS, THRESHOLD = 5, 24, 4, 0.8
-#: Groups of one sketch up to this size give all their pairs at once; larger ones give the pairs
-#: of some of their rows in each turn, and of GROWTH times as many in the next, up to all.
-SMALL, GROWTH = 12, 8
-#: Texts of up to SHORT shingles also meet by single shingles. Texts of under 20 are similar to
-#: none of more.
-SHORT = 24
-#: Rows that others are compared with are broadcast if they have no more shingles than this.
-BROADCAST_SHINGLES = 1_000_000
+K, SKETCHES, PICKS, THRESHOLD = 5, 24, 2, 0.8
+#: Texts of up to SHORT shingles also meet by each of their shingles. Texts of up to 24 are
+#: aligned at the threshold with none of more than 30.
+SHORT = 30
+#: Rows of a sketch group that are held at once; larger groups are dealt into blocks of so many.
+BLOCK = 2048
+#: Counters of a text's words. Two texts' counters differ by no more than their words do.
+BINS = 256
 
 _WORDS = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -34,9 +32,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Occurrence-labelled k-mers of words, as 64-bit numbers in text order."""
+    """Words of texts and their occurrence-labelled k-mers, as 64-bit numbers in text order."""
 
-    def __init__(self, k: int = K, max_words: int = 500_000) -> None:
+    def __init__(self, k: int = K, max_words: int = 150_000) -> None:
         self.k, self.max_words, self.known = k, max_words, {}
 
     def words(self, text: str) -> np.ndarray:
@@ -48,10 +46,9 @@ class Shingles:
             known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-    def of(self, text: str) -> np.ndarray:
+    def of(self, w: np.ndarray) -> np.ndarray:
         """The i-th occurrence of a k-mer differs from the others. A text with fewer than k
         words is one k-mer of all its words; one without words has none."""
-        w = self.words(text)
         if not len(w):
             return w
         n = max(1, len(w) - self.k + 1)
@@ -79,7 +76,10 @@ def order_sketches(shingles: np.ndarray, sketches: int = SKETCHES, picks: int =
     block = max(1, 200_000 // len(shingles))
     for i in range(0, sketches, block):
         x = _mix(shingles[None, :] ^ seeds[i : i + block])
-        at[i : i + block] = np.argpartition(x, n - 1, axis=1)[:, :n] if n < x.shape[1] else np.arange(n)
+        lane = np.arange(len(x))
+        for k in range(n):
+            at[i : i + block, k] = least = x.argmin(axis=1)
+            x[lane, least] = np.iinfo(np.uint64).max
     at.sort(axis=1)
     h = np.arange(sketches, dtype=np.uint64)
     for k in range(n):
@@ -87,77 +87,170 @@ def order_sketches(shingles: np.ndarray, sketches: int = SKETCHES, picks: int =
     return h
 
 
-def prefix_keys(shingles: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
-    """The least k-mers by one hash, as many as a text may lack of another at the threshold and
-    one more: two similar texts have one of these in common, whatever the hash."""
-    n = len(shingles)
-    lacking = n - int(np.ceil(n * threshold - 1e-9))
-    return np.sort(_mix(shingles ^ _MIX[2]))[: lacking + 1]
+def word_counts(words: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.bincount((words % np.uint64(BINS)).astype(np.int64), minlength=BINS)).astype(np.uint8)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Most labelled k-mers that an alignment keeps in order within the band. Labels are unique
-    in a text, so this longest common subsequence is a longest increasing one of positions."""
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    j = j[np.argsort(i)]
-    if len(j) < 2 or (np.diff(j) > 0).all():
-        return len(j)
-    tails: list[int] = []
-    for x in j.tolist():
-        at = bisect.bisect_left(tails, x)
-        tails[at : at + 1] = [x]
-    return len(tails)
+def least_kept(longer: int, threshold: float = THRESHOLD) -> int:
+    """Words that an alignment must keep where the longer text has ``longer``."""
+    return int(np.ceil(longer * threshold - 1e-9))
+
+
+def kept_words(a: list[int], b: list[int], least: int) -> int:
+    """Most words that an alignment keeps in order, if these are ``least`` or more; else -1.
+
+    The alignment stays within the band that ``least`` kept words can't leave: a word is kept
+    at positions that differ by no more than the words lost before it. A row of the band is one
+    integer, in which a bit is 0 where one more word is kept (the longest common subsequence by
+    additions on bits); the band moves on by a bit for each word of ``a``.
+    """
+    n, m = len(a), len(b)
+    before, after = n - least, m - least
+    if before < 0 or after < 0:
+        return -1
+    places: dict[int, int] = {}
+    for j, word in enumerate(b):
+        places[word] = places.get(word, 0) | 1 << j
+    width = before + after + 1
+    top, full = 1 << width - 1, (1 << width) - 1
+    row, kept = full, 0  # kept: those that have left the band
+    for i, word in enumerate(a):
+        if (met := places.get(word, 0)) and (met := row & (met >> i - before if i > before else met << before - i)):
+            row = (row + met | row - met) & full
+        if not row & 1:
+            kept += 1
+        row = row >> 1 | top
+        if not i & 63 and kept + width - row.bit_count() + n - 1 - i < least:
+            return -1
+    kept += width - row.bit_count()
+    return kept if kept >= least else -1
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Kept k-mers by all k-mers of both. Pairs at the threshold keep so many that their
-    positions differ by no more than the rest: farther apart nothing is aligned."""
-    total = len(a) + len(b)
-    if not total or min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return 0.0
-    least = int(np.ceil(total * threshold / (1 + threshold) - 1e-9))
-    kept = aligned(a, b, total - 2 * least)
-    return kept / (total - kept)
+    """Words that an alignment keeps, as a share of the longer text's; 0 below the threshold."""
+    longer = max(len(a), len(b))
+    return max(0, kept_words(a.tolist(), b.tolist(), least_kept(longer, threshold))) / longer if longer else 0.0
 
 
 def _sketched(batches):
     shingles = Shingles()
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
-            rows, texts = (batch.column(c).slice(a, 500) for c in (0, 1))
-            digests, lengths, values = [], [], []
+            row, id, texts = (batch.column(c).slice(a, 500) for c in (0, 1, 2))
+            digests, lengths, sketches, singles, counts = [], [], [], [], []
             for text in texts.to_pylist():
                 digests.append(xxhash.xxh3_128_digest((text or "").encode()))
-                s = shingles.of(text or "")
-                lengths.append(len(s))
-                keys = order_sketches(s) if len(s) else s
-                if 0 < len(s) <= SHORT:
-                    keys = np.concatenate([keys, prefix_keys(s)])
-                values.append(keys.view(np.int64))
-            yield pa.RecordBatch.from_arrays([rows, pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(values, pa.list_(pa.int64()))], names=["row", "digest", "length", "sketches"])
-
-
-def _verified(batches, most: int = 1_000_000):
-    """(x, y, good) of pairs; shingles stay for the next pairs, ``most`` at a time."""
-    shingles, known, held = Shingles(), {}, 0
+                w = shingles.words(text or "")
+                s = shingles.of(w)
+                lengths.append(len(w))
+                sketches.append((order_sketches(s) if len(s) else s).view(np.int64))
+                singles.append((_mix(s ^ _MIX[2]) if len(s) <= SHORT else s[:0]).view(np.int64))
+                counts.append(word_counts(w).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [row, id, pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(singles, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
+                names=["row", "id", "digest", "length", "sketches", "singles", "counts"],
+            )
+
+
+def _tokenised(batches):
+    shingles = Shingles()
+    for batch in batches:
+        for a in range(0, batch.num_rows, 500):
+            row, texts = (batch.column(c).slice(a, 500) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([row, pa.array([shingles.words(t).astype(np.uint32).tobytes() for t in texts.to_pylist()], pa.binary())], names=["row", "words"])
+
+
+def _verified(batches):
+    """The pairs (x, y) whose words align."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            x, y, tx, ty = (c.slice(at, 500) for c in batch.columns)
+        for at in range(0, batch.num_rows, 200):
+            x, y, wx, wy = (c.slice(at, 200) for c in batch.columns)
             good = []
-            for i, pair in enumerate(zip(x.to_pylist(), y.to_pylist())):
-                own = []
-                for row, texts in zip(pair, (tx, ty)):
-                    if (s := known.get(row)) is None:
-                        if held > most:
-                            known.clear()
-                            held = 0
-                        s = known[row] = shingles.of(texts[i].as_py())
-                        held += len(s)
-                    own.append(s)
-                good.append(similarity(*own) >= THRESHOLD)
-            yield pa.RecordBatch.from_arrays([x, y, pa.array(good, pa.bool_())], names=["x", "y", "good"])
+            for a, b in zip(wx, wy):
+                a, b = (np.frombuffer(w.as_buffer(), np.uint32).tolist() for w in (a, b))
+                good.append(kept_words(a, b, least_kept(max(len(a), len(b)))) >= 0)
+            good = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.filter(good), y.filter(good)], names=["x", "y"])
+
+
+class Cell:
+    """Rows of one block, or of two, of one sketch group: which pairs may be similar.
+
+    A pair is left out only for what rules it out: its texts are in one class, or the longer has
+    too many words, or their words' counts differ by more than an alignment may lose, or another
+    key of both is the one that gives this pair.
+    """
+
+    def __init__(self, key: int, split: bool, columns: dict[str, list]) -> None:
+        self.key, self.split = key, split
+        self.rows, self.block = columns["row"], np.array(columns["block"])
+        classes: dict[bytes, int] = {}
+        self.root = np.array([classes.setdefault(r, len(classes)) for r in columns["root"]])
+        self.length = np.array(columns["length"], np.int64)
+        self.sketches = np.array(columns["sketches"], np.int64)
+        self.singles = columns["singles"]
+        self.counts = np.frombuffer(b"".join(columns["counts"]), np.uint8).reshape(-1, BINS)
+
+    def pairs(self, lo: int, hi: int):
+        if not self.split:
+            ends = np.arange(len(self.rows)), np.arange(len(self.rows))
+        else:
+            ends = np.flatnonzero(self.block == lo), np.flatnonzero(self.block == hi)
+        least = np.ceil(self.length * THRESHOLD - 1e-9).astype(np.int64)
+        for a in range(0, len(ends[0]), 256):
+            i, j = ends[0][a : a + 256, None], ends[1][None, :]
+            able = (self.root[i] != self.root[j]) & (self.length[i] >= least[j]) & (self.length[j] >= least[i])
+            if lo == hi:
+                able &= i < j
+            x, y = np.nonzero(able)
+            x, y = ends[0][a + x], ends[1][y]
+            for at in range(0, len(x), 20_000):
+                yield from self.ruled(x[at : at + 20_000], y[at : at + 20_000], least)
+
+    def ruled(self, x: np.ndarray, y: np.ndarray, least: np.ndarray):
+        lost = self.length[x] + self.length[y] - 2 * np.maximum(least[x], least[y])
+        apart = np.abs(self.counts[x].astype(np.int16) - self.counts[y]).sum(axis=1, dtype=np.int64)
+        x, y = x[apart <= lost], y[apart <= lost]
+        same = self.sketches[x] == self.sketches[y]
+        first = same.argmax(axis=1)
+        shared = same.any(axis=1)
+        for a, b, s, j in zip(x.tolist(), y.tolist(), shared.tolist(), first.tolist()):
+            if (self.sketches[a, j] if s else min(set(self.singles[a]).intersection(self.singles[b]))) == self.key:
+                yield self.rows[a], self.rows[b]
+
+
+CELL = "sketch, lo, hi, row, root, block, length, sketches, singles, counts".split(", ")
+
+
+def _met(batches):
+    """(x, y) of the pairs of each cell. Rows come sorted by cell, and one cell is held at a time."""
+    held: dict[str, list] = {c: [] for c in CELL[3:]}
+    cell = None
+
+    def out():
+        if cell is None or len(held["row"]) < 2:
+            return
+        made = Cell(cell[0], cell[1] >= 0, held).pairs(max(cell[1], 0), max(cell[2], 0))
+        while part := [p for _, p in zip(range(20_000), made)]:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in zip(*part)], names=["x", "y"])
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1000):
+            part = batch.slice(a, 1000)
+            keys = list(zip(*(part.column(c).to_pylist() for c in range(3))))
+            columns = {c: part.column(k).to_pylist() for k, c in enumerate(CELL) if k > 2}
+            at = 0
+            while at < len(keys):
+                end = at + 1
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != cell:
+                    yield from out()
+                    cell, held = keys[at], {c: [] for c in CELL[3:]}
+                for c in held:
+                    held[c] += columns[c][at:end]
+                at = end
+    yield from out()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -165,19 +258,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round joins every row with the least root beside it and then takes the root's own
     root, so roots jump; all of it are joins and grouped minima, written out between rounds.
+    Both sides of a join by root are written before it, so that Spark can split a large class.
     """
     both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     roots = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("row"), F.least("a", "m").alias("root")), "roots")
     while True:
         beside = both.join(roots.select(F.col("row").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        hooked = roots.join(beside, roots.row == beside.a).select("row", "root", F.least("root", "r").alias("new"))
+        hooked = stored(roots.join(beside, roots.row == beside.a).select("row", "root", F.least("root", "r").alias("new")), "hooked")
         # the least root found for any member of a root's group becomes that root's root
-        lower = hooked.groupBy("root").agg(F.min("new").alias("to"))
-        jumped = stored(hooked.join(lower, "root").select("row", F.col("root").alias("was"), F.least("new", "to").alias("root")), "roots")
-        changed = jumped.filter("was <> root").limit(1).count()
-        roots = jumped.select("row", "root")
-        if not changed:
+        lower = stored(hooked.groupBy("root").agg(F.min("new").alias("to")).filter("to < root"), "lower")
+        if not lower.limit(1).count():
             return roots
+        roots = stored(hooked.join(lower, "root", "left").select("row", F.coalesce(F.least("new", "to"), "new").alias("root")), "roots")
 
 
 def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -194,109 +286,100 @@ def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
     return stored(old.unionAll(over.join(roots, "row", "left_anti").select("row", "root")), "roots")
 
 
-def sketch_groups(sketches: DataFrame, common: DataFrame) -> DataFrame:
-    """(sketch, row, length, n, at): rows by sketch groups of ``n`` rows, ``at`` their place there.
+def neighbours(members: DataFrame) -> DataFrame:
+    """(x, y): each row of a sketch group with the one before it, in an order of each group's own.
+
+    Similar texts share several sketches and so have several neighbours: these few pairs join
+    nearly all of a class, however large. Groups are dealt into blocks first.
+    """
+    block = F.pmod(F.xxhash64("row", "sketch"), F.ceil(F.col("n") / BLOCK))
+    order = Window.partitionBy("sketch", "block").orderBy(F.xxhash64("sketch", "row"), "row")
+    beside = members.withColumn("block", block).select("row", "length", F.lag("row").over(order).alias("y"), F.lag("length").over(order).alias("y_length"))
+    near = beside.filter(F.least("length", "y_length") >= F.lit(THRESHOLD) * F.greatest("length", "y_length") - 1e-9)
+    return near.select(F.least("row", "y").alias("x"), F.greatest("row", "y").alias("y")).distinct()
+
+
+def crossing_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(x, y): every pair of rows that share a sketch and aren't in one class, but for those that
+    lengths or word counts rule out.
 
-    All groups have one order: first the rows that share most with others, as these are the
-    likeliest to link the rest. Sketches that one row alone has are left out.
+    Rows meet in the cells of their group: a group of up to BLOCK rows is one cell, a larger one
+    is dealt into blocks, each two of which are a cell. So a large group whose texts are
+    dissimilar takes time with its square, by vector comparisons of about 0.1 microseconds a
+    pair, in as many tasks as it has cells, each of which holds two blocks at most.
     """
-    shared = maybe_in(sketches, "sketch", common).join(common, "sketch")
-    degrees = shared.groupBy("row").agg(F.sum("n").alias("degree"))
-    order = Window.partitionBy("sketch").orderBy(F.col("degree").desc(), "row")
-    return shared.join(degrees, "row").select("sketch", "row", "length", "n", (F.row_number().over(order) - 1).alias("at"))
-
-
-def open_groups(members: DataFrame, roots: DataFrame | None, done: int) -> DataFrame:
-    """The groups that have rows of several classes and more than ``done`` rows, with ``root``."""
-    members = members.filter(F.col("n") > done).drop("root")
-    members = members.withColumn("root", F.col("row")) if roots is None else members.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    several = members.groupBy("sketch").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("sketch")
-    return members.join(several, "sketch", "left_semi").select("sketch", "row", "length", "n", "at", "root")
-
-
-def candidate_pairs(members: DataFrame, tried: DataFrame | None, first: int, last: int) -> DataFrame:
-    """(x, y, length, shared) of open groups: the rows in places ``first`` to ``last`` - 1 of each,
-    all of a small one, with every later row there that is of another class, may be similar by
-    its number of shingles and wasn't tried with x. ``length`` is that of x."""
-    end = F.when(F.col("n") <= SMALL, SMALL).otherwise(last)
-    x = members.filter((F.col("at") >= first) & (F.col("at") < end)).select("sketch", F.col("row").alias("x"), F.col("length").alias("length"), F.col("at").alias("x_at"), F.col("root").alias("x_root"))
-    y = members.select("sketch", F.col("row").alias("y"), F.col("length").alias("y_length"), F.col("at").alias("y_at"), F.col("root").alias("y_root"))
-    met = x.join(y, "sketch").filter("x_at < y_at AND x_root <> y_root").filter(F.least("length", "y_length") >= F.lit(THRESHOLD) * F.greatest("length", "y_length"))
-    pairs = met.groupBy("x", "y").agg(F.first("length").alias("length"), F.count("*").alias("shared"))
-    return pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti")
-
-
-def checked_pairs(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(x, y, good) of ``pairs``. Where x are few rows their texts are broadcast, so that each
-    text of y is in an exchange once, however many pairs it is in."""
-    texts = lambda wanted: maybe_in(keyed, "row", wanted).join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    xs, ys = (pairs.select(F.col(c).alias("row")).distinct() for c in ("x", "y"))
-    few = (pairs.select("x", "length").distinct().agg(F.sum("length")).first()[0] or 0) <= BROADCAST_SHINGLES
-    if few:
-        of_x, of_y = F.broadcast(texts(xs)), texts(ys)
-    else:
-        of_x = of_y = texts(xs.unionAll(ys).distinct())
-    met = pairs.join(of_y.select(F.col("row").alias("y"), F.col("text").alias("ty")), "y").join(of_x.select(F.col("row").alias("x"), F.col("text").alias("tx")), "x")
-    return stored(met.select("x", "y", "tx", "ty").mapInArrow(_verified, "x long, y long, good boolean"), "checked")
+    rooted = stored(members.join(roots, "row", "left").select("sketch", "row", "n", F.coalesce("root", "row").alias("root")), "rooted")
+    several = stored(rooted.groupBy("sketch").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("sketch"), "several")
+    open_ = stored(rooted.join(several, "sketch", "left_semi"), "open")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row", "sketch"), F.col("blocks")).cast("int"))
+    held = nodes.select("row", "length", "sketches", "singles", "counts")
+    one = placed.filter("blocks = 1").select("sketch", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), "row", "root", "block")
+    each = placed.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("sketch", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "row", "root", "block")
+    cells = one.unionAll(each).join(held, "row").select(*CELL)
+    return stored(cells.repartition("sketch", "lo", "hi").sortWithinPartitions("sketch", "lo", "hi").mapInArrow(_met, "x binary, y binary"), "crossing-pairs")
+
+
+def linked(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) of the ``pairs`` whose texts align; only texts of such rows are tokenised."""
+    wanted = pairs.select(F.col("x").alias("row")).unionAll(pairs.select(F.col("y").alias("row"))).distinct()
+    words = maybe_in(keyed, "row", wanted).select("row", "text").mapInArrow(_tokenised, "row binary, words binary").dropDuplicates(["row"])
+    met = pairs.join(words.select(F.col("row").alias("x"), F.col("words").alias("wx")), "x").join(words.select(F.col("row").alias("y"), F.col("words").alias("wy")), "y")
+    return stored(met.select("x", "y", "wx", "wy").mapInArrow(_verified, "x binary, y binary"), "links").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(row, id, class_id, class_size): the near-duplicate class of each distinct row, named by its least id.
+    """(row, id, class_id, class_size, first): the near-duplicate class of each distinct row, named by its least id.
 
-    Two texts are linked if an alignment of their occurrence-labelled five-word shingles keeps
-    0.8 or more of all of them (words in lower case, without punctuation); classes are what links
-    connect. Equal texts are one text from the start. Candidates share one of 24 sketches of
-    four k-mers in text order; texts of up to 24 shingles also meet by single shingles, so that
-    no link of a text under 20 is missed. The first turn verifies for each text its most promising
-    candidate, the next ones what still crosses classes, until every pair that shares a sketch
-    was verified, is in one class anyhow or differs too much in its number of shingles. So the
-    pairs of a large group of texts that share a sketch but aren't similar grow with its square.
+    Two texts are linked if an alignment keeps, in order, 0.8 or more of the longer one's words
+    (in lower case, without punctuation) and they share a sketch; classes are what links connect.
+    A sketch is a pair of occurrence-labelled five-word k-mers in text order, the least by one of
+    24 hash functions. Texts of up to 30 k-mers also meet by each k-mer. Equal texts are one text
+    from the start.
+
+    First each row is aligned with its neighbours in its sketch groups, which joins nearly all of
+    a class; then every pair that shares a sketch and isn't in one class yet, unless its lengths
+    or word counts show that it can't align. No pair is left out for the size of its group.
 
     Texts without words are linked to equal texts alone; a null text counts as empty, so all
     null and empty texts are one class. Null ids are ids like others (a class of nulls alone
-    has a null id); repeated rows are one row here. An empty table gives no rows.
+    has a null id); repeated rows are one row here. Very long texts are compared whole. Columns
+    of other names than ``text`` and ``id`` aren't read. An empty table gives no rows.
     """
-    keyed = docs.select(row_key(id, text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
-    base = stored(keyed.mapInArrow(_sketched, "row long, digest binary, length int, sketches array<long>"), "sketches").dropDuplicates(["row"])
-    copies = stored(base.join(base.groupBy("digest").agg(F.min("row").alias("rep")), "digest").select("row", "rep", "length", F.when(F.col("row") == F.col("rep"), F.col("sketches")).alias("sketches")), "copies")
-    # most sketches are one row's alone: those go before the turns
-    sketches = copies.filter("sketches IS NOT NULL").select("row", "length", F.explode("sketches").alias("sketch"))
+    keyed = docs.select(row_key(id, text).alias("row"), F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    kind = docs.schema[id].dataType.simpleString()
+    base = stored(keyed.mapInArrow(_sketched, f"row binary, id {kind}, digest binary, length int, sketches array<bigint>, singles array<bigint>, counts binary"), "sketches")
+    copies = stored(base.select("row", "id", "digest").dropDuplicates(["row"]), "copies")
+    texts = copies.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    texts = stored(texts, "texts")
+    nodes = stored(base.drop("id").join(texts.select("digest", "row"), ["digest", "row"], "left_semi").dropDuplicates(["digest", "row"]), "nodes")
+
+    sketches = nodes.select("row", "length", F.explode(F.concat("sketches", "singles")).alias("sketch"))
     common = stored(sketches.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1"), "common")
-    open_ = sketch_groups(sketches, common)
+    # most sketches are one row's alone: those stay out of all that follows
+    members = stored(maybe_in(sketches, "sketch", common).join(common, "sketch").select("sketch", "row", "length", "n"), "members")
+    roots = merged(None, linked(keyed, stored(neighbours(members), "neighbours")))
+    roots = merged(roots, linked(keyed, crossing_pairs(members, nodes, roots)))
 
-    roots = tried = None
-    turn = done = 0
-    while True:
-        open_ = stored(open_groups(open_, roots, done), "open")
-        if not open_.limit(1).count():
-            break
-        last = 1 if turn == 0 else max(SMALL, done * GROWTH)
-        pairs = candidate_pairs(open_, tried, done, last)
-        if turn == 0:  # one pair for each row is enough to join most of a class
-            best = pairs.groupBy("y").agg(F.max_by(F.struct("x", "length"), F.struct("shared", "x")).alias("best"))
-            pairs = best.select("best.x", "y", "best.length")
-        else:
-            done = last
-        turn += 1
-        pairs = stored(pairs.select("x", "y", "length"), "pairs")
-        if not pairs.limit(1).count():
-            continue
-        checked = checked_pairs(keyed, pairs)
-        tried = pairs.select("x", "y") if tried is None else tried.unionAll(pairs.select("x", "y"))
-        roots = merged(roots, checked.filter("good").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    members = copies.select("row", "rep")
-    if roots is not None:
-        members = members.join(roots.withColumnRenamed("row", "rep"), "rep", "left").select("row", F.coalesce("root", "rep").alias("class"))
-    else:
-        members = members.select("row", F.col("rep").alias("class"))
-    ids = docs.select(row_key(id, text).alias("row"), F.col(id).alias("id")).dropDuplicates(["row"])
-    members = stored(members.join(ids, "row"), "members")
-    named = members.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.min_by("row", F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("first_row"))
-    return members.join(named, "class").select("row", F.col("id"), "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("first"))
-
-
-def near_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each class, that with the least id."""
+    of_text = stored(texts.join(roots, "row", "left").select("digest", F.coalesce("root", "row").alias("class"), "copies", "least", "first"), "classes")
+    named = of_text.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("first"))
+    named = stored(named.select("class", "class_id", "class_size", F.col("first.row").alias("first_row")), "named")
+    found = stored(of_text.select("digest", "class").join(named, "class").select("digest", "class_id", "class_size", "first_row"), "found")
+    return copies.join(found, "digest").select("row", "id", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("first"))
+
+
+def near_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each class, that with the least id, nulls last.
+
+    Rows that repeat id and text are one document, so one of them stays. Null and empty texts
+    are one class. All columns are kept, whatever their names; an empty table gives an empty one.
+    Documents that lose nothing stay where they are: only those that may go are exchanged.
+    """
     row = free_name(docs, "row")
-    gone = near_duplicates(docs, text, id, **options).filter(~F.col("first")).select(F.col("row").alias(row))
-    return docs.withColumn(row, row_key(id, text)).join(gone, row, "left_anti").dropDuplicates([row]).drop(row)
+    keyed = docs.withColumn(row, row_key(id, text))
+    twice = keyed.groupBy(row).agg(F.count("*").alias("n")).filter("n > 1").select(row)
+    gone = stored(near_duplicates(docs, text, id).filter(~F.col("first")).select(F.col("row").alias(row)), "gone")
+    touched = stored(gone.unionAll(twice), "touched")
+    left = maybe_in(keyed, row, touched).join(gone, row, "left_anti").dropDuplicates([row])
+    return maybe_in(keyed, row, touched, inverse=True).select(docs.columns).unionAll(left.select(docs.columns))

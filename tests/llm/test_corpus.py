@@ -153,6 +153,37 @@ def test_substring_dedup_odd_rows(docs, none):
     assert set(found.columns) >= {"row", "size", "key", "part"} and substrings.substring_dedup(none).count() == 0
 
 
+def test_the_search_decides(spark, monkeypatch):
+    """Without what the FM-index finds, windows of passages that differ stay."""
+    rows = corpus()
+    frame, expected = spark.createDataFrame(rows, "doc_id long, text string"), removed([((i, 0), t) for i, t in rows], 13)
+    lost = lambda: {(r.doc_id, 0): r.n_removed for r in substrings.substring_dedup(frame).collect()}
+    assert lost() == {k: v[1] for k, v in expected.items()}
+    made = substrings._searched
+    monkeypatch.setattr(substrings, "_searched", lambda window, f=made: lambda batches: _unfound(f(window)(batches)))
+    assert sum(lost().values()) < sum(v[1] for v in expected.values()) - 100
+
+
+def _unfound(batches):
+    for batch in batches:
+        yield batch.set_column(3, "least", pa.array([None] * batch.num_rows, pa.list_(pa.int64())))
+
+
+def test_words_where_they_lie(monkeypatch):
+    """Pieces and long words change nothing; words are bytes between ASCII white space."""
+    rng = np.random.default_rng(2)
+    texts = ["", " ", "a", "\x1c\x85\u2003 b", "x" * 500, *("".join(rng.choice(list("ab é\n\t\x0b\x0c\r日"), int(rng.integers(0, 80)))) for _ in range(300))]
+    whole, sizes = substrings.Anchored(13).words(pa.array(texts))
+    split = [t.encode().split() for t in texts]
+    assert sizes.tolist() == list(map(len, split))
+    words = [w for x in split for w in x]
+    assert len(set(zip(words, whole.tolist()))) == len(set(words)) == len(set(whole.tolist()))
+    assert [n & 255 for n in whole.tolist()] == [min(255, len(w)) for w in words]
+    monkeypatch.setattr(substrings, "PIECE", 600)
+    pieces, _ = substrings.Anchored(13).words(pa.array(["no", *texts, "no"])[1:-1])
+    assert pieces.tolist() == whole.tolist()
+
+
 def test_matching_statistics():
     rng = np.random.default_rng(0)
     for _ in range(60):
@@ -278,11 +309,31 @@ def test_verbatim_passages_by_brute_force(spark, monkeypatch):
 # --- near duplicates
 
 
+def words_and_shingles(text):
+    words = re.findall(r"\w+", text.lower())
+    return words, {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def lcs(a, b):
+    """By the table."""
+    above = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[-1]))
+        above = row
+    return above[-1]
+
+
+def are_linked(a, b):
+    longer = max(len(a[0]), len(b[0]))
+    return bool(a[1] & b[1]) and min(len(a[0]), len(b[0])) >= 0.8 * longer and lcs(a[0], b[0]) >= 0.8 * longer
+
+
 def test_near_duplicates_by_brute_force(spark):
     rows = corpus(n=220)
     found = {r.id: r for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    tool = near.Shingles()
-    of = [tool.of(t) for _, t in rows]
+    of = [words_and_shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -292,7 +343,7 @@ def test_near_duplicates_by_brute_force(spark):
 
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][1] == rows[j][1] or near.similarity(of[i], of[j]) >= 0.8:
+            if rows[i][1] == rows[j][1] or are_linked(of[i], of[j]):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     assert {i: r.class_id for i, r in found.items()} == {i: find(i) for i in range(len(rows))}
     assert sum(r.first for r in found.values()) == len({find(i) for i in range(len(rows))})
@@ -310,19 +361,30 @@ def test_large_near_groups(spark):
     assert collections.Counter(r.class_id for r in found) == {0: 70} | {1000 + i: 1 for i in range(20)}
 
 
-def test_star_shaped_near_group(spark):
-    """1000 copies that are linked to their original, but not to each other."""
+def test_star_shaped_near_group(spark, monkeypatch):
+    """Copies that are linked to their original, but few to each other; one group takes several blocks."""
+    monkeypatch.setattr(near, "BLOCK", 64)
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdef"), 6))
     base = [word() for _ in range(200)]
     rows = [(5000, " ".join(base))]
-    for i in range(1000):
-        words = list(base)
-        for k in (int(rng.integers(5, 45)) + 50 * j for j in range(4)):
-            words[k] = word()
-        rows.append((i, " ".join(words)))
+    for i in range(600):
+        at = int(rng.integers(0, 164))
+        rows.append((i, " ".join(base[:at] + [word() for _ in range(36)] + base[at + 36 :])))
     found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert collections.Counter(r.class_id for r in found) == {0: 1001}
+    assert collections.Counter(r.class_id for r in found) == {0: 601}
+
+
+def test_common_passage_links_nothing(spark, monkeypatch):
+    """A passage in all texts makes large sketch groups of texts that aren't similar; two of them are."""
+    monkeypatch.setattr(near, "BLOCK", 64)
+    rng = np.random.default_rng(7)
+    say = lambda n: ["".join(rng.choice(list("abcdef"), 6)) for _ in range(n)]
+    passage = say(60)
+    rows = [(i, " ".join(say(40) + passage + say(40))) for i in range(300)]
+    rows.append((900, rows[17][1] + " and more"))
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.class_id for r in found} == {i: i for i in range(300)} | {900: 17}
 
 
 def test_every_pair_of_a_large_sketch_group_meets(spark, monkeypatch):
@@ -330,13 +392,14 @@ def test_every_pair_of_a_large_sketch_group_meets(spark, monkeypatch):
     rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(list("abcdef"), 6))
     chain, rows = [word() for _ in range(100)], []
-    for i in range(40):  # 10 new shingles or fewer of 96 at each step
+    for i in range(40):  # a new word at each step: texts over 20 steps apart aren't linked
         rows.append((100 + i, " ".join(chain)))
         chain[(7 * i) % 90 + 5] = word()
     owner = [word() for _ in range(100)]
     rows += [(i, " ".join([*owner, str(i)])) for i in range(60)]
     pair = [word() for _ in range(100)]
     rows += [(200, " ".join(pair)), (201, " ".join(pair[:-1])), (202, " ".join(word() for _ in range(100)))]
+    monkeypatch.setattr(near, "BLOCK", 25)
     made = near._sketched
     monkeypatch.setattr(near, "_sketched", lambda batches, f=made: _one_sketch(f, batches))
     found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -350,16 +413,22 @@ def _one_sketch(sketched, batches):
 
 
 def test_short_texts_always_meet():
+    """Texts of up to 24 shingles that share one and align have a key in common."""
     rng = np.random.default_rng(9)
-    keys = lambda texts: [k for b in near._sketched([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["row", "text"])]) for k in b.column("sketches").to_pylist()]
-    texts = [" ".join("".join(rng.choice(list("abcdef"), 6)) for _ in range(n)) for n in [8] * 1500 + list(range(1, 24)) * 5]
-    longer = [t + " more" for t in texts]
-    tool, linked = near.Shingles(), 0
-    for t, u, a, b in zip(texts, longer, keys(texts), keys(longer)):
-        if near.similarity(tool.of(t), tool.of(u)) >= 0.8:
+    texts = [" ".join("".join(rng.choice(list("abcdef"), 6)) for _ in range(n)) for n in [8] * 500 + list(range(5, 29)) * 20]
+    linked = 0
+    for t in texts:
+        words = t.split(" ")
+        for k in rng.integers(0, len(words), len(words) // 7):
+            words[k] = "new"
+        pair = [t, " ".join([*words, "more"])]
+        a, b = map(words_and_shingles, pair)
+        if are_linked(a, b):
             linked += 1
-            assert set(a) & set(b)
-    assert linked > 1500
+            (batch,) = near._sketched([pa.RecordBatch.from_arrays([pa.array([b"0", b"1"]), pa.array([0, 1]), pa.array(pair)], names=["row", "id", "text"])])
+            first, second = ({*x, *y} for x, y in zip(batch.column("sketches").to_pylist(), batch.column("singles").to_pylist()))
+            assert first & second
+    assert linked > 400
 
 
 def test_near_odd_rows(docs, none):
@@ -374,11 +443,37 @@ def test_near_odd_rows(docs, none):
 
 
 def test_alignment():
+    """The bits' longest common subsequence is the table's, wherever that is long enough."""
     a = np.arange(100, dtype=np.uint64)
-    assert near.similarity(a, a) == 1.0 and near.similarity(a, a[::-1]) < 0.05
-    assert near.similarity(a, a[:80]) == 0.8 and near.similarity(a, a[:79]) < 0.8
-    assert near.aligned(a, np.concatenate([a[50:], a[:50]]), 200) == 50
-    assert near.similarity(a[:0], a[:0]) == 0.0
+    assert near.similarity(a, a) == 1.0 and near.similarity(a, a[::-1]) == 0.0
+    assert near.similarity(a, a[:80]) == 0.8 and near.similarity(a, a[:79]) == 0.0
+    assert near.similarity(a[:0], a[:0]) == 0.0 and near.similarity(a[:0], a) == 0.0
+    rng, long_enough = np.random.default_rng(1), 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 90))
+        a = rng.integers(0, int(rng.choice([2, 5, 40])), n).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(0, n // 3 + 2))):
+            at, what = int(rng.integers(0, len(b) + 1)), rng.random()
+            if what < 0.4:
+                b.insert(at, int(rng.integers(0, 40)))
+            elif what < 0.7 and len(b) > 1:
+                b.pop(min(at, len(b) - 1))
+            else:
+                b[min(at, len(b) - 1)] = int(rng.integers(0, 40))
+        longest, least = lcs(a, b), near.least_kept(max(len(a), len(b)))
+        assert near.kept_words(a, b, least) == (longest if longest >= least else -1)
+        long_enough += longest >= least
+    assert 300 < long_enough < 1400
+
+
+def test_word_counts_rule_out_no_link():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = rng.integers(0, 1000, int(rng.integers(20, 3000))).astype(np.uint64)
+        b = np.delete(a, rng.choice(len(a), len(a) // 5, replace=False))
+        c, d = (near.word_counts(x).astype(int) for x in (a, b))
+        assert np.abs(c - d).sum() <= len(a) + len(b) - 2 * near.least_kept(len(a))
 
 
 # --- sharding
@@ -563,11 +658,10 @@ def test_pipeline(spark, tmp_path):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
     seen = collections.Counter(k for _, t in kept for k in {key(x) for x in t.split("\n")})
     kept = [(i, "\n".join(x for x in t.split("\n") if not (key(x) and seen[key(x)] >= 10))) for i, t in kept]
-    tool, firsts = near.Shingles(), []
     classes = {}
     for i, t in sorted(kept):
-        of = tool.of(t)
-        links = [c for c, members in classes.items() if any(t == u or near.similarity(of, v) >= 0.8 for u, v in members)]
+        of = words_and_shingles(t)
+        links = [c for c, members in classes.items() if any(t == u or are_linked(of, v) for u, v in members)]
         merged = [(t, of)] + [m for c in links for m in classes.pop(c)]
         classes[min([i, *links])] = merged
     firsts = {i: t for i, t in kept if i in classes and i != 2000}
