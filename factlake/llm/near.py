@@ -17,7 +17,7 @@ K, SKETCHES, PICKS, THRESHOLD = 5, 24, 2, 0.8
 #: aligned at the threshold with none of more than 30.
 SHORT = 30
 #: Rows of a sketch group that are held at once; larger groups are dealt into blocks of so many.
-BLOCK = 2048
+BLOCK = 1024
 #: Counters of a text's words. Two texts' counters differ by no more than their words do.
 BINS = 256
 
@@ -256,20 +256,23 @@ def _met(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(row, root) of the rows in ``edges`` (a, b), root the least row linked to it.
 
-    Each round joins every row with the least root beside it and then takes the root's own
-    root, so roots jump; all of it are joins and grouped minima, written out between rounds.
-    Both sides of a join by root are written before it, so that Spark can split a large class.
+    Each round points every row to the least row beside it, follows the pointers twice over and
+    puts the rows' pointers for the rows in the edges, of which fewer than half stay between
+    different ones; all of it are joins and grouped minima, written out between rounds. What a
+    join by root reads is written before it, so that Spark can split a large class.
     """
-    both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    roots = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("row"), F.least("a", "m").alias("root")), "roots")
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges, roots = stored(both.distinct(), "edges"), None
     while True:
-        beside = both.join(roots.select(F.col("row").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        hooked = stored(roots.join(beside, roots.row == beside.a).select("row", "root", F.least("root", "r").alias("new")), "hooked")
-        # the least root found for any member of a root's group becomes that root's root
-        lower = stored(hooked.groupBy("root").agg(F.min("new").alias("to")).filter("to < root"), "lower")
-        if not lower.limit(1).count():
+        pointers = stored(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("row"), F.least("a", "b").alias("root")), "pointers")
+        for _ in range(2):
+            pointers = stored(pointers.join(pointers.select(F.col("row").alias("root"), F.col("root").alias("up")), "root").select("row", F.col("up").alias("root")), "pointers")
+        at = {end: pointers.select(F.col("row").alias(end), F.col("root").alias(f"{end}_root")) for end in ("a", "b")}
+        roots = pointers if roots is None else stored(roots.join(at["a"].withColumnRenamed("a", "root"), "root", "left").select("row", F.coalesce("a_root", "root").alias("root")), "roots")
+        edges = edges.join(at["a"], "a").join(at["b"], "b").filter("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        edges = stored(edges.distinct(), "edges")
+        if not edges.limit(1).count():
             return roots
-        roots = stored(hooked.join(lower, "root", "left").select("row", F.coalesce(F.least("new", "to"), "new").alias("root")), "roots")
 
 
 def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -287,15 +290,16 @@ def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
 
 
 def neighbours(members: DataFrame) -> DataFrame:
-    """(x, y): each row of a sketch group with the one before it, in an order of each group's own.
+    """(x, y): each row of a sketch group with the one before it, by length and then by hash.
 
-    Similar texts share several sketches and so have several neighbours: these few pairs join
-    nearly all of a class, however large. Groups are dealt into blocks first.
+    Similar texts share several sketches, in whose groups others stand between them or don't, so
+    each has several neighbours: these few pairs join nearly all of a class, however large.
+    Groups are dealt into blocks first, which differ from sketch to sketch.
     """
     block = F.pmod(F.xxhash64("row", "sketch"), F.ceil(F.col("n") / BLOCK))
-    order = Window.partitionBy("sketch", "block").orderBy(F.xxhash64("sketch", "row"), "row")
+    order = Window.partitionBy("sketch", "block").orderBy("length", F.xxhash64("row"), "row")
     beside = members.withColumn("block", block).select("row", "length", F.lag("row").over(order).alias("y"), F.lag("length").over(order).alias("y_length"))
-    near = beside.filter(F.least("length", "y_length") >= F.lit(THRESHOLD) * F.greatest("length", "y_length") - 1e-9)
+    near = beside.filter(F.col("y").isNotNull() & (F.least("length", "y_length") >= F.lit(THRESHOLD) * F.greatest("length", "y_length") - 1e-9))
     return near.select(F.least("row", "y").alias("x"), F.greatest("row", "y").alias("y")).distinct()
 
 
