@@ -5,6 +5,8 @@ SQL functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from factlake.llm.common import free_name, maybe_in, row_key, stored
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 UNITS = "kg g mg t lb oz km m cm mm mi ft in l ml s sec min h hr ms kb mb gb tb percent dollars euros pounds cents miles metres meters kilometers hours minutes seconds days weeks months years degrees watts volts joules newtons".split()
 SEPARATOR = r"[^\p{L}\p{M}\p{N}\x01\x02\x03]+"
+#: What stands between runs of letters.
+LETTERS = r"[^\p{L}\p{M}]+"
 
 #: More benchmark windows than this aren't broadcast.
 BROADCAST_WINDOWS = 500_000
@@ -76,27 +80,66 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, te
     """
     keyed = docs.select(row_key(id, text).alias("row"), F.col(text).alias("text"))
     asked = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
-    if not whole:
-        return _matches(keyed, asked, marked, window, False)
-    sizes = asked.select(plain(F.col("text")).alias("plain")).select(words(F.col("plain")).alias("w")).filter("w[0] <> ''").select(F.size("w").alias("n"))
-    short = sorted(r.n for r in sizes.filter(F.col("n") < window).distinct().collect())
-    ways = [_matches(keyed, asked, marks, window, True) for marks in (marked, plain, lambda text: marked(text, everywhere=True))] + [_matches(keyed, asked, plain, n, True, of_size=n) for n in short]
-    every = ways[0].withColumn("way", F.lit(0))
-    for way, more in enumerate(ways[1:], 1):
-        every = every.unionAll(more.withColumn("way", F.lit(way)))
+    ways = [(marked, window, None)]
+    if whole:
+        sizes = asked.select(plain(F.col("text")).alias("plain")).select(words(F.col("plain")).alias("w")).filter("w[0] <> ''").select(F.size("w").alias("n"))
+        short = sorted(r.n for r in sizes.filter(F.col("n") < window).distinct().collect())
+        ways += [(plain, window, None), (lambda text: marked(text, everywhere=True), window, None)] + [(plain, n, n) for n in short]
+    tables = [sought_windows(asked, *way) for way in ways]
+    keyed = candidates(keyed, [sought for _, sought in tables])
+    every = None
+    for way, ((marks, length, _), (items, sought)) in enumerate(zip(ways, tables)):
+        found = _matches(keyed, items, sought, marks, length, whole).withColumn("way", F.lit(way))
+        every = found if every is None else every.unionAll(found)
     first = lambda c: F.min_by(c, "way").alias(c)
     return every.groupBy("row", "item").agg(*[F.max(c).alias(c) for c in ("n_windows", "n_slots", "n_changed")], first("first_word"), first("last_word"))
 
 
-def _matches(keyed: DataFrame, asked: DataFrame, marks, window: int, whole: bool, of_size: int | None = None) -> DataFrame:
-    """``template_matches`` by one way to mark texts, of all items or those of ``of_size`` words."""
+def sought_windows(asked: DataFrame, marks, window: int, of_size: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The items by one way to mark texts, all or those of ``of_size`` words, and their windows:
+    (hash, item_row, item_at, one, other). ``one`` and ``other`` are the longest runs of letters
+    among the window's words that aren't slots; null where it has none, or no second one."""
     items = asked.select("item", marks(F.col("text")).alias("marked")).distinct()
     items = items.select(F.xxhash64("item", "marked").alias("item_row"), "item", words(F.col("marked")).alias("item_words"), template(F.col("marked")).alias("item_template"))
     if of_size is not None:
         items = items.filter((F.size("item_words") == of_size) & (F.col("item_words")[0] != ""))
     sought = items.select("item_row", "item_template", F.posexplode(windows("item_template", window)).alias("item_at", "hash"))
-    slots = F.size(F.filter(F.slice("item_template", F.col("item_at") + 1, window), lambda w: w.isin(NUMBER, NAME, UNIT)))
-    sought = stored(sought.filter(slots * 2 <= window).select("hash", "item_row", "item_at"), "benchmark-windows")
+    tokens = F.slice("item_template", F.col("item_at") + 1, window)
+    literal = F.filter(tokens, lambda w: ~w.isin(NUMBER, NAME, UNIT))
+    runs = F.array_distinct(F.filter(F.split(F.array_join(literal, " "), LETTERS), lambda w: w != ""))
+    runs = F.reverse(F.array_sort(F.transform(runs, lambda w: F.struct(F.length(w).alias("n"), w.alias("run")))))
+    sought = sought.filter((F.size(tokens) - F.size(literal)) * 2 <= window).withColumn("runs", runs)
+    run = lambda k: F.get("runs", F.lit(k))["run"]
+    return items, stored(sought.select("hash", "item_row", "item_at", run(0).alias("one"), run(1).alias("other")), "benchmark-windows")
+
+
+def candidates(keyed: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """The distinct rows of ``keyed`` that may hold a window: those that have its two longest
+    words, in any place. Most documents stop here, before any window is made of them.
+
+    Windows without a letter are sought by their numbers' digits: documents with any of these.
+    """
+    pairs = reduce(DataFrame.unionAll, [t.select("one", "other") for t in tables]).distinct()
+    pairs = stored(pairs.select("one", F.coalesce("other", "one").alias("other"), F.col("one").isNull().alias("wordless")), "anchor-words")
+    sought = pairs.filter("NOT wordless")
+    single = stored(sought.select(F.col("one").alias("token")).unionAll(sought.select("other")).distinct(), "anchor-tokens")
+    texts = keyed.filter("text IS NOT NULL")
+    tokens = texts.select("row", F.explode(F.split(F.lower("text"), LETTERS)).alias("token"))
+    if single.count() <= BROADCAST_WINDOWS:
+        hits = tokens.join(F.broadcast(single), "token", "left_semi")
+    else:
+        hits = maybe_in(tokens, "token", single).join(single, "token", "left_semi")
+    held = hits.groupBy("row").agg(F.collect_set("token").alias("held"))
+    some = held.select("row", "held", F.explode("held").alias("one"))
+    some = some.join(F.broadcast(sought) if sought.count() <= BROADCAST_WINDOWS else sought, "one").filter(F.array_contains("held", F.col("other"))).select("row")
+    if pairs.filter("wordless").limit(1).count():
+        some = some.unionAll(texts.filter(F.col("text").rlike(r"\p{N}")).select("row"))
+    return stored(maybe_in(texts, "row", some.distinct()).dropDuplicates(["row"]), "candidates")
+
+
+def _matches(keyed: DataFrame, items: DataFrame, sought: DataFrame, marks, window: int, whole: bool) -> DataFrame:
+    """``template_matches`` by one way to mark texts."""
+    sought = sought.select("hash", "item_row", "item_at")
     small = sought.count() <= BROADCAST_WINDOWS
 
     found = keyed.select("row", template(marks(F.col("text"))).alias("template"))
@@ -105,7 +148,7 @@ def _matches(keyed: DataFrame, asked: DataFrame, marks, window: int, whole: bool
     pairs = stored(found.groupBy("row", "item_row", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.sort_array(F.collect_set(F.struct("at", "item_at"))).alias("places")), "template-pairs")
 
     # the few documents that match come again, for their words
-    texts = maybe_in(keyed, "row", pairs).join(pairs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    texts = maybe_in(keyed, "row", pairs).join(pairs.select("row").distinct(), "row", "left_semi")
     texts = texts.select("row", marks(F.col("text")).alias("marked")).select("row", words(F.col("marked")).alias("words"), template(F.col("marked")).alias("template"))
     both = pairs.join(texts, "row").join(items, "item_row")
     same = lambda p: F.slice("template", p.at + 1, window) == F.slice("item_template", p.item_at + 1, window)
