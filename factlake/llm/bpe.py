@@ -13,6 +13,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
@@ -83,6 +84,10 @@ class Pieces:
                 yield False, self._plain(part)
 
 
+#: Words of more bytes than this are encoded alone, without nodes in the trie.
+LONG = 2000
+
+
 class PrefixTrie:
     """Encodes words of bytes; see the module text.
 
@@ -152,6 +157,9 @@ class PrefixTrie:
         out = []
         vocab, starts, fits = self.vocab, self.starts, self.fits
         for word in words:
+            if len(word) > LONG:
+                out.append(self.encode_alone(word))
+                continue
             if len(self.last) > self.max_nodes:
                 self.clear()
             child, last, back, reach = self.child, self.last, self.back, self.reach
@@ -193,11 +201,41 @@ class PrefixTrie:
             out.append(tuple(tokens[::-1]))
         return out
 
+    def encode_alone(self, word: bytes) -> tuple[int, ...]:
+        """Tokens of a word that gets no nodes: four bytes for each of its bytes, and no more."""
+        vocab, starts, fits = self.vocab, self.starts, self.fits
+        last, reach = array("i", bytes(4 * len(word) + 4)), 0
+        for depth in range(1, len(word) + 1):
+            while word[reach:depth] not in starts:
+                reach += 1
+            start = reach
+            while True:
+                token = vocab.get(word[start:depth])
+                if token is not None:
+                    if start:
+                        pair = last[start] << 20 | token
+                        fit = fits.get(pair)
+                        if fit is None:
+                            fit = fits[pair] = self._alone(token) and self._meet(last[start], token)
+                    else:
+                        fit = self._alone(token)
+                    if fit:
+                        break
+                start += 1
+                if start == depth:
+                    raise ValueError("the vocabulary lacks a byte")
+            last[depth] = token
+        tokens, at = array("i"), len(word)
+        while at:
+            tokens.append(last[at])
+            at -= len(self.bytes_of[last[at]])
+        return tuple(tokens[::-1])
+
 
 class ByteBpe:
     """Encoder and decoder for a tokenizer file with byte-level BPE."""
 
-    def __init__(self, path: str, max_words: int = 500_000) -> None:
+    def __init__(self, path: str, max_words: int = 300_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -223,6 +261,7 @@ class ByteBpe:
         self.pieces = Pieces(list(self.special), self._library_split)
         self.max_words = max_words
         self.known: dict[str, str] = {}
+        self.long: list[str] = []  # those that aren't kept after their batch
 
     def _library_split(self, text: str) -> list[str]:
         if self.library is None:
@@ -237,6 +276,7 @@ class ByteBpe:
             self.known.clear()
         new = sorted(map(str.encode, set(pieces).difference(self.known)))
         digits = self.digits.__getitem__
+        self.long += [w.decode() for w in new if len(w) > LONG]
         self.known.update((w.decode(), ",".join(map(digits, ids))) for w, ids in zip(new, self.trie.encode(new)))
 
     def encode_batch(self, texts: list[str]) -> list[str]:
@@ -244,7 +284,11 @@ class ByteBpe:
         split = [list(self.pieces.parts(t)) for t in texts]
         self.learn(chain.from_iterable(p for parts in split for special, p in parts if not special))
         known = self.known.__getitem__
-        return [",".join(chain.from_iterable((self.digits[self.special[p[0]]],) if special else map(known, p) for special, p in parts)) for parts in split]
+        encoded = [",".join(chain.from_iterable((self.digits[self.special[p[0]]],) if special else map(known, p) for special, p in parts)) for parts in split]
+        for word in self.long:
+            self.known.pop(word, None)
+        self.long.clear()
+        return encoded
 
     def decode(self, ids: str) -> str:
         return b"".join(map(self.bytes_of_digits.__getitem__, ids.split(","))).decode("utf-8", "replace")
@@ -284,7 +328,8 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, text: str = "text", ids: boo
     Map-only: no exchange, and each worker keeps a bounded trie and word table. A null text
     counts as empty: no tokens, and the digests of the empty string. Other columns may be null
     and pass unchanged; columns of ``docs`` named like a result are replaced. Repeated rows
-    each give their row; an empty table gives an empty one.
+    each give their row; an empty table gives an empty one. A very long word, as of a blob
+    without spaces, gets no trie nodes and isn't kept.
     """
     results = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if ids else {})
     kept = [c for c in docs.columns if c not in results and c != text]

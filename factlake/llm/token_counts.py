@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from factlake.llm.bpe import byte_bpe, n_ids, text_chunks
-from factlake.llm.common import free_name
+from factlake.llm.common import free_name, stored
 
 CACHE = "digest binary, n_tokens long, tokenizer string"
 
@@ -49,7 +49,8 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame | None
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None
-    return found.filter(F.col("tokenizer") == version).select("digest", "n_tokens")
+    # two jobs at once, or one that was run again, may have appended a digest twice
+    return stored(found.filter(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"]), "cache-view")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text") -> DataFrame:
@@ -59,7 +60,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     normalisation, which would change counts) is known by its SHA-256 and the tokenizer by its
     file's. Digests join the counts stored under ``cache``; of those that aren't there, one text
     each is encoded and its count appended. Copies meet first within their input task, so a
-    text with any number of copies sends one row from each task. Repeated rows each give their
+    text with any number of copies sends one row from each task. A digest that the cache holds twice
+    counts once. Repeated rows each give their
     row; columns named like a result are replaced; an empty table gives an empty one.
     """
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
@@ -67,9 +69,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     whole = F.coalesce(docs[text], F.lit(""))
     of_text = F.unhex(F.sha2(whole, 256))
     misses = docs.select(of_text.alias("digest"), whole.alias("text"))
-    stored = read_cache(spark, cache, version)
-    if stored is not None:
-        misses = misses.join(stored.select("digest"), "digest", "left_anti")
+    cached = read_cache(spark, cache, version)
+    if cached is not None:
+        misses = misses.join(cached.select("digest"), "digest", "left_anti")
 
     def run(batches):
         count = counter(tokenizer)
