@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.common import fresh_path, stored
+from factlake.llm.common import fresh_path, maybe_in, stored
 
 # Fixed values of the WARC and zstd formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -159,14 +159,17 @@ def read_archive(source, chunk: int = 65_536) -> Iterator[bytes]:
 def with_revisits(pages: DataFrame, min_bytes: int = 1000, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, payload, refers_to): of equal payloads of at least ``min_bytes``, those
     without the largest id refer to it. Only digests are grouped, and they meet within a task
-    first; payloads without a copy join nothing."""
+    first; payloads without a copy stay where they are. A payload with very many copies joins
+    one row, which Spark can give to several tasks."""
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
-    digest = F.when(F.octet_length("payload") >= min_bytes, F.unhex(F.sha1("payload")))
-    copies = rows.select("page_id", digest.alias("digest")).filter("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # rows that join nothing get keys of their own, so that no task gathers all of them
-    joined = rows.withColumn("digest", F.coalesce(digest, F.unhex(F.sha1(F.concat(F.lit(b"small"), F.col("payload"), F.col("page_id").cast("string").cast("binary")))))).join(copies, "digest", "left")
-    return joined.select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("largest")), F.col("largest")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.unhex(F.sha1("payload"))))
+    copies = rows.select("page_id", "digest").filter("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = stored(copies, "copies")
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("largest")), F.col("largest")).alias("refers_to")
+    joined = maybe_in(rows, "digest", copies).join(copies, "digest", "left").select("page_id", "url", "payload", refers)
+    alone = maybe_in(rows, "digest", copies, inverse=True).select("page_id", "url", "payload", F.lit(None).cast(pages.schema[id].dataType).alias("refers_to"))
+    return alone.unionAll(joined)
 
 
 def write_warcs(rows: DataFrame, folder: str, archive_bytes: int = 64_000_000, sample_bytes: int = 2_000_000) -> DataFrame:
@@ -211,7 +214,7 @@ def write_warcs(rows: DataFrame, folder: str, archive_bytes: int = 64_000_000, s
 
 
 def read_warcs(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the listed archives, one task for one or more archives."""
+    """The records of the listed archives, a task for each archive, 10,000 at most."""
     schema = RECORDS if payloads else RECORDS.removesuffix(", payload binary")
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
@@ -236,7 +239,8 @@ def read_warcs(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield flush(rows)
 
-    return archives.select("path", "n_records").repartition(F.col("path")).mapInArrow(run, schema)
+    tasks = max(1, min(10_000, archives.count()))
+    return archives.select("path", "n_records").repartition(tasks).mapInArrow(run, schema)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int = 1000, id: str = "page_id", url: str = "url", html: str = "html", payloads: bool = True) -> DataFrame:
@@ -244,7 +248,9 @@ def warc_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int
 
     A null html is an empty payload; a null url or id leaves its header out, and reads back as
     null. Rows that repeat the largest id of equal payloads are all responses. Other columns
-    aren't archived. An empty table writes no archive and gives no rows.
+    aren't archived, whatever their names. A very long payload is a frame of its own, compressed
+    and read as a stream; a dictionary comes from the payloads of a task's first 2 MB, none where
+    they are too few. An empty table writes no archive and gives no rows.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
     return read_warcs(write_warcs(with_revisits(pages, min_bytes, id, url, html), folder), payloads)
