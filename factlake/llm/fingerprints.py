@@ -32,8 +32,10 @@ def collisions(rows: DataFrame, prints: DataFrame) -> DataFrame:
     """
     shared = prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
     maybe = maybe_in(rows, "print", shared)
-    compared = maybe.groupBy("print").agg(F.min("canon").alias("least"), F.max("canon").alias("greatest")).filter("least <> greatest")
-    several = maybe.join(compared.select("print"), "print", "left_semi").groupBy("print", "canon").agg(F.lit(1).alias("one"))
+    compared = stored(maybe.groupBy("print").agg(F.min("canon").alias("least"), F.max("canon").alias("greatest")).filter("least <> greatest").select("print"), "collided")
+    if not compared.limit(1).count():
+        return rows.sparkSession.createDataFrame([], "print string, canon string, rank int")
+    several = maybe.join(compared, "print", "left_semi").groupBy("print", "canon").agg(F.lit(1).alias("one"))
     return several.select("print", "canon", (F.dense_rank().over(Window.partitionBy("print").orderBy("canon")) - 1).alias("rank")).filter("rank > 0")
 
 
@@ -80,6 +82,14 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id")
     """Fingerprints of ``docs`` and of their edited texts: the last third of the code points is
     replaced by as many from the start of the next document, descending id, nulls last.
 
+    An edited text is compared byte by byte with the originals only where these collide, and not
+    with other edited texts: there 128 bits of hash decide.
+
+    A null text counts as empty; null ids come last, in an order by content; rows that repeat id
+    and text have one place in the order, and each gives its row. Texts are edited whole, however
+    long. An empty table gives an empty one. Other columns are kept, those named like a result
+    are replaced.
+
     Returns ``docs`` without ``text`` with n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited and near_next: 1.0 for equal fingerprints, else 0.0.
     """
