@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from dataclasses import dataclass
 
@@ -54,31 +55,36 @@ class Features:
     """Rows of a sparse matrix. Word buckets come first, then the bins of statistics, then the
     metadata's. Words weigh 1/sqrt(distinct words), so that long texts weigh no more."""
 
-    def __init__(self, metadata: int, max_words: int = 400_000) -> None:
+    def __init__(self, metadata: int, max_words: int = 200_000) -> None:
         self.metadata, self.max_words = metadata, max_words
         self.size = (1 << WORD_BITS) + BINS * (_STATS + metadata)
         self.known: dict[str, int] = {}
 
-    def rows(self, texts: list[str], metadata: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index, value, start of each row)."""
+    def buckets(self, text: str) -> tuple[list[int], list[int]]:
+        """(distinct buckets of the text's words, bins of its statistics)."""
         if len(self.known) > self.max_words:
             self.known.clear()
-        known, mask, first = self.known, (1 << WORD_BITS) - 1, 1 << WORD_BITS
+        known, mask = self.known, (1 << WORD_BITS) - 1
+        words = text.split()
+        distinct = set(words)
+        for word in distinct.difference(known):
+            known[word] = zlib.crc32(word.encode()) & mask
+        return list(set(map(known.__getitem__, distinct))), structure(text, words, len(distinct))
+
+    def rows(self, found: list[tuple[list[int], list[int]]], metadata: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index, value, start of each row) of ``buckets`` and columns of metadata."""
+        first, fixed = 1 << WORD_BITS, _STATS + self.metadata
         index: list[int] = []
-        weight, counts, fixed = [], [], _STATS + self.metadata
-        for i, text in enumerate(texts):
-            words = text.split()
-            distinct = set(words)
-            for word in distinct.difference(known):
-                known[word] = zlib.crc32(word.encode()) & mask
-            index.extend(map(known.__getitem__, distinct))
-            bins = structure(text, words, len(distinct)) + [0 if (m := column[i]) is None or m < 0 else 1 + min(BINS - 2, _log_bin(m)) for column in metadata]
+        weight, counts = [], []
+        for i, (words, stats) in enumerate(found):
+            index.extend(words)
+            bins = stats + [0 if (m := column[i]) is None or m < 0 else 1 + min(BINS - 2, _log_bin(m)) for column in metadata]
             index.extend(first + BINS * k + b for k, b in enumerate(bins))
-            counts.append((len(distinct), fixed))
-            weight.append(1 / np.sqrt(max(1, len(distinct))))
+            counts.append((len(words), fixed))
+            weight.append(1 / np.sqrt(max(1, len(words))))
         sizes = np.array(counts, np.int64).reshape(-1, 2)
-        value = np.repeat(np.column_stack([weight, np.full(len(texts), fixed**-0.5)]).ravel(), sizes.ravel()).astype(np.float32)
-        starts = np.zeros(len(texts), np.int64)
+        value = np.repeat(np.column_stack([weight, np.full(len(found), fixed**-0.5)]).ravel(), sizes.ravel()).astype(np.float32)
+        starts = np.zeros(len(found), np.int64)
         np.cumsum(sizes.sum(axis=1)[:-1], out=starts[1:])
         return np.array(index, np.int64), value, starts
 
@@ -104,9 +110,9 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(index, value, starts), -30, 30)))
 
 
-def fit(texts: list[str], metadata: list[list], labels: list[int], epochs: int = 12, step: float = 0.15, decay: float = 1e-5, seed: int = 7) -> Machine:
+def fit(found: list[tuple[list[int], list[int]]], metadata: list[list], labels: list[int], epochs: int = 12, step: float = 0.15, decay: float = 1e-5, seed: int = 7) -> Machine:
     features = Features(len(metadata))
-    index, value, starts = features.rows(texts, metadata)
+    index, value, starts = features.rows(found, metadata)
     ends = np.append(starts[1:], len(index))
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float64)
@@ -139,29 +145,48 @@ def fit(texts: list[str], metadata: list[list], labels: list[int], epochs: int =
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, metadata: tuple[str, ...], usable, limit: int):
-    """At most ``limit`` labelled rows, chosen by a hash of the id alone. Only their ids are
-    sent to the scan of ``docs``, so its text isn't shuffled."""
+    """(id, label, buckets, bins, metadata) of at most ``limit`` labelled documents, chosen by a
+    hash of the id alone; of several texts of one id the least by its digest.
+
+    Only the ids are sent to the scan of ``docs``, so its text isn't shuffled, and what comes
+    back is a text's distinct buckets: ``2**WORD_BITS`` numbers at most, however long it is.
+    """
     chosen = (
         labels.filter(F.col(id).isNotNull() & F.col(label).isin(0, 1) & usable(F.col(id)))
-        .groupBy(id).agg(F.min(label).alias("_label"))
-        .orderBy(F.xxhash64(id), id).limit(limit)
+        .groupBy(id).agg(F.min(label).alias("label"))
+        .orderBy(F.xxhash64(id), id).limit(limit).select(F.col(id).alias("id"), "label")
     )
-    found = docs.select(id, F.coalesce(text, F.lit("")).alias("_text"), *[F.col(m).cast("double").alias(f"_m{i}") for i, m in enumerate(metadata)])
-    return found.join(F.broadcast(chosen), id).limit(2 * limit).collect()
+    found = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.array(*[F.col(m).cast("double") for m in metadata]).cast("array<double>").alias("metadata"))
+    met = found.join(F.broadcast(chosen), "id")
+
+    def run(batches):
+        features = Features(0)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 100):
+                part = batch.slice(a, 100)
+                texts = part.column(1).to_pylist()
+                words, stats = zip(*map(features.buckets, texts))
+                digests = [hashlib.sha256(t.encode()).digest() for t in texts]
+                columns = [part.column(0), part.column(3), part.column(2), pa.array(digests, pa.binary()), pa.array(words, pa.list_(pa.int32())), pa.array(stats, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "metadata", "digest", "words", "stats"])
+
+    kinds = f"id {docs.schema[id].dataType.simpleString()}, label {chosen.schema['label'].dataType.simpleString()}"
+    rows = met.select("id", "text", "metadata", "label").mapInArrow(run, f"{kinds}, metadata array<double>, digest binary, words array<int>, stats array<int>")
+    return rows.groupBy("id").agg(F.min(F.struct("digest", "metadata", "label", "words", "stats")).alias("row")).select("id", "row.*").collect()
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, usable=lambda id: F.lit(True), id: str = "doc_id", text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("n_chars",), max_train_rows: int = MAX_TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (score >= threshold).
 
     The machine is fitted on at most ``max_train_rows`` labelled rows that ``usable`` lets
-    through; every row of ``docs`` is scored whole, in one pass without an exchange. A null
+    through, of which only buckets of words come to the driver; every row of ``docs`` is scored whole, in one pass without an exchange. A null
     text counts as empty and is scored by its structure; null metadata has a bin of its own;
     labels other than 0 and 1 and ids that ``docs`` lacks teach nothing; of several labels of
     an id the lower counts. Without any labels all scores are 0.5. Equal texts with equal
     metadata have equal scores. Columns named like a result are replaced.
     """
-    taught = sorted(training_rows(docs, labels, id, text, label, metadata, usable, max_train_rows), key=lambda r: (str(r[id]), r["_text"]))
-    model = fit([r["_text"] for r in taught], [[r[f"_m{i}"] for r in taught] for i in range(len(metadata))], [r["_label"] for r in taught]) if taught else None
+    taught = sorted(training_rows(docs, labels, id, text, label, metadata, usable, max_train_rows), key=lambda r: str(r["id"]))
+    model = fit([(sorted(r["words"]), r["stats"]) for r in taught], [[r["metadata"][i] for r in taught] for i in range(len(metadata))], [r["label"] for r in taught]) if taught else None
     if model is not None:
         model = Machine(model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32))
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
@@ -177,7 +202,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, usable=lambda id: F.lit(T
                 if model is None:
                     score = np.full(len(texts), 0.5)
                 else:
-                    score = model.score(*features.rows(texts, [part.column(m).to_pylist() for m in of_meta])).astype(np.float64)
+                    score = model.score(*features.rows(list(map(features.buckets, texts)), [part.column(m).to_pylist() for m in of_meta])).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
     return docs.select(*kept).mapInArrow(run, schema)

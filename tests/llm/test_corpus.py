@@ -86,6 +86,16 @@ def test_encoder_with_tiny_memory_gives_the_same():
     assert [small.encode_batch([t])[0] for t in texts] == whole.encode_batch(texts)
 
 
+def test_long_words_get_no_nodes():
+    """A blob without spaces is encoded as the library does, in few nodes, and isn't kept."""
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    texts = ["".join(rng.choice(letters, n)) for n in (2000, 2001, 30_000)] + ["the" * 5000, "日本" * 2000, "short " + "=" * 9000 + " words"]
+    encoder = bpe.ByteBpe(PATH)
+    assert [[int(i) for i in ids.split(",")] for ids in encoder.encode_batch(texts)] == [x.ids for x in library().encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.trie.last) < 3000 and all(len(w) <= 2000 for w in encoder.known)
+
+
 def test_vocabulary_tokens_encode_like_the_library():
     encoder, theirs = bpe.ByteBpe(PATH), library()
     words = [b.decode() for b in list(encoder.bytes_of.values())[::7] if b"\xef\xbf\xbd" not in b and b.decode("utf-8", "ignore").encode() == b]
@@ -123,6 +133,14 @@ def test_token_counts_and_their_cache(spark, docs, none, tmp_path, monkeypatch):
 # --- substrings
 
 
+def test_a_digest_twice_in_the_cache_counts_once(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/cache"
+    first = sorted(map(tuple, token_counts.token_counts(docs.select("doc_id", "text"), PATH, path).collect()), key=str)
+    spark.read.parquet(path).limit(5).coalesce(1).write.mode("append").partitionBy("tokenizer").parquet(path)
+    assert spark.read.parquet(path).count() > spark.read.parquet(path).select("digest").distinct().count()
+    assert sorted(map(tuple, token_counts.token_counts(docs.select("doc_id", "text"), PATH, path).collect()), key=str) == first
+
+
 def removed(rows, window):
     split = {k: (t or "").encode().split() for k, t in rows}
     least = collections.defaultdict(set)
