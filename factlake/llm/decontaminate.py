@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.llm.common import free_name, maybe_in, row_key, stored
@@ -16,8 +16,9 @@ from factlake.llm.common import free_name, maybe_in, row_key, stored
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 UNITS = "kg g mg t lb oz km m cm mm mi ft in l ml s sec min h hr ms kb mb gb tb percent dollars euros pounds cents miles metres meters kilometers hours minutes seconds days weeks months years degrees watts volts joules newtons".split()
 SEPARATOR = r"[^\p{L}\p{M}\p{N}\x01\x02\x03]+"
-#: What stands between runs of letters.
-LETTERS = r"[^\p{L}\p{M}]+"
+#: What stands between the runs by which documents are first told apart: words without digits,
+#: or for windows that have none, digits.
+RUNS = {"words": r"[[^\p{L}\p{M}\p{N}]0-9]+", "digits": r"[^0-9]+"}
 
 #: More benchmark windows than this aren't broadcast.
 BROADCAST_WINDOWS = 500_000
@@ -62,17 +63,18 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, te
 
     Windows of ``window`` template words meet by hash and are then compared word by word. They
     count where the slots of a passage (windows at one offset) agree: each value of the item
-    stands for one value in the document, and no two values for the same one. Windows of the benchmark that are more
-    than half slots say too little and aren't looked up; items shorter than a window can't be
-    found.
+    stands for one value in the document, and no two values for the same one. Windows of the
+    benchmark that are more than half slots say too little and aren't looked up; items shorter
+    than a window can't be found.
 
     ``whole``, as the registered query and the pipeline have it, lets each window count whose
     own slots agree (each value of the item stands for one value; two may meet in one), whatever
     the others of its passage do. Literal windows in lower case are looked up as well, whatever
     share of them is slots, and items shorter than a window as one literal window of their
     length. So are templates in which every capitalised word is a name, at the start of a
-    sentence or after any white space too. n_windows, n_slots and n_changed are the most of any of these. n_slots and n_changed are then those of the longest runs of
-    windows that agree with each other.
+    sentence or after any white space too. n_windows, n_slots and n_changed are the most of any
+    of these; n_slots and n_changed are then those of the longest runs of windows that agree
+    with each other.
 
     ``row`` is ``row_key(id, text)``. Null texts and items match nothing; null ids are
     ids like others; repeated rows are one row here, repeated items count once; empty tables
@@ -97,8 +99,9 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, te
 
 def sought_windows(asked: DataFrame, marks, window: int, of_size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The items by one way to mark texts, all or those of ``of_size`` words, and their windows:
-    (hash, item_row, item_at, one, other). ``one`` and ``other`` are the longest runs of letters
-    among the window's words that aren't slots; null where it has none, or no second one."""
+    (hash, item_row, item_at, kind, one, other, reach). ``one`` and ``other`` are the longest two
+    of the window's runs (the same, where it has one alone) that aren't in slots, of words or, if
+    it has none, of digits; a document that has the window has them within ``reach`` runs."""
     items = asked.select("item", marks(F.col("text")).alias("marked")).distinct()
     items = items.select(F.xxhash64("item", "marked").alias("item_row"), "item", words(F.col("marked")).alias("item_words"), template(F.col("marked")).alias("item_template"))
     if of_size is not None:
@@ -106,34 +109,38 @@ def sought_windows(asked: DataFrame, marks, window: int, of_size: int | None = N
     sought = items.select("item_row", "item_template", F.posexplode(windows("item_template", window)).alias("item_at", "hash"))
     tokens = F.slice("item_template", F.col("item_at") + 1, window)
     literal = F.filter(tokens, lambda w: ~w.isin(NUMBER, NAME, UNIT))
-    runs = F.array_distinct(F.filter(F.split(F.array_join(literal, " "), LETTERS), lambda w: w != ""))
-    runs = F.reverse(F.array_sort(F.transform(runs, lambda w: F.struct(F.length(w).alias("n"), w.alias("run")))))
-    sought = sought.filter((F.size(tokens) - F.size(literal)) * 2 <= window).withColumn("runs", runs)
-    run = lambda k: F.get("runs", F.lit(k))["run"]
-    return items, stored(sought.select("hash", "item_row", "item_at", run(0).alias("one"), run(1).alias("other")), "benchmark-windows")
+    text = F.array_join(literal, " ")
+    sought = sought.filter((F.size(tokens) - F.size(literal)) * 2 <= window).withColumn("runs", runs(text, "words")).withColumn("digits", runs(text, "digits"))
+    wordless = F.size("runs") == 0
+    sought = sought.withColumn("kind", F.when(wordless, "digits").otherwise("words")).withColumn("runs", F.when(wordless, F.col("digits")).otherwise(F.col("runs")))
+    longest = F.reverse(F.array_sort(F.transform(F.array_distinct("runs"), lambda w: F.struct(F.length(w).alias("n"), w.alias("run")))))
+    sought = sought.withColumn("longest", longest).withColumn("one", F.get("longest", F.lit(0))["run"])
+    return items, stored(sought.select("hash", "item_row", "item_at", "kind", "one", F.coalesce(F.get("longest", F.lit(1))["run"], "one").alias("other"), F.greatest(F.lit(window), F.size("runs")).alias("reach")), "benchmark-windows")
+
+
+def runs(lower: Column, kind: str) -> Column:
+    return F.filter(F.split(lower, RUNS[kind]), lambda w: w != "")
 
 
 def candidates(keyed: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """The distinct rows of ``keyed`` that may hold a window: those that have its two longest
-    words, in any place. Most documents stop here, before any window is made of them.
-
-    Windows without a letter are sought by their numbers' digits: documents with any of these.
-    """
-    pairs = reduce(DataFrame.unionAll, [t.select("one", "other") for t in tables]).distinct()
-    pairs = stored(pairs.select("one", F.coalesce("other", "one").alias("other"), F.col("one").isNull().alias("wordless")), "anchor-words")
-    sought = pairs.filter("NOT wordless")
-    single = stored(sought.select(F.col("one").alias("token")).unionAll(sought.select("other")).distinct(), "anchor-tokens")
-    texts = keyed.filter("text IS NOT NULL")
-    tokens = texts.select("row", F.explode(F.split(F.lower("text"), LETTERS)).alias("token"))
-    if single.count() <= BROADCAST_WINDOWS:
-        hits = tokens.join(F.broadcast(single), "token", "left_semi")
-    else:
-        hits = maybe_in(tokens, "token", single).join(single, "token", "left_semi")
-    held = hits.groupBy("row").agg(F.collect_set("token").alias("held"))
-    some = held.select("row", "held", F.explode("held").alias("one"))
-    some = some.join(F.broadcast(sought) if sought.count() <= BROADCAST_WINDOWS else sought, "one").filter(F.array_contains("held", F.col("other"))).select("row")
-    if pairs.filter("wordless").limit(1).count():
-        some = some.unionAll(texts.filter(F.col("text").rlike(r"\p{N}")).select("row"))
+    runs as near each other as it has. Most documents stop here, before any window is made of
+    them; a document's runs are looked up in a broadcast table, if that is small, and only the
+    few that are found are sorted by place."""
+    pairs = stored(reduce(DataFrame.unionAll, [t.select("kind", "one", "other", "reach") for t in tables]).groupBy("kind", "one", "other").agg(F.max("reach").alias("reach")), "anchor-runs")
+    texts, some = keyed.filter("text IS NOT NULL"), None
+    for kind, reach in pairs.groupBy("kind").agg(F.max("reach")).collect():
+        sought = pairs.filter(F.col("kind") == kind).select(F.col("one").alias("run"), "other")
+        single = stored(sought.select("run").unionAll(sought.select("other")).distinct(), "anchor-run")
+        small = single.count() <= BROADCAST_WINDOWS and sought.count() <= BROADCAST_WINDOWS
+        held = texts.select("row", F.posexplode(F.split(F.lower("text"), RUNS[kind])).alias("at", "run"))
+        held = held.join(F.broadcast(single), "run", "left_semi") if small else maybe_in(held, "run", single).join(single, "run", "left_semi")
+        near = Window.partitionBy("row").orderBy("at").rangeBetween(-reach, reach)
+        held = held.withColumn("near", F.collect_set("run").over(near))
+        held = held.join(F.broadcast(sought) if small else sought, "run").filter(F.array_contains("near", F.col("other"))).select("row")
+        some = held if some is None else some.unionAll(held)
+    if some is None:
+        return keyed.limit(0)
     return stored(maybe_in(texts, "row", some.distinct()).dropDuplicates(["row"]), "candidates")
 
 
@@ -181,15 +188,24 @@ def _matches(keyed: DataFrame, items: DataFrame, sought: DataFrame, marks, windo
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
-    """(id, items, n_windows, n_changed): a row for each document that holds benchmark items."""
+    """(id, items, n_windows, n_changed): a row for each document that holds benchmark items.
+
+    Nulls, empty texts, ties, repeated rows and empty tables are as in ``template_matches``: a
+    null id is an id, rows that repeat id and text give one row. Other columns aren't read."""
     matches = template_matches(docs, benchmark, text=text, id=id, **options)
-    ids = docs.select(row_key(id, text).alias("row"), F.col(id)).distinct()
+    ids = docs.select(row_key(id, text).alias("row"), F.col(id))
     per = matches.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"), F.sum("n_windows").alias("n_windows"), F.sum("n_changed").alias("n_changed"))
-    return ids.join(per, "row").drop("row")
+    per = stored(per, "contaminated")
+    return maybe_in(ids, "row", per).distinct().join(per, "row").drop("row")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold benchmark items."""
+    """``docs`` without the documents that hold benchmark items, as ``template_matches`` finds
+    them. Null and empty texts stay, repeated rows stay or go together, and so do rows with null
+    ids and equal texts; all columns are kept, whatever their names. Only rows that may go are
+    exchanged."""
     row = free_name(docs, "row")
-    bad = template_matches(docs, benchmark, text=text, id=id, **options).select(F.col("row").alias(row)).distinct()
-    return docs.withColumn(row, row_key(id, text)).join(bad, row, "left_anti").drop(row)
+    bad = stored(template_matches(docs, benchmark, text=text, id=id, **options).select(F.col("row").alias(row)).distinct(), "contaminated")
+    keyed = docs.withColumn(row, row_key(id, text))
+    clean = maybe_in(keyed, row, bad, inverse=True).unionAll(maybe_in(keyed, row, bad).join(bad, row, "left_anti").select(keyed.columns))
+    return clean.select(docs.columns)
