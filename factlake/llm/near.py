@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,19 +137,18 @@ def _sketched(batches):
     shingles = Shingles()
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
-            row, id, texts = (batch.column(c).slice(a, 500) for c in (0, 1, 2))
-            digests, lengths, sketches, singles, counts = [], [], [], [], []
+            row, texts = (batch.column(c).slice(a, 500) for c in (0, 1))
+            lengths, sketches, singles, counts = [], [], [], []
             for text in texts.to_pylist():
-                digests.append(xxhash.xxh3_128_digest((text or "").encode()))
-                w = shingles.words(text or "")
+                w = shingles.words(text)
                 s = shingles.of(w)
                 lengths.append(len(w))
                 sketches.append((order_sketches(s) if len(s) else s).view(np.int64))
                 singles.append((_mix(s ^ _MIX[2]) if len(s) <= SHORT else s[:0]).view(np.int64))
                 counts.append(word_counts(w).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [row, id, pa.array(digests, pa.binary()), pa.array(lengths, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(singles, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
-                names=["row", "id", "digest", "length", "sketches", "singles", "counts"],
+                [row, pa.array(lengths, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(singles, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
+                names=["row", "length", "sketches", "singles", "counts"],
             )
 
 
@@ -253,10 +253,27 @@ def _met(batches):
     yield from out()
 
 
+class Held:
+    """Small tables that a few steps read, on the executors' disks until they are released. What
+    a lost executor had of them is made again; large ones and those of loops are written to the
+    shared folder instead."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
+        return df
+
+    def release(self) -> None:
+        for df in self.frames:
+            df.unpersist()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(row, root) of the rows in ``edges`` (a, b), root the least row linked to it.
 
-    Each round points every row to the least row beside it, follows the pointers twice over and
+    Each round points every row to the least row beside it, follows the pointers once more and
     puts the rows' pointers for the rows in the edges, of which fewer than half stay between
     different ones; all of it are joins and grouped minima, written out between rounds. What a
     join by root reads is written before it, so that Spark can split a large class.
@@ -264,9 +281,8 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges, roots = stored(both.distinct(), "edges"), None
     while True:
-        pointers = stored(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("row"), F.least("a", "b").alias("root")), "pointers")
-        for _ in range(2):
-            pointers = stored(pointers.join(pointers.select(F.col("row").alias("root"), F.col("root").alias("up")), "root").select("row", F.col("up").alias("root")), "pointers")
+        pointers = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("row"), F.least("a", "b").alias("root"))
+        pointers = stored(pointers.join(pointers.select(F.col("row").alias("root"), F.col("root").alias("up")), "root").select("row", F.col("up").alias("root")), "pointers")
         at = {end: pointers.select(F.col("row").alias(end), F.col("root").alias(f"{end}_root")) for end in ("a", "b")}
         roots = pointers if roots is None else stored(roots.join(at["a"].withColumnRenamed("a", "root"), "root", "left").select("row", F.coalesce("a_root", "root").alias("root")), "roots")
         edges = edges.join(at["a"], "a").join(at["b"], "b").filter("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
@@ -275,10 +291,8 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def merged(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """``roots`` after more ``edges``: only the classes that these join are worked on."""
-    if roots is None:
-        return components(edges)
     for end in ("a", "b"):
         edges = edges.join(roots.select(F.col("row").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
     edges = stored(edges.filter("a <> b").distinct(), "crossing")
@@ -303,7 +317,7 @@ def neighbours(members: DataFrame) -> DataFrame:
     return near.select(F.least("row", "y").alias("x"), F.greatest("row", "y").alias("y")).distinct()
 
 
-def crossing_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def crossing_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, held: Held) -> DataFrame:
     """(x, y): every pair of rows that share a sketch and aren't in one class, but for those that
     lengths or word counts rule out.
 
@@ -313,24 +327,24 @@ def crossing_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> Da
     pair, in as many tasks as it has cells, each of which holds two blocks at most.
     """
     rooted = stored(members.join(roots, "row", "left").select("sketch", "row", "n", F.coalesce("root", "row").alias("root")), "rooted")
-    several = stored(rooted.groupBy("sketch").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("sketch"), "several")
-    open_ = stored(rooted.join(several, "sketch", "left_semi"), "open")
+    several = held(rooted.groupBy("sketch").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("sketch"))
+    open_ = rooted.join(several, "sketch", "left_semi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row", "sketch"), F.col("blocks")).cast("int"))
-    held = nodes.select("row", "length", "sketches", "singles", "counts")
+    of_row = nodes.select("row", "length", "sketches", "singles", "counts")
     one = placed.filter("blocks = 1").select("sketch", F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), "row", "root", "block")
     each = placed.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("sketch", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "row", "root", "block")
-    cells = one.unionAll(each).join(held, "row").select(*CELL)
-    return stored(cells.repartition("sketch", "lo", "hi").sortWithinPartitions("sketch", "lo", "hi").mapInArrow(_met, "x binary, y binary"), "crossing-pairs")
+    cells = one.unionAll(each).join(of_row, "row").select(*CELL)
+    return held(cells.repartition("sketch", "lo", "hi").sortWithinPartitions("sketch", "lo", "hi").mapInArrow(_met, "x binary, y binary"))
 
 
-def linked(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+def linked(keyed: DataFrame, pairs: DataFrame, held: Held) -> DataFrame:
     """(a, b) of the ``pairs`` whose texts align; only texts of such rows are tokenised."""
     wanted = pairs.select(F.col("x").alias("row")).unionAll(pairs.select(F.col("y").alias("row"))).distinct()
     words = maybe_in(keyed, "row", wanted).select("row", "text").mapInArrow(_tokenised, "row binary, words binary").dropDuplicates(["row"])
     met = pairs.join(words.select(F.col("row").alias("x"), F.col("words").alias("wx")), "x").join(words.select(F.col("row").alias("y"), F.col("words").alias("wy")), "y")
-    return stored(met.select("x", "y", "wx", "wy").mapInArrow(_verified, "x binary, y binary"), "links").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return held(met.select("x", "y", "wx", "wy").mapInArrow(_verified, "x binary, y binary")).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -351,25 +365,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     has a null id); repeated rows are one row here. Very long texts are compared whole. Columns
     of other names than ``text`` and ``id`` aren't read. An empty table gives no rows.
     """
+    held = Held()
     keyed = docs.select(row_key(id, text).alias("row"), F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    kind = docs.schema[id].dataType.simpleString()
-    base = stored(keyed.mapInArrow(_sketched, f"row binary, id {kind}, digest binary, length int, sketches array<bigint>, singles array<bigint>, counts binary"), "sketches")
-    copies = stored(base.select("row", "id", "digest").dropDuplicates(["row"]), "copies")
+    copies = stored(keyed.select("row", "id", row_key("text").alias("digest")).dropDuplicates(["row"]), "copies")
     texts = copies.groupBy("digest").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     texts = stored(texts, "texts")
-    nodes = stored(base.drop("id").join(texts.select("digest", "row"), ["digest", "row"], "left_semi").dropDuplicates(["digest", "row"]), "nodes")
+    sketched = maybe_in(keyed, "row", texts).select("row", "text").mapInArrow(_sketched, "row binary, length int, sketches array<bigint>, singles array<bigint>, counts binary")
+    nodes = stored(sketched.join(texts.select("row"), "row", "left_semi").dropDuplicates(["row"]), "nodes")
 
     sketches = nodes.select("row", "length", F.explode(F.concat("sketches", "singles")).alias("sketch"))
-    common = stored(sketches.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+    common = held(sketches.groupBy("sketch").agg(F.count("*").alias("n")).filter("n > 1"))
     # most sketches are one row's alone: those stay out of all that follows
     members = stored(maybe_in(sketches, "sketch", common).join(common, "sketch").select("sketch", "row", "length", "n"), "members")
-    roots = merged(None, linked(keyed, stored(neighbours(members), "neighbours")))
-    roots = merged(roots, linked(keyed, crossing_pairs(members, nodes, roots)))
+    roots = components(linked(keyed, held(neighbours(members)), held))
+    roots = merged(roots, linked(keyed, crossing_pairs(members, nodes, roots, held), held))
 
-    of_text = stored(texts.join(roots, "row", "left").select("digest", F.coalesce("root", "row").alias("class"), "copies", "least", "first"), "classes")
+    of_text = held(texts.join(roots, "row", "left").select("digest", F.coalesce("root", "row").alias("class"), "copies", "least", "first"))
     named = of_text.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min("first").alias("first"))
-    named = stored(named.select("class", "class_id", "class_size", F.col("first.row").alias("first_row")), "named")
+    named = held(named.select("class", "class_id", "class_size", F.col("first.row").alias("first_row")))
     found = stored(of_text.select("digest", "class").join(named, "class").select("digest", "class_id", "class_size", "first_row"), "found")
+    held.release()
     return copies.join(found, "digest").select("row", "id", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("first"))
 
 

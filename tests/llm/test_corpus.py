@@ -443,7 +443,7 @@ def test_short_texts_always_meet():
         a, b = map(words_and_shingles, pair)
         if are_linked(a, b):
             linked += 1
-            (batch,) = near._sketched([pa.RecordBatch.from_arrays([pa.array([b"0", b"1"]), pa.array([0, 1]), pa.array(pair)], names=["row", "id", "text"])])
+            (batch,) = near._sketched([pa.RecordBatch.from_arrays([pa.array([b"0", b"1"]), pa.array(pair)], names=["row", "text"])])
             first, second = ({*x, *y} for x, y in zip(batch.column("sketches").to_pylist(), batch.column("singles").to_pylist()))
             assert first & second
     assert linked > 400
