@@ -50,7 +50,7 @@ def template(marked_text: Column) -> Column:
     return F.split(F.lower(F.trim(F.regexp_replace(F.regexp_replace(marked_text, SEPARATOR, " "), r"([\x01\x02\x03])\S+", "$1"))), " ")
 
 
-def windows(tokens: str, length: int) -> Column:
+def windows(tokens: str, length: Column) -> Column:
     """A hash of each window of ``length`` words; none where the text has fewer."""
     n = F.size(tokens)
     each = F.transform(F.sequence(F.lit(1), n - length + 1), lambda i: F.xxhash64(F.slice(tokens, i, length)))
@@ -87,80 +87,86 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, te
         sizes = asked.select(plain(F.col("text")).alias("plain")).select(words(F.col("plain")).alias("w")).filter("w[0] <> ''").select(F.size("w").alias("n"))
         short = sorted(r.n for r in sizes.filter(F.col("n") < window).distinct().collect())
         ways += [(plain, window, None), (lambda text: marked(text, everywhere=True), window, None)] + [(plain, n, n) for n in short]
-    tables = [sought_windows(asked, *way) for way in ways]
-    keyed = candidates(keyed, [sought for _, sought in tables])
-    every = None
-    for way, ((marks, length, _), (items, sought)) in enumerate(zip(ways, tables)):
-        found = _matches(keyed, items, sought, marks, length, whole).withColumn("way", F.lit(way))
-        every = found if every is None else every.unionAll(found)
+    items, sought = sought_windows(asked, ways)
+    every = _matches(candidates(keyed, sought), items, sought, ways, whole)
     first = lambda c: F.min_by(c, "way").alias(c)
     return every.groupBy("row", "item").agg(*[F.max(c).alias(c) for c in ("n_windows", "n_slots", "n_changed")], first("first_word"), first("last_word"))
 
 
-def sought_windows(asked: DataFrame, marks, window: int, of_size: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The items by one way to mark texts, all or those of ``of_size`` words, and their windows:
-    (hash, item_row, item_at, kind, one, other, reach). ``one`` and ``other`` are the longest two
-    of the window's runs (the same, where it has one alone) that aren't in slots, of words or, if
-    it has none, of digits; a document that has the window has them within ``reach`` runs."""
-    items = asked.select("item", marks(F.col("text")).alias("marked")).distinct()
-    items = items.select(F.xxhash64("item", "marked").alias("item_row"), "item", words(F.col("marked")).alias("item_words"), template(F.col("marked")).alias("item_template"))
-    if of_size is not None:
-        items = items.filter((F.size("item_words") == of_size) & (F.col("item_words")[0] != ""))
-    sought = items.select("item_row", "item_template", F.posexplode(windows("item_template", window)).alias("item_at", "hash"))
-    tokens = F.slice("item_template", F.col("item_at") + 1, window)
+def by_ways(rows: DataFrame, ways: list[tuple]) -> DataFrame:
+    """``rows`` with (way, span, marked) for each way (how to mark texts, words of a window, words
+    of an item or None for all)."""
+    each = [rows.select("*", F.lit(way).alias("way"), F.lit(span).alias("span"), marks(F.col("text")).alias("marked")) for way, (marks, span, _) in enumerate(ways)]
+    return reduce(DataFrame.unionAll, each).drop("text")
+
+
+def sought_windows(asked: DataFrame, ways: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """The items by each way, and their windows: (way, hash, item_row, item_at, kind, one, other,
+    reach). ``one`` and ``other`` are the longest two of the window's runs (the same, where it
+    has one alone) that aren't in slots, of words or, if it has none, of digits; a document that
+    has the window has them within ``reach`` runs."""
+    items = by_ways(asked, ways).distinct()
+    items = items.select("way", "span", F.xxhash64("item", "marked").alias("item_row"), "item", words(F.col("marked")).alias("item_words"), template(F.col("marked")).alias("item_template"))
+    for way, (_, _, of_size) in enumerate(ways):
+        if of_size is not None:
+            items = items.filter((F.col("way") != way) | (F.size("item_words") == of_size) & (F.col("item_words")[0] != ""))
+    items = stored(items, "benchmark-items")
+    sought = items.select("way", "span", "item_row", "item_template", F.posexplode(windows("item_template", F.col("span"))).alias("item_at", "hash"))
+    tokens = F.slice("item_template", F.col("item_at") + 1, F.col("span"))
     literal = F.filter(tokens, lambda w: ~w.isin(NUMBER, NAME, UNIT))
     text = F.array_join(literal, " ")
-    sought = sought.filter((F.size(tokens) - F.size(literal)) * 2 <= window).withColumn("runs", runs(text, "words")).withColumn("digits", runs(text, "digits"))
+    sought = sought.filter((F.size(tokens) - F.size(literal)) * 2 <= F.col("span")).withColumn("runs", runs(text, "words")).withColumn("digits", runs(text, "digits"))
     wordless = F.size("runs") == 0
     sought = sought.withColumn("kind", F.when(wordless, "digits").otherwise("words")).withColumn("runs", F.when(wordless, F.col("digits")).otherwise(F.col("runs")))
     longest = F.reverse(F.array_sort(F.transform(F.array_distinct("runs"), lambda w: F.struct(F.length(w).alias("n"), w.alias("run")))))
     sought = sought.withColumn("longest", longest).withColumn("one", F.get("longest", F.lit(0))["run"])
-    return items, stored(sought.select("hash", "item_row", "item_at", "kind", "one", F.coalesce(F.get("longest", F.lit(1))["run"], "one").alias("other"), F.greatest(F.lit(window), F.size("runs")).alias("reach")), "benchmark-windows")
+    sought = sought.select("way", "hash", "item_row", "item_at", "kind", "one", F.coalesce(F.get("longest", F.lit(1))["run"], "one").alias("other"), F.greatest("span", F.size("runs")).alias("reach"))
+    return items, stored(sought, "benchmark-windows")
 
 
 def runs(lower: Column, kind: str) -> Column:
     return F.filter(F.split(lower, RUNS[kind]), lambda w: w != "")
 
 
-def candidates(keyed: DataFrame, tables: list[DataFrame]) -> DataFrame:
+def candidates(keyed: DataFrame, sought: DataFrame) -> DataFrame:
     """The distinct rows of ``keyed`` that may hold a window: those that have its two longest
     runs as near each other as it has. Most documents stop here, before any window is made of
     them; a document's runs are looked up in a broadcast table, if that is small, and only the
     few that are found are sorted by place."""
-    pairs = stored(reduce(DataFrame.unionAll, [t.select("kind", "one", "other", "reach") for t in tables]).groupBy("kind", "one", "other").agg(F.max("reach").alias("reach")), "anchor-runs")
+    pairs = stored(sought.groupBy("kind", "one", "other").agg(F.max("reach").alias("reach")), "anchor-runs")
     texts, some = keyed.filter("text IS NOT NULL"), None
     for kind, reach in pairs.groupBy("kind").agg(F.max("reach")).collect():
-        sought = pairs.filter(F.col("kind") == kind).select(F.col("one").alias("run"), "other")
-        single = stored(sought.select("run").unionAll(sought.select("other")).distinct(), "anchor-run")
-        small = single.count() <= BROADCAST_WINDOWS and sought.count() <= BROADCAST_WINDOWS
+        wanted = pairs.filter(F.col("kind") == kind).select(F.col("one").alias("run"), "other")
+        single = wanted.select("run").unionAll(wanted.select("other")).distinct()
+        small = 2 * wanted.count() <= BROADCAST_WINDOWS
         held = texts.select("row", F.posexplode(F.split(F.lower("text"), RUNS[kind])).alias("at", "run"))
         held = held.join(F.broadcast(single), "run", "left_semi") if small else maybe_in(held, "run", single).join(single, "run", "left_semi")
         near = Window.partitionBy("row").orderBy("at").rangeBetween(-reach, reach)
         held = held.withColumn("near", F.collect_set("run").over(near))
-        held = held.join(F.broadcast(sought) if small else sought, "run").filter(F.array_contains("near", F.col("other"))).select("row")
+        held = held.join(F.broadcast(wanted) if small else wanted, "run").filter(F.array_contains("near", F.col("other"))).select("row")
         some = held if some is None else some.unionAll(held)
     if some is None:
         return keyed.limit(0)
     return stored(maybe_in(texts, "row", some.distinct()).dropDuplicates(["row"]), "candidates")
 
 
-def _matches(keyed: DataFrame, items: DataFrame, sought: DataFrame, marks, window: int, whole: bool) -> DataFrame:
-    """``template_matches`` by one way to mark texts."""
-    sought = sought.select("hash", "item_row", "item_at")
+def _matches(keyed: DataFrame, items: DataFrame, sought: DataFrame, ways: list[tuple], whole: bool) -> DataFrame:
+    """``template_matches`` by each way."""
+    sought = sought.select("way", "hash", "item_row", "item_at")
     small = sought.count() <= BROADCAST_WINDOWS
-
-    found = keyed.select("row", template(marks(F.col("text"))).alias("template"))
-    found = found.select("row", F.posexplode(windows("template", window)).alias("at", "hash"))
-    found = found.join(F.broadcast(sought) if small else sought, "hash")
-    pairs = stored(found.groupBy("row", "item_row", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.sort_array(F.collect_set(F.struct("at", "item_at"))).alias("places")), "template-pairs")
+    texts = by_ways(keyed, ways)
+    found = texts.select("row", "way", "span", template(F.col("marked")).alias("template"))
+    found = found.select("row", "way", F.posexplode(windows("template", F.col("span"))).alias("at", "hash"))
+    found = found.join(F.broadcast(sought) if small else sought, ["way", "hash"])
+    pairs = stored(found.groupBy("row", "way", "item_row", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.sort_array(F.collect_set(F.struct("at", "item_at"))).alias("places")), "template-pairs")
 
     # the few documents that match come again, for their words
-    texts = maybe_in(keyed, "row", pairs).join(pairs.select("row").distinct(), "row", "left_semi")
-    texts = texts.select("row", marks(F.col("text")).alias("marked")).select("row", words(F.col("marked")).alias("words"), template(F.col("marked")).alias("template"))
-    both = pairs.join(texts, "row").join(items, "item_row")
-    same = lambda p: F.slice("template", p.at + 1, window) == F.slice("item_template", p.item_at + 1, window)
+    texts = texts.join(pairs.select("row").distinct(), "row", "left_semi").select("row", "way", words(F.col("marked")).alias("words"), template(F.col("marked")).alias("template"))
+    both = pairs.join(texts, ["row", "way"]).join(items, ["way", "item_row"])
+    same = lambda p: F.slice("template", p.at + 1, F.col("span")) == F.slice("item_template", p.item_at + 1, F.col("span"))
     both = both.withColumn("places", F.filter("places", same)).filter(F.size("places") > 0)
-    steps = F.sequence(F.lit(1), F.lit(window))
+    steps = F.sequence(F.lit(1), F.col("span"))
+    last = F.max(F.array_max("places.at") + F.col("span") - 1).cast("long").alias("last_word")
     value = lambda c, at: F.lower(F.element_at(c, at))
     slot = lambda p: F.filter(F.transform(steps, lambda k: F.struct(value("item_words", p.item_at + k).alias("mine"), value("words", p.at + k).alias("theirs"))), lambda s: F.substring(s.mine, 1, 1).isin(NUMBER, NAME, UNIT))
     if whole:
@@ -174,16 +180,16 @@ def _matches(keyed: DataFrame, items: DataFrame, sought: DataFrame, marks, windo
             return F.struct(run.alias("run"), F.greatest(state.n, F.size(run)).alias("n"), F.greatest(state.changed, F.size(F.filter(run, lambda s: s.mine != s.theirs))).alias("changed"))
 
         both = both.withColumn("runs", F.aggregate("windows", none, grown))
-        return both.groupBy("row", "item").agg(
+        return both.groupBy("row", "item", "way").agg(
             F.sum(F.size("windows")).cast("long").alias("n_windows"), F.max("runs.n").cast("long").alias("n_slots"), F.max("runs.changed").cast("long").alias("n_changed"),
-            F.min(F.array_min("windows.place.at")).cast("long").alias("first_word"), (F.max(F.array_max("windows.place.at")) + window - 1).cast("long").alias("last_word"),
+            F.min(F.array_min("windows.place.at")).cast("long").alias("first_word"), F.max(F.array_max("windows.place.at") + F.col("span") - 1).cast("long").alias("last_word"),
         )
     both = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("places", slot))))
     n, mine, theirs = F.size("slots"), F.size(F.array_distinct("slots.mine")), F.size(F.array_distinct("slots.theirs"))
-    return both.filter((n == mine) & (n == theirs)).groupBy("row", "item").agg(
+    return both.filter((n == mine) & (n == theirs)).groupBy("row", "item", "way").agg(
         F.sum(F.size("places")).cast("long").alias("n_windows"), F.max(n).cast("long").alias("n_slots"),
         F.max(F.size(F.filter("slots", lambda s: s.mine != s.theirs))).cast("long").alias("n_changed"),
-        F.min(F.array_min("places.at")).cast("long").alias("first_word"), (F.max(F.array_max("places.at")) + window - 1).cast("long").alias("last_word"),
+        F.min(F.array_min("places.at")).cast("long").alias("first_word"), last,
     )
 
 
