@@ -65,7 +65,7 @@ class NodeState:
         """The seal, the first one if there is one already, and what it closes."""
         if self.deactivated is not None:
             return self.deactivated, []
-        seal = max([now, *(start + TICK for _, start in self.open.values())])
+        seal = max(now, max((start for _, start in self.open.values()), default=now) + TICK)
         changes = [("seal", {"path": path}) for path in self.open]
         self.open.clear()
         self.deactivated = self.last_closed = seal

@@ -18,7 +18,8 @@ def push_outcomes(planned: DataFrame, settings: Settings = Settings(), deactivat
     A push is applied if its stamp isn't ahead of the server's clock by more than the skew, its
     node isn't deactivated, the stamp is later than all applied before it, and a node's first
     isn't behind by more than the skew. One exchange by node; rejects take no part in windows.
-    ``deactivations`` has (certname, seq): what arrives later is rejected.
+    ``deactivations`` has (certname, seq): what arrives later is rejected, if the node was there
+    by then. A deactivation before a node's first applied push changes nothing.
     """
     skew = F.lit(settings.max_skew)
     node = Window.partitionBy("certname")
@@ -27,12 +28,16 @@ def push_outcomes(planned: DataFrame, settings: Settings = Settings(), deactivat
     own = planned.withColumn("ahead", ts > received + skew).withColumn("behind", ts < received - skew)
     own = own.withColumn("sound", F.col("reason").isNull() & ~F.col("ahead"))
     if deactivations is not None:
-        sealed = deactivations.groupBy("certname").agg(F.min("seq").alias("sealed_seq"))
-        own = own.join(sealed, "certname", "left").withColumn("sealed", F.coalesce(F.col("seq") > F.col("sealed_seq"), F.lit(False)))
+        orders = deactivations.groupBy("certname").agg(F.collect_set("seq").alias("orders"))
+        own = own.join(orders, "certname", "left")
+    # nothing is sealed before a node's first push, so the first doesn't depend on seals
+    own = own.withColumn("first_seq", F.min(F.when(F.col("sound") & ~F.col("behind"), F.col("seq"))).over(node))
+    if deactivations is not None:
+        sealed_seq = F.array_min(F.filter("orders", lambda at: at >= F.col("first_seq")))
+        own = own.withColumn("sealed", F.coalesce(F.col("seq") > sealed_seq, F.lit(False)))
     else:
         own = own.withColumn("sealed", F.lit(False))
     sound = F.col("sound") & ~F.col("sealed")
-    own = own.withColumn("first_seq", F.min(F.when(sound & ~F.col("behind"), F.col("seq"))).over(node))
     own = own.withColumn("mark", F.max(F.when(sound & (F.col("seq") >= F.col("first_seq")), ts)).over(before))
     outcome = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))

@@ -20,12 +20,14 @@ def expire_stale(nodes: DataFrame, as_of: dt.datetime, after: dt.timedelta = Set
 def deactivate(nodes: DataFrame, history: DataFrame, which: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
     """(nodes, history) with the nodes named in ``which`` sealed for good.
 
-    The seal is ``as_of``, or a microsecond past the latest open start if that is later. Nodes
+    The seal is ``as_of``, or a microsecond past the latest open start if that is later; for a
+    node without open facts it is a microsecond past ``as_of``. Nodes
     that are deactivated already keep their seal; names without a node change nothing.
     """
     due = nodes.filter("deactivated IS NULL").join(which.select("certname").distinct(), "certname", "left_semi").select("certname")
     latest = history.filter("is_open").join(due, "certname", "left_semi").groupBy("certname").agg(F.max("valid_from").alias("latest"))
-    seal = F.greatest(F.lit(as_of).cast("timestamp_ntz"), F.col("latest") + F.expr("INTERVAL '0.000001' SECOND"))
+    now = F.lit(as_of).cast("timestamp_ntz")
+    seal = F.greatest(now, F.coalesce("latest", now) + F.expr("INTERVAL '0.000001' SECOND"))
     seals = due.join(latest, "certname", "left").select("certname", seal.alias("seal"))
     sealed = nodes.join(seals, "certname", "left").withColumn("deactivated", F.coalesce("deactivated", "seal")).drop("seal")
     closes = F.col("is_open") & F.col("seal").isNotNull()

@@ -237,6 +237,34 @@ def test_windows_and_stream_agree_with_the_model(spark, seed, tmp_path):
         assert shown(folded) == spans
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_deactivations_anywhere_agree_with_the_model(spark, seed):
+    """Deactivations before a node's first push, between pushes and again; the state machine decides."""
+    rows, rng = random_rows(seed, nodes=20, each=8), random.Random(seed)
+    planned = plan_pushes(pushes(spark, rows), Policy(("vol",))).cache()
+    orders = sorted({(f"n{rng.randrange(24)}", rng.randrange(len(rows))) for _ in range(30)})
+    states, expected = {}, {}
+    for p in sorted(planned.collect(), key=lambda r: r.seq):
+        state = states.setdefault(p.certname, NodeState())
+        expected[p.seq] = outcome = p.reason or state.outcome(p.producer_ts, p.received_at, Settings().max_skew)
+        if outcome == "applied":
+            state.apply(p.producer_ts, [x.asDict() for x in p.durable], p.clean)
+        for name, seq in orders:
+            if seq == p.seq and states.get(name, NodeState()).known:
+                states[name].deactivate(p.received_at)
+    found = ingest.push_outcomes(planned, deactivations=spark.createDataFrame(orders, "certname string, seq bigint"))
+    assert {r.seq: r.outcome for r in found.collect()} == expected
+    assert 0 < sum(x == "deactivated" for x in expected.values()) < len(rows) / 2
+
+
+def test_seal_of_a_node_without_open_facts(spark):
+    outcomes, history, _ = play(spark, [("n", t1, '{"os":"A"}', "clean")])
+    nodes, _ = lifecycle.deactivate(ingest.node_table(outcomes), history.limit(0), spark.createDataFrame([("n",)], "certname string"), t2)
+    assert nodes.first().deactivated == t2 + dt.timedelta(microseconds=1)
+    state = NodeState(known=True)
+    assert state.deactivate(t2) == (t2 + dt.timedelta(microseconds=1), [])
+
+
 def test_empty_inputs(spark):
     planned = plan_pushes(spark.createDataFrame([], PUSH))
     outcomes = ingest.push_outcomes(planned)
