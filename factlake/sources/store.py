@@ -5,20 +5,23 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from factlake.functions.classify import Policy
 from factlake.model import HISTORY
 from factlake.plans.compile import Facts
 
 LAYOUT = 1
+POINTER = "layout int, number long, version string"
 
 
 @dataclass
 class FactStore:
-    """``root/current`` names the folder of the current version; a reader sees one version or
-    the next, never a part. History lies by ``is_open`` and, within files, by path and hash, so
+    """``root/current`` holds a numbered pointer for each version that is whole, and the last one
+    counts: a pointer is one file that appears at once, so a reader sees one version or the next,
+    never a part and never none. History lies by ``is_open`` and, within files, by path and hash, so
     that "now" reads the open part alone and a term reads few row groups."""
 
     spark: SparkSession
@@ -26,14 +29,27 @@ class FactStore:
 
     def save(self, history: DataFrame, nodes: DataFrame, volatile: DataFrame) -> str:
         version = f"v{LAYOUT}-{uuid.uuid4().hex}"
-        history.repartition("is_open", F.pmod(F.xxhash64("path", "value_hash"), F.lit(256))).sortWithinPartitions("is_open", "path", "value_hash", "valid_from").write.partitionBy("is_open").parquet(f"{self.root}/{version}/history")
+        # a fact that all nodes share goes to as many files as there are groups of nodes
+        history.repartition("is_open", F.pmod(F.xxhash64("path", "value_hash"), F.lit(256)), F.pmod(F.xxhash64("certname"), F.lit(16))).sortWithinPartitions("is_open", "path", "value_hash", "valid_from").write.partitionBy("is_open").parquet(f"{self.root}/{version}/history")
         nodes.write.parquet(f"{self.root}/{version}/nodes")
         volatile.write.parquet(f"{self.root}/{version}/volatile")
-        self.spark.createDataFrame([(LAYOUT, version)], "layout int, version string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/current")
+        last = self._last()
+        self.spark.createDataFrame([(LAYOUT, 1 + (last.number if last else 0), version)], POINTER).coalesce(1).write.mode("append").parquet(f"{self.root}/current")
         return version
 
+    def _last(self) -> Row | None:
+        try:
+            pointers = self.spark.read.schema(POINTER).parquet(f"{self.root}/current")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        return pointers.orderBy(F.desc("number"), "version").first()
+
     def version(self) -> str:
-        row = self.spark.read.schema("layout int, version string").parquet(f"{self.root}/current").first()
+        row = self._last()
+        if row is None:
+            raise ValueError(f"{self.root} holds no store")
         if row.layout != LAYOUT:
             raise ValueError(f"the store has layout {row.layout}, this code reads {LAYOUT}")
         return row.version
