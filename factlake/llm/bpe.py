@@ -96,7 +96,7 @@ class PrefixTrie:
     longest suffix starts that begins some token. At ``max_nodes`` the trie starts anew.
     """
 
-    def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]], max_nodes: int = 300_000) -> None:
+    def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]], max_nodes: int = 150_000) -> None:
         self.vocab, self.max_nodes = vocab, max_nodes
         self.bytes_of = {i: b for b, i in vocab.items()}
         self.starts = {b[:n] for b in vocab for n in range(1, len(b) + 1)}
@@ -235,7 +235,7 @@ class PrefixTrie:
 class ByteBpe:
     """Encoder and decoder for a tokenizer file with byte-level BPE."""
 
-    def __init__(self, path: str, max_words: int = 300_000) -> None:
+    def __init__(self, path: str, max_words: int = 100_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from factlake.sources.shared import fresh_path, importable
 
 
+#: Rows that go to Python at once: texts are long, and a batch lies in the JVM and in the worker.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
+    if spark.conf.get(BATCH) == "10000":  # Spark's own default; what a user has set stays
+        spark.conf.set(BATCH, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -35,7 +35,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Words of texts and their occurrence-labelled k-mers, as 64-bit numbers in text order."""
 
-    def __init__(self, k: int = K, max_words: int = 100_000) -> None:
+    def __init__(self, k: int = K, max_words: int = 60_000) -> None:
         self.k, self.max_words, self.known = k, max_words, {}
 
     def words(self, text: str) -> np.ndarray:

@@ -55,7 +55,7 @@ class Features:
     """Rows of a sparse matrix. Word buckets come first, then the bins of statistics, then the
     metadata's. Words weigh 1/sqrt(distinct words), so that long texts weigh no more."""
 
-    def __init__(self, metadata: int, max_words: int = 150_000) -> None:
+    def __init__(self, metadata: int, max_words: int = 80_000) -> None:
         self.metadata, self.max_words = metadata, max_words
         self.size = (1 << WORD_BITS) + BINS * (_STATS + metadata)
         self.known: dict[str, int] = {}
