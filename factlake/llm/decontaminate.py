@@ -161,8 +161,9 @@ def _matches(keyed: DataFrame, items: DataFrame, sought: DataFrame, ways: list[t
     pairs = stored(found.groupBy("row", "way", "item_row", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.sort_array(F.collect_set(F.struct("at", "item_at"))).alias("places")), "template-pairs")
 
     # the few documents that match come again, for their words
-    texts = texts.join(pairs.select("row").distinct(), "row", "left_semi").select("row", "way", words(F.col("marked")).alias("words"), template(F.col("marked")).alias("template"))
-    both = pairs.join(texts, ["row", "way"]).join(items, ["way", "item_row"])
+    texts = by_ways(maybe_in(keyed, "row", pairs), ways).select("row", "way", words(F.col("marked")).alias("words"), template(F.col("marked")).alias("template"))
+    few = (pairs.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_WINDOWS
+    both = texts.join(F.broadcast(pairs) if few else pairs, ["row", "way"]).join(items, ["way", "item_row"])
     same = lambda p: F.slice("template", p.at + 1, F.col("span")) == F.slice("item_template", p.item_at + 1, F.col("span"))
     both = both.withColumn("places", F.filter("places", same)).filter(F.size("places") > 0)
     steps = F.sequence(F.lit(1), F.col("span"))
@@ -213,5 +214,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
     row = free_name(docs, "row")
     bad = stored(template_matches(docs, benchmark, text=text, id=id, **options).select(F.col("row").alias(row)).distinct(), "contaminated")
     keyed = docs.withColumn(row, row_key(id, text))
-    clean = maybe_in(keyed, row, bad, inverse=True).unionAll(maybe_in(keyed, row, bad).join(bad, row, "left_anti").select(keyed.columns))
+    clean = maybe_in(keyed, row, bad, inverse=True).unionByName(maybe_in(keyed, row, bad).join(bad, row, "left_anti"))
     return clean.select(docs.columns)

@@ -19,6 +19,8 @@ K, SKETCHES, PICKS, THRESHOLD = 5, 24, 2, 0.8
 SHORT = 30
 #: Rows of a sketch group that are held at once; larger groups are dealt into blocks of so many.
 BLOCK = 1024
+#: Keys of 16 bytes that are broadcast at most.
+BROADCAST_KEYS = 500_000
 #: Counters of a text's words. Two texts' counters differ by no more than their words do.
 BINS = 256
 
@@ -393,12 +395,17 @@ def near_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
 
     Rows that repeat id and text are one document, so one of them stays. Null and empty texts
     are one class. All columns are kept, whatever their names; an empty table gives an empty one.
-    Documents that lose nothing stay where they are: only those that may go are exchanged.
+    Texts stay where they are: the keys of what goes are broadcast, if they are few, and else
+    only texts that a filter of fixed size doesn't clear are exchanged, as are repeated rows.
     """
     row = free_name(docs, "row")
     keyed = docs.withColumn(row, row_key(id, text))
-    twice = keyed.groupBy(row).agg(F.count("*").alias("n")).filter("n > 1").select(row)
     gone = stored(near_duplicates(docs, text, id).filter(~F.col("first")).select(F.col("row").alias(row)), "gone")
-    touched = stored(gone.unionAll(twice), "touched")
-    left = maybe_in(keyed, row, touched).join(gone, row, "left_anti").dropDuplicates([row])
-    return maybe_in(keyed, row, touched, inverse=True).select(docs.columns).unionAll(left.select(docs.columns))
+    if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        left = keyed.join(F.broadcast(gone), row, "left_anti").select(keyed.columns)
+    else:
+        left = maybe_in(keyed, row, gone, inverse=True).unionByName(maybe_in(keyed, row, gone).join(gone, row, "left_anti"))
+    twice = stored(keyed.groupBy(row).agg(F.count("*").alias("n")).filter("n > 1").select(row), "twice")
+    if twice.limit(1).count():
+        left = maybe_in(left, row, twice, inverse=True).unionByName(maybe_in(left, row, twice).dropDuplicates([row]))
+    return left.select(docs.columns)

@@ -449,6 +449,13 @@ def test_short_texts_always_meet():
     assert linked > 400
 
 
+def test_near_dedup_without_a_broadcast(spark, docs, monkeypatch):
+    rows = lambda: sorted(map(str, near.near_dedup(docs).collect()))
+    few = rows()
+    monkeypatch.setattr(near, "BROADCAST_KEYS", 0)
+    assert rows() == few
+
+
 def test_near_odd_rows(docs, none):
     found = near.near_duplicates(docs).collect()
     classes = collections.defaultdict(set)
