@@ -155,21 +155,23 @@ def _matches(keyed: DataFrame, items: DataFrame, sought: DataFrame, ways: list[t
     sought = sought.select("way", "hash", "item_row", "item_at")
     small = sought.count() <= BROADCAST_WINDOWS
     texts = by_ways(keyed, ways)
-    found = texts.select("row", "way", "span", template(F.col("marked")).alias("template"))
-    found = found.select("row", "way", F.posexplode(windows("template", F.col("span"))).alias("at", "hash"))
-    found = found.join(F.broadcast(sought) if small else sought, ["way", "hash"])
-    pairs = stored(found.groupBy("row", "way", "item_row", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.sort_array(F.collect_set(F.struct("at", "item_at"))).alias("places")), "template-pairs")
-
-    # the few documents that match come again, for their words
-    texts = by_ways(maybe_in(keyed, "row", pairs), ways).select("row", "way", words(F.col("marked")).alias("words"), template(F.col("marked")).alias("template"))
-    few = (pairs.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_WINDOWS
-    both = texts.join(F.broadcast(pairs) if few else pairs, ["row", "way"]).join(items, ["way", "item_row"])
-    same = lambda p: F.slice("template", p.at + 1, F.col("span")) == F.slice("item_template", p.item_at + 1, F.col("span"))
-    both = both.withColumn("places", F.filter("places", same)).filter(F.size("places") > 0)
+    found = texts.select("row", "way", "span", words(F.col("marked")).alias("words"), template(F.col("marked")).alias("template"))
+    found = found.select("row", "way", "span", "words", F.posexplode(windows("template", F.col("span"))).alias("at", "hash"))
+    # a window that meets one of the benchmark takes its words along, so no text is read or exchanged again
+    seen = F.array_join(F.slice("words", F.col("at") + 1, F.col("span")), " ").alias("seen")
+    if small:
+        found = found.join(F.broadcast(sought), ["way", "hash"]).select("row", "way", "at", seen, "item_row", "item_at")
+    else:
+        found = maybe_in(found, "hash", sought).select("row", "way", "hash", "at", seen).join(sought, ["way", "hash"])
+    pairs = found.groupBy("row", "way", "item_row", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.sort_array(F.collect_set(F.struct("at", "item_at", "seen"))).alias("places"))
+    both = pairs.join(items, ["way", "item_row"])
+    same = lambda p: template(p.seen) == F.slice("item_template", p.item_at + 1, F.col("span"))
+    split = lambda p: F.struct(p.at.alias("at"), p.item_at.alias("item_at"), F.split(p.seen, " ").alias("words"))
+    both = both.withColumn("places", F.transform(F.filter("places", same), split)).filter(F.size("places") > 0)
     steps = F.sequence(F.lit(1), F.col("span"))
     last = F.max(F.array_max("places.at") + F.col("span") - 1).cast("long").alias("last_word")
     value = lambda c, at: F.lower(F.element_at(c, at))
-    slot = lambda p: F.filter(F.transform(steps, lambda k: F.struct(value("item_words", p.item_at + k).alias("mine"), value("words", p.at + k).alias("theirs"))), lambda s: F.substring(s.mine, 1, 1).isin(NUMBER, NAME, UNIT))
+    slot = lambda p: F.filter(F.transform(steps, lambda k: F.struct(value("item_words", p.item_at + k).alias("mine"), value(p.words, k).alias("theirs"))), lambda s: F.substring(s.mine, 1, 1).isin(NUMBER, NAME, UNIT))
     if whole:
         agree = lambda s: F.size(s) == F.size(F.array_distinct(F.transform(s, lambda v: v.mine)))
         each = F.filter(F.transform("places", lambda p: F.struct(p.alias("place"), F.array_distinct(slot(p)).alias("slots"))), lambda w: agree(w.slots))
