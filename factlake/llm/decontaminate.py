@@ -22,6 +22,8 @@ RUNS = {"words": r"[[^\p{L}\p{M}\p{N}]0-9]+", "digits": r"[^0-9]+"}
 
 #: More benchmark windows than this aren't broadcast.
 BROADCAST_WINDOWS = 500_000
+#: Windows whose words lie together while they are looked up.
+BLOCK = 64
 
 
 def marked(text: Column, everywhere: bool = False) -> Column:
@@ -155,10 +157,16 @@ def _matches(keyed: DataFrame, items: DataFrame, sought: DataFrame, ways: list[t
     sought = sought.select("way", "hash", "item_row", "item_at")
     small = sought.count() <= BROADCAST_WINDOWS
     texts = by_ways(keyed, ways)
-    found = texts.select("row", "way", "span", words(F.col("marked")).alias("words"), template(F.col("marked")).alias("template"))
-    found = found.select("row", "way", "span", "words", F.posexplode(windows("template", F.col("span"))).alias("at", "hash"))
+    # one lambda, so that Spark marks a text once for both
+    read = F.transform(F.array("marked"), lambda m: F.struct(words(m).alias("words"), template(m).alias("template")))
+    found = texts.select("row", "way", "span", F.inline(read))
+    # a window's row carries the words of its block alone, however long the text
+    starts = F.when(F.size("template") >= F.col("span"), F.sequence(F.lit(0), F.size("template") - F.col("span"), F.lit(BLOCK)))
+    part = lambda c, at: F.slice(c, at + 1, F.col("span") + BLOCK - 1).alias(c)
+    found = found.select("row", "way", "span", F.inline(F.transform(starts, lambda at: F.struct(at.alias("start"), part("words", at), part("template", at)))))
+    found = found.select("row", "way", "span", "start", "words", F.posexplode(windows("template", F.col("span"))).alias("nth", "hash")).withColumn("at", F.col("start") + F.col("nth"))
     # a window that meets one of the benchmark takes its words along, so no text is read or exchanged again
-    seen = F.array_join(F.slice("words", F.col("at") + 1, F.col("span")), " ").alias("seen")
+    seen = F.array_join(F.slice("words", F.col("nth") + 1, F.col("span")), " ").alias("seen")
     if small:
         found = found.join(F.broadcast(sought), ["way", "hash"]).select("row", "way", "at", seen, "item_row", "item_at")
     else:

@@ -298,6 +298,15 @@ def test_windows_count_by_themselves(spark):
     assert leaks(spark, [item], ["so " + item.replace("then Tom", "then Joe"), "so " + item.replace("12", "9").replace("5", "9"), item.replace("apples", "pears").replace("them", "it")]) == {0: [0], 1: [0]}
 
 
+def test_windows_across_blocks(spark):
+    item = [f"item{chr(97 + i)}word" for i in range(15)]
+    rest = lambda n: [f"other{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)]
+    at = [*range(45, 70), 2 * decontaminate.BLOCK - 1, 600]
+    docs = spark.createDataFrame([(n, " ".join(rest(n) + item[:14] + rest(5))) for n in at], "doc_id long, text string")
+    found = decontaminate.template_matches(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert sorted(tuple(r) for r in found.select("first_word", "n_windows", "last_word").collect()) == [(n, 2, n + 13) for n in at]
+
+
 def test_literal_windows_and_short_items(spark):
     sums = "1 2 3 plus 4 5 6 plus 7 8 9 is 12 15 18 or 21 24 27"
     texts = ["so " + sums + " then", "it asks: How many  moons, has\nMars? and so on", "moons has mars", "a\n" + sums.replace("plus", "minus")]
