@@ -223,9 +223,9 @@ def filter_volatile_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(_numbers(facts(spark, sf_dir)), "props.k=42.0")
 
 
-@registered(_ALL + _ACTIVE.format("SELECT certname FROM volatile WHERE CAST(k AS DOUBLE) = 42 INTERSECT " + _has("event.type", "error")))
+@registered(_ALL + _ACTIVE.format("SELECT certname FROM volatile WHERE CAST(k AS DOUBLE) = 69 INTERSECT " + _has("event.type", "error")))
 def filter_mixed_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(_numbers(facts(spark, sf_dir)), "event.type=error props.k=42")
+    return run(_numbers(facts(spark, sf_dir)), "event.type=error props.k=69.0")
 
 
 def _numbers(found: Facts) -> Facts:
