@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.sources.shared import fresh_path, importable
@@ -55,6 +57,23 @@ def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, inverse: bool = False
     return held.filter(f"coalesce(shiftright({byte}, {at}) & 1, 0) = {0 if inverse else 1}").drop(part, bits, byte, at)
 
 
+def join_weighted(rows: DataFrame, values: DataFrame, keys: list[str], weight: str, common: int) -> DataFrame:
+    """``rows`` joined with the one row that ``values`` has for each key; nulls are equal.
+
+    ``weight`` is the number of rows that have a key. Keys with more than ``common`` of them, at
+    most (all rows / ``common``) keys, are looked up in a broadcast table, and only rows of other
+    keys are exchanged: no task gets more than ``common`` rows of one key. ``rows`` are read
+    twice, so they should be a stored table or cheap.
+    """
+    renamed = {k: free_name(rows, f"with_{i}") for i, k in enumerate(keys)}
+    other = values.withColumnsRenamed(renamed)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(renamed[k])) for k in keys])
+    hot, rest = F.broadcast(other.filter(F.col(weight) > common)), other.filter(F.col(weight) <= common)
+    met = rows.join(hot, same)
+    others = rows.join(hot.select(*renamed.values()), same, "left_anti").join(rest, same)
+    return met.unionByName(others).drop(weight, *renamed.values())
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` doesn't have, so that extra columns can't clash."""
     taken = {c.lower() for c in df.columns}
