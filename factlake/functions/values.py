@@ -1,11 +1,20 @@
-"""JSON values with their number literals kept, their digests and their equality keys."""
+"""JSON values with their number literals kept, their digests and their equality keys.
+
+Nothing here recurses in Python, so that no depth of nesting and no literal can stop a job.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from decimal import Decimal, InvalidOperation
-from typing import Any
+import re
+from functools import lru_cache
+from json.decoder import scanstring
+from json.encoder import encode_basestring
+from typing import Any, NamedTuple
+
+#: Levels of nesting that a text may have.
+MAX_DEPTH = 10_000
 
 
 class Number(str):
@@ -19,109 +28,233 @@ def _refuse(word: str):
 
 
 _DECODER = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=_refuse)
+_SPACE = re.compile(r"[ \t\n\r]*")
+_WORD = re.compile(r"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|true|false|null")
+_WORDS = {"true": True, "false": False, "null": None}
+_ESCAPE = re.compile(r"\\(?:u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|(u[dD][89a-fA-F][0-9a-fA-F]{2})|.)", re.DOTALL)
 
 
-def _mended(value: Any) -> Any:
-    """Lone surrogates, which no UTF-8 text can hold, become U+FFFD."""
-    if isinstance(value, Number):
-        return value
-    if isinstance(value, str):
-        return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    if isinstance(value, list):
-        return [_mended(x) for x in value]
-    if isinstance(value, dict):
-        return {_mended(k): _mended(x) for k, x in value.items()}
-    return value
+def _mended(text: str) -> str:
+    """Escapes of lone surrogates, which no UTF-8 text can hold, become U+FFFD's."""
+    if "\\ud" not in text and "\\uD" not in text:
+        return text
+    return _ESCAPE.sub(lambda m: "\\ufffd" if m[1] else m[0], text)
+
+
+def _scan(text: str, at: int) -> tuple[Any, int]:
+    """``raw_decode`` with a stack of its own: (value, end)."""
+    stack: list[tuple[Any, Any]] = []  # containers, with the key under which the next value goes
+    while True:
+        at = _SPACE.match(text, at).end()
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            if len(stack) >= MAX_DEPTH:
+                raise ValueError("nested too deeply")
+            box, at = ({} if c == "{" else []), _SPACE.match(text, at + 1).end()
+            if text[at : at + 1] != ("}" if c == "{" else "]"):
+                key, at = _key(text, at) if c == "{" else (None, at)
+                stack.append((box, key))
+                continue
+            value, at = box, at + 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        else:
+            found = _WORD.match(text, at)
+            if not found:
+                raise ValueError(f"no value at {at}")
+            value, at = Number(found[0]) if found[1] else _WORDS[found[0]], found.end()
+        while stack:  # the value goes into its container, which may be whole then
+            box, key = stack.pop()
+            if key is None:
+                box.append(value)
+            else:
+                box[key] = value
+            at = _SPACE.match(text, at).end()
+            c, at = text[at : at + 1], at + 1
+            if c == ",":
+                key, at = _key(text, at) if key is not None else (None, at)
+                stack.append((box, key))
+                break
+            if c != ("]" if key is None else "}"):
+                raise ValueError(f"no end of a container at {at}")
+            value = box
+        else:
+            return value, at
+
+
+def _key(text: str, at: int) -> tuple[str, int]:
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no key at {at}")
+    key, at = scanstring(text, at + 1, True)
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    return key, at + 1
+
+
+def _reader(text: str):
+    """What reads (value, end) at a place of a text; where it may nest deeply, with a stack of its own."""
+    return _DECODER.raw_decode if text.count("[") + text.count("{") < 500 else _scan
 
 
 def decode(text: str, first_only: bool = False) -> Any:
     """A JSON text, or its first value alone. Of repeated keys the last counts."""
-    start = len(text) - len(text.lstrip(" \t\r\n"))
-    value, end = _DECODER.raw_decode(text, start)
-    if not first_only and text[end:].strip(" \t\r\n"):
+    text = _mended(text)
+    value, end = _reader(text)(text, _SPACE.match(text).end())
+    if not first_only and _SPACE.match(text, end).end() != len(text):
         raise ValueError("more than one JSON value")
-    return _mended(value) if "\\u" in text else value
+    return value
+
+
+def members(text: str) -> dict[str, tuple[int, int]]:
+    """Where the values of the first JSON object of a text lie, by key: its numbers stay as written."""
+    at = _SPACE.match(text).end()
+    if text[at : at + 1] != "{":
+        raise ValueError("not an object")
+    at, found = _SPACE.match(text, at + 1).end(), {}
+    if text[at : at + 1] == "}":
+        return found
+    read = _reader(text)
+    while True:
+        key, at = _key(text, at)
+        start = _SPACE.match(text, at).end()
+        _, end = read(text, start)
+        found[key] = start, end
+        at = _SPACE.match(text, end).end()
+        c, at = text[at : at + 1], at + 1
+        if c == "}":
+            return found
+        if c != ",":
+            raise ValueError(f"no end of an object at {at}")
+
+
+_KINDS = {type(None): "null", bool: "bool", Number: "number", str: "string", list: "array", dict: "object"}
 
 
 def type_of(value: Any) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "bool"
-    if isinstance(value, Number):
-        return "number"
-    if isinstance(value, str):
-        return "string"
-    return "array" if isinstance(value, list) else "object"
+    return _KINDS[type(value)]
+
+
+_NUMBER = re.compile(r"(-?)0*([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?")
+
+
+def number_key(literal: str) -> str | None:
+    """Equal for literals of equal numbers; None for what isn't a JSON number. An exponent of
+    thousands of digits, which no number type holds, is left as it is written."""
+    if literal.isascii() and literal.isdigit() and literal[0] != "0":
+        bare = literal.rstrip("0")
+        return f"{bare}e{len(literal) - len(bare)}"
+    if not _WORD.fullmatch(literal) or literal in _WORDS:
+        return None
+    sign, whole, part, exponent = _NUMBER.fullmatch(literal).groups()
+    digits = (whole + (part or "")).lstrip("0")
+    bare = digits.rstrip("0")
+    if not bare:
+        return "0"
+    if exponent and len(exponent) > 4000:
+        return f"{sign}{bare}.{len(digits) - len(bare) - len(part or '')}e{exponent}"
+    return f"{sign}{bare}e{int(exponent or 0) - len(part or '') + len(digits) - len(bare)}"
+
+
+class Measured(NamedTuple):
+    """``text``: compact JSON, keys in order, number literals as written. ``digest``: SHA-256 of the
+    typed, length-prefixed value, durable equality. ``key``: equal for values that are equal as
+    numbers, whatever their literals, volatile equality; None where a number isn't JSON's."""
+
+    text: str
+    digest: bytes
+    key: str | None
+
+
+def _number(literal: str) -> tuple[str, bytes, str | None]:
+    """(text, what is hashed, equality key)."""
+    literal = str(literal)
+    data = literal.encode()
+    return literal, b"#" + len(data).to_bytes(8, "big") + data, number_key(literal)
+
+
+def _string(value: str) -> tuple[str, bytes, str]:
+    data, text = value.encode(), encode_basestring(value)
+    return text, b"s" + len(data).to_bytes(8, "big") + data, text
+
+
+_SCALARS = {Number: _number, str: _string}
+_CONSTANTS = {True: ("true", b"b\x01", "true"), False: ("false", b"b\x00", "false"), None: ("null", b"n", "null")}
+_CONSTANTS_MEASURED = {x: Measured(text, hashlib.sha256(data).digest(), key) for x, (text, data, key) in _CONSTANTS.items()}
+
+
+def _whole(scalar):
+    """``measured`` of one kind of scalars. A fleet's snapshots repeat each other, so short ones are kept."""
+
+    def one(value: str) -> Measured:
+        text, data, key = scalar(value)
+        return Measured(text, hashlib.sha256(data).digest(), key)
+
+    return one, lru_cache(1 << 16)(one)
+
+
+_MEASURED = {kind: _whole(scalar) for kind, scalar in _SCALARS.items()}
+
+
+def measured(value: Any) -> Measured:
+    """Text, digest and key of a value in one walk."""
+    kind = type(value)
+    if kind in _MEASURED:
+        return _MEASURED[kind][len(value) < 128](value)
+    if kind not in (list, dict):
+        return _CONSTANTS_MEASURED[value]
+    texts, parts, keys, todo = [], [], [], [value]
+    while todo:
+        x = todo.pop()
+        kind = type(x)
+        if kind is tuple:  # between values: text, and what is hashed
+            texts.append(x[0])
+            keys.append(x[0])
+            parts.append(x[1])
+        elif kind is list:
+            texts.append("[")
+            keys.append("[")
+            parts.append(b"[" + len(x).to_bytes(8, "big"))
+            todo.append(("]", b""))
+            for i in range(len(x) - 1, -1, -1):
+                todo.append(x[i])
+                if i:
+                    todo.append((",", b""))
+        elif kind is dict:
+            texts.append("{")
+            keys.append("{")
+            parts.append(b"{" + len(x).to_bytes(8, "big"))
+            todo.append(("}", b""))
+            names = sorted(x)  # by code point, which is by byte of UTF-8
+            for i in range(len(names) - 1, -1, -1):
+                name = names[i].encode()
+                todo.append(x[names[i]])
+                todo.append((("," if i else "") + encode_basestring(names[i]) + ":", b"k" + len(name).to_bytes(8, "big") + name))
+        else:
+            text, data, key = _SCALARS[kind](x) if kind in _SCALARS else _CONSTANTS[x]
+            texts.append(text)
+            keys.append(key)
+            parts.append(data)
+    return Measured("".join(texts), hashlib.sha256(b"".join(parts)).digest(), None if None in keys else "".join(keys))
 
 
 def encode(value: Any) -> str:
-    """Compact JSON, keys in order, number literals as written."""
-    kind = type_of(value)
-    if kind == "number":
-        return str(value)
-    if kind == "array":
-        return "[" + ",".join(map(encode, value)) + "]"
-    if kind == "object":
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{encode(value[k])}" for k in sorted(value, key=str.encode)) + "}"
-    return json.dumps(value, ensure_ascii=False)
+    return measured(value).text
 
 
 def wire_size(encoded: str) -> int:
     """Bytes of the value as the wire form has it, which escapes five characters to six bytes."""
-    plain = len(encoded.encode())
-    return plain + 5 * sum(map(encoded.count, "<>&")) + 3 * sum(map(encoded.count, "\u2028\u2029"))
-
-
-def _sized(tag: bytes, data: bytes) -> bytes:
-    return tag + len(data).to_bytes(8, "big") + data
-
-
-def _parts(value: Any):
-    kind = type_of(value)
-    if kind == "null":
-        yield b"n"
-    elif kind == "bool":
-        yield b"b\x01" if value else b"b\x00"
-    elif kind == "number":
-        yield _sized(b"#", value.encode())
-    elif kind == "string":
-        yield _sized(b"s", value.encode())
-    elif kind == "array":
-        yield b"[" + len(value).to_bytes(8, "big")
-        for x in value:
-            yield from _parts(x)
-    else:
-        yield b"{" + len(value).to_bytes(8, "big")
-        for k in sorted(value, key=str.encode):
-            yield _sized(b"k", k.encode())
-            yield from _parts(value[k])
+    plain = len(encoded) if encoded.isascii() else len(encoded.encode()) + 3 * (encoded.count("\u2028") + encoded.count("\u2029"))
+    return plain + 5 * (encoded.count("<") + encoded.count(">") + encoded.count("&"))
 
 
 def value_hash(value: Any) -> bytes:
-    """SHA-256 of the typed, length-prefixed value: durable equality."""
-    digest = hashlib.sha256()
-    for part in _parts(value):
-        digest.update(part)
-    return digest.digest()
+    return measured(value).digest
 
 
 def equality_key(value: Any) -> str:
-    """Equal for values that are equal as numbers, whatever their literals: volatile equality."""
-    kind = type_of(value)
-    if kind == "number":
-        try:
-            x = Decimal(value)
-        except InvalidOperation as e:
-            raise ValueError(f"{value} isn't a JSON number") from e
-        if not x.is_finite():
-            raise ValueError(f"{value} isn't a JSON number")
-        sign, digits, exponent = x.as_tuple()
-        digits = "".join(map(str, digits)).lstrip("0")
-        bare = digits.rstrip("0")
-        return f"{'-' if sign else ''}{bare}e{exponent + len(digits) - len(bare)}" if bare else "0"
-    if kind == "array":
-        return "[" + ",".join(map(equality_key, value)) + "]"
-    if kind == "object":
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{equality_key(value[k])}" for k in sorted(value)) + "}"
-    return json.dumps(value, ensure_ascii=False)
+    key = measured(value).key
+    if key is None:
+        raise ValueError(f"{value} isn't a JSON number")
+    return key

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.functions.classify import Policy
-from factlake.model import PLANNED
+from factlake.model import PLANNED, Settings
 from factlake.operators import ingest, intervals, lifecycle, monitor, reads
 from factlake.plans.compile import Facts, run
 from factlake.sources.adapters import event_pushes, order_pushes, table
-from factlake.sources.pushes import plan_pushes
+from factlake.sources.pushes import decode_bodies, plan_pushes
 from factlake.sources.shared import fresh_path
 from factlake.streaming.apply import stream_changes, write_changes
 
@@ -220,19 +220,12 @@ def filter_unknown_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(_ALL + _ACTIVE.format("SELECT certname FROM volatile WHERE CAST(k AS DOUBLE) = 42"))
 def filter_volatile_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(_numbers(facts(spark, sf_dir)), "props.k=42.0")
+    return run(facts(spark, sf_dir), "props.k=42.0")
 
 
 @registered(_ALL + _ACTIVE.format("SELECT certname FROM volatile WHERE CAST(k AS DOUBLE) = 69 INTERSECT " + _has("event.type", "error")))
 def filter_mixed_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(_numbers(facts(spark, sf_dir)), "event.type=error props.k=69.0")
-
-
-def _numbers(found: Facts) -> Facts:
-    """The adapter's volatile values are small whole numbers; this gives them their equality keys."""
-    bare = lambda v: F.regexp_replace(v, "0+$", "")
-    key = lambda name, v: F.when(bare(v) == "", "0").otherwise(F.concat(bare(v), F.lit("e"), (F.length(v) - F.length(bare(v))).cast("string")))
-    return Facts(found.history, found.nodes, found.volatile.withColumn("volatile_key", F.transform_values("volatile", key)), found.policy)
+    return run(facts(spark, sf_dir), "event.type=error props.k=69.0")
 
 
 def _group(path: str, where: str, when: str) -> str:
@@ -251,7 +244,7 @@ def groupby_at_t(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(_ALL + " SELECT k AS value, count(*) AS count FROM volatile JOIN nodes USING (certname) WHERE expired IS NULL AND certname IN (" + _has("event.type", "view") + ") GROUP BY k")
 def groupby_volatile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(_numbers(facts(spark, sf_dir)), "props.k where event.type=view group by props.k")
+    return run(facts(spark, sf_dir), "props.k where event.type=view group by props.k")
 
 
 @registered(_ALL + " SELECT certname, k, observed_at FROM volatile")
@@ -315,7 +308,12 @@ def dirty_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.dirty_streaks(_applied(spark, sf_dir), threshold=2)
 
 
-@registered("SELECT 0::BIGINT AS extra_open, 0::BIGINT AS empty, 0::BIGINT AS same_start, 0::BIGINT AS overlaps, 0::BIGINT AS bad_hash, 0::BIGINT AS bad_flag")
+@registered(
+    _FACTS + """, ends AS (SELECT *, coalesce(valid_to, TIMESTAMP '9999-12-31') AS until, lead(valid_from) OVER (PARTITION BY certname, path ORDER BY valid_from, valid_to) AS next_from FROM history),
+keys AS (SELECT greatest(count(*) FILTER (WHERE is_open) - 1, 0) AS extra_open, count(*) FILTER (WHERE valid_from >= until) AS empty, count(*) FILTER (WHERE next_from = valid_from) AS same_start,
+                count(*) FILTER (WHERE next_from < until) AS "overlaps", count(*) FILTER (WHERE v IS NULL) AS bad_hash, count(*) FILTER (WHERE is_open <> (valid_to IS NULL)) AS bad_flag FROM ends GROUP BY certname, path)
+SELECT """ + ", ".join(f'CAST(coalesce(sum("{c}"), 0) AS BIGINT) AS "{c}"' for c in ("extra_open", "empty", "same_start", "overlaps", "bad_hash", "bad_flag")) + " FROM keys"
+)
 def history_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.integrity(_history(spark, sf_dir))
 
@@ -334,6 +332,84 @@ def flatten_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaves.select("certname", "seq", "path", "value", "value_type", F.lower(F.hex("value_hash")).alias("value_hash"))
 
 
+def _body(tree: str, stamp: str = "@Z", discovery: str = '{"builtin":{"os":"ok"}}') -> str:
+    """``@`` stands for the event's time, ``#`` for ten minutes later."""
+    return f'{{"producer_timestamp":"{stamp}","discovery":{discovery},"tree":{tree}}}'
+
+
+#: A push's body by event_id modulo their number, with the reason and status against it; of a sound
+#: one whether it is clean and its durable and volatile leaves (paths up and up.*).
+_BODIES = [
+    (_body('{"k":1.50,"up":{"secs":10}}'), (True, 1, 1)),
+    ("", ("no-client-cert", 403)),
+    ("{bad", ("bad-request", 400)),
+    ("[1,2]", ("bad-request", 400)),
+    ('{"discovery":{"builtin":{"os":"ok"}},"tree":{"k":1}}', ("bad-request", 400)),
+    (_body('{"k":1}', "2024-01-05"), ("bad-request", 400)),
+    (_body('{"k":1}', "2024-01-05 10:00:00Z"), ("bad-request", 400)),
+    (_body('{"k":1}', "@,5Z"), ("bad-request", 400)),
+    (_body('{"k":1}', "@.1234567890Z", '{"external":{"x":"absent"}}'), (True, 1, 0)),
+    (_body('{"k":1}', discovery='{"builtin":{},"external":null}'), ("bad-request", 400)),
+    (_body('{"k":1}', discovery='{"builtin":{"os":"fine"}}'), ("bad-request", 400)),
+    (_body('{"k":1}', discovery='{"builtin":{"os":"absent"}}'), ("bad-request", 400)),
+    (_body('{"k":1}', discovery='{"builtin":{"os":7}}'), ("bad-request", 400)),
+    (_body('{"k":1,"up":2}', discovery='{"builtin":{"os":"error"}}'), (False, 1, 1)),
+    (_body('{"k":' + "[" * 9000 + "]" * 9000 + "}"), (True, 1, 0)),
+    (_body('{"k":' + "[" * 10_001 + "]" * 10_001 + "}"), ("bad-request", 400)),
+    (_body('{"k":1e99999999999999999999,"up":-0.0e5}'), (True, 1, 1)),
+    (_body('{"a":{"b":1},"a.b":2}'), ("bad-request: colliding path a.b", 400)),
+    (_body('{"a":1,"b":{"c":2,"d":3},"e":4}'), ("oversized: leaf-count", 413)),
+    (_body('{"a":1,"b":2,"c":3,"d":{"' + "x" * 70 + '":4}}'), ("oversized: path-length", 413)),
+    (_body('{"' + "é" * 40 + '":{"x":1}}'), ("oversized: path-length", 413)),
+    (_body('{"k":"' + "<" * 10_000 + '"}'), ("oversized: value-bytes", 413)),
+    (_body('{"k":"' + "x" * 60_000 + '"}'), ("oversized: snapshot-bytes", 413)),
+    (_body("null"), ("bad-request", 400)),
+    (_body("{}"), ("bad-request", 400)),
+    (_body("[1]"), ("bad-request", 400)),
+    (_body('{"k":1}', "#Z"), ("skewed", 409)),
+    (_body('{"k":"' + "<" * 10_000 + '"}', "#Z"), ("skewed", 409)),
+    (_body('{"a":{"b":1},"a.b":2}', "#Z"), ("bad-request: colliding path a.b", 400)),
+    ('{"more":[1,{}],"TREE":{"k":1,"k":2},' + _body("{}")[1:-11] + "} {bad", (True, 1, 0)),
+    (_body('{"up":{"a":1},"update":2}', "@+00:00"), (True, 1, 1)),
+]
+_WRONG = [list(found) if len(found) == 2 else [None, None] for _, found in _BODIES]
+_SOUND = [list(found) if len(found) == 3 else [None] * 3 for _, found in _BODIES]
+
+
+def push_bodies(events: DataFrame) -> DataFrame:
+    """(certname, seq, received_at, body): a push's JSON for each event, most with a fault."""
+    kind = F.col("event_id") % len(_BODIES)
+    iso = lambda ts: F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    bodies = F.element_at(F.create_map(*[x for i, (text, _) in enumerate(_BODIES) for x in (F.lit(i), F.lit(text))]), kind.cast("int"))
+    body = F.replace(F.replace(bodies, F.lit("@"), iso(F.col("ts"))), F.lit("#"), iso(F.expr("ts + INTERVAL 10 MINUTES")))
+    return events.select(F.when(kind == 1, "").otherwise(F.concat(F.lit("u"), F.col("user_id"))).alias("certname"), F.col("event_id").alias("seq"), F.col("ts").alias("received_at"), body.alias("body"))
+
+
+def _by_kind(values: list) -> str:
+    return "CASE " + " ".join(f"WHEN event_id % {len(_BODIES)} = {i} THEN {v}" for i, v in enumerate(values) if v is not None) + " END"
+
+
+def _quoted(value) -> str | None:
+    return None if value is None else f"'{value}'"
+
+
+@registered(
+    f"""SELECT event_id AS seq, CASE WHEN event_id % {len(_BODIES)} = 1 THEN '' ELSE 'u' || user_id END AS certname,
+       {_by_kind([_quoted(r) for r, _ in _WRONG])} AS reason, CAST({_by_kind([c for _, c in _WRONG])} AS INTEGER) AS status,
+       {_by_kind([c for c, _, _ in _SOUND])} AS clean, CAST({_by_kind([d for _, d, _ in _SOUND])} AS INTEGER) AS durable, CAST({_by_kind([v for _, _, v in _SOUND])} AS INTEGER) AS volatile,
+       CASE WHEN event_id % {len(_BODIES)} IN ({', '.join(str(i) for i, x in enumerate(_SOUND) if x[1])})
+            THEN date_trunc('second', ts) + CASE WHEN event_id % {len(_BODIES)} = 8 THEN INTERVAL 123456 MICROSECOND ELSE INTERVAL 0 SECOND END END AS producer_ts FROM events"""
+)
+def push_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first reason against each of many kinds of JSON bodies, by decoding, caps, flattening, discovery and classification."""
+    limits = Settings(max_body_bytes=60_000, max_leaves=3, max_path_bytes=64, max_value_bytes=50_000)
+    planned = plan_pushes(decode_bodies(push_bodies(table(spark, sf_dir, "events")), limits), Policy(("up", "up.*")), limits)
+    sound = lambda c: F.when(F.col("reason").isNull(), c)
+    return planned.select(
+        "seq", "certname", "reason", "status", sound(F.col("clean")).alias("clean"), sound(F.size("durable")).alias("durable"), sound(F.size("volatile")).alias("volatile"), sound(F.col("producer_ts")).alias("producer_ts"),
+    )
+
+
 @registered(
     """WITH pushes AS (SELECT 'c' || o_custkey AS certname, o_orderdate AS ts, o_orderkey, o_orderstatus, o_orderpriority FROM orders),
 applied AS (SELECT certname, ts, arg_min(o_orderstatus, o_orderkey) AS s, arg_min(o_orderpriority, o_orderkey) AS p FROM pushes GROUP BY certname, ts),

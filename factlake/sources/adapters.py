@@ -24,11 +24,17 @@ def text_leaf(path: str, text: Column) -> Column:
     return F.when(text.isNotNull(), F.struct(F.lit(path).alias("path"), F.lit(path.split(".")[0]).alias("fact_name"), quoted.alias("value"), F.lit("string").alias("value_type"), text_hash(text).alias("value_hash")))
 
 
-def _planned(rows: DataFrame, leaves: list[Column], volatile: Column | None) -> DataFrame:
+def whole_number_key(text: Column) -> Column:
+    """``equality_key`` of a JSON number without sign, fraction or exponent, as an expression."""
+    bare = F.regexp_replace(text, "0+$", "")
+    return F.when(bare == "", "0").otherwise(F.concat(bare, F.lit("e"), (F.length(text) - F.length(bare)).cast("string")))
+
+
+def _planned(rows: DataFrame, leaves: list[Column], volatile: Column | None, key: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("map<string, string>")
     return rows.select(
         "certname", "seq", "received_at", "producer_ts", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("int").alias("status"), "clean",
-        F.filter(F.array(*leaves), lambda x: x.isNotNull()).alias("durable"), (none if volatile is None else volatile).alias("volatile"), (none if volatile is None else volatile).alias("volatile_key"),
+        F.filter(F.array(*leaves), lambda x: x.isNotNull()).alias("durable"), (none if volatile is None else volatile).alias("volatile"), (none if key is None else key).alias("volatile_key"),
     )
 
 
@@ -44,13 +50,13 @@ def event_pushes(events: DataFrame) -> DataFrame:
     )
     band = F.when(F.col("event_type").isin("purchase", "click", "view"), F.when(F.col("value") < 10, "low").when(F.col("value") < 50, "mid").otherwise("high"))
     k = F.get_json_object("props", "$.k")
-    return _planned(rows, [text_leaf("event.type", F.col("event_type")), text_leaf("event.band", band)], F.create_map(F.lit("props.k"), k))
+    return _planned(rows, [text_leaf("event.type", F.col("event_type")), text_leaf("event.band", band)], F.create_map(F.lit("props.k"), k), F.create_map(F.lit("props.k"), whole_number_key(k)))
 
 
 def order_pushes(orders: DataFrame) -> DataFrame:
     """A node for each customer; orders of one day arrive by key, and only the first is new."""
     rows = orders.select(
-        F.concat(F.lit("c"), F.col("o_custkey")).alias("certname"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")).alias("seq"), F.col("o_orderdate").alias("received_at"),
+        F.concat(F.lit("c"), F.col("o_custkey")).alias("certname"), (F.unix_date(F.to_date("o_orderdate")) * F.lit(86_400_000_000) + F.col("o_orderkey")).alias("seq"), F.col("o_orderdate").alias("received_at"),
         F.col("o_orderdate").alias("producer_ts"), F.lit(True).alias("clean"), "o_orderstatus", "o_orderpriority",
     )
     return _planned(rows, [text_leaf("order.status", F.col("o_orderstatus")), text_leaf("order.priority", F.col("o_orderpriority"))], None)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.functions.classify import Policy
 from factlake.functions.flatten import flat_column
-from factlake.functions.values import decode, encode
+from factlake.functions.times import utc
+from factlake.functions.values import decode, members
 from factlake.model import PUSH, Settings
 
 STATUSES = {"builtin": ("ok", "error"), "external": ("ok", "error", "absent")}
 
-BODY = "struct<bad: boolean, producer_ts: string, tree: string, builtin: map<string, string>, external: map<string, string>>"
+BODY = "struct<bad: boolean, producer_ts: timestamp_ntz, tree: string, builtin: map<string, string>, external: map<string, string>>"
+
+_FIELDS = ("producer_timestamp", "tree", "discovery")
 
 
 def read_pushes(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
@@ -23,39 +27,56 @@ def stream_pushes(spark: SparkSession, path: str, kind: str = "parquet", files_p
     return spark.readStream.schema(PUSH).option("maxFilesPerTrigger", files_per_trigger).format(kind).load(path)
 
 
-def _body(text: str | None) -> dict:
-    """Unknown fields are let through and what follows the first JSON value isn't read; the tree
-    stays JSON text, so that its numbers stay as written."""
-    try:
-        body = decode(text or "", first_only=True)
-        if not isinstance(body, dict):
-            raise ValueError("not an object")
-        found = body.get("discovery") or {}
-        maps = {k: found.get(k) or {} for k in STATUSES}
-        stamp = body.get("producer_timestamp")
-        if not (stamp is None or type(stamp) is str) or not all(isinstance(m, dict) and all(type(v) is str for v in m.values()) for m in maps.values()):
-            raise ValueError("wrong types")
-        return {"bad": False, "producer_ts": stamp, "tree": encode(body["tree"]) if "tree" in body else None, **maps}
-    except (ValueError, RecursionError, AttributeError):
-        return {"bad": True}
+def _body(text: str | None) -> tuple:
+    """(stamp, tree, builtin, external) of a body; ValueError for what isn't one.
+
+    Unknown fields are let through, names are taken in any case, and what follows the first JSON
+    value isn't read. The tree stays the text that it is.
+    """
+    text = text or ""
+    places = {name.lower(): place for name, place in members(text).items() if name.lower() in _FIELDS}
+    read = lambda name: decode(text[slice(*places[name])]) if name in places else None
+    stamp, found = read("producer_timestamp"), read("discovery")
+    if stamp is not None:
+        if type(stamp) is not str:
+            raise ValueError("the stamp isn't text")
+        stamp = utc(stamp)
+    if found is None:
+        found = {}
+    maps = [{} if (m := found.get(kind)) is None else m for kind in STATUSES] if type(found) is dict else [None]
+    if not all(type(m) is dict and all(type(v) is str for v in m.values()) for m in maps):
+        raise ValueError("discovery isn't maps of text")
+    return stamp, text[slice(*places["tree"])] if "tree" in places else None, *(list(m.items()) for m in maps)
+
+
+def _bodies(texts: pa.Array) -> pa.StructArray:
+    rows = []
+    for text in texts.to_pylist():
+        try:
+            rows.append((False, *_body(text)))
+        except ValueError:
+            rows.append((True, None, None, None, None))
+    kinds = {"bad": pa.bool_(), "producer_ts": pa.timestamp("us"), "tree": pa.string(), "builtin": pa.map_(pa.string(), pa.string()), "external": pa.map_(pa.string(), pa.string())}
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    return pa.StructArray.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds.values())], list(kinds))
 
 
 def decode_bodies(raw: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Pushes from (certname, seq, received_at, body): the body as JSON text.
 
     ``reason`` and ``status`` are set for a missing identity, a body over the cap and a body
-    that doesn't decode, in this order.
+    that doesn't decode, in this order. Stamps are RFC 3339 to the letter, and UTC whatever the
+    session's zone. No body can stop the job: what Python can't read is a bad request.
     """
-    body = F.udf(_body, BODY, useArrow=True)
+    body = F.arrow_udf(lambda texts: _bodies(texts), BODY)
     large = F.octet_length("body") > settings.max_body_bytes
-    read = raw.withColumn("b", body(F.when(large, F.lit(None)).otherwise(F.col("body"))))
     nobody = F.col("certname").isNull() | (F.col("certname") == "")
-    stamp = F.try_to_timestamp("b.producer_ts")
+    read = raw.withColumn("large", F.coalesce(large, F.lit(False))).withColumn("nobody", nobody)
+    read = read.withColumn("b", body(F.when(~F.col("large"), F.col("body"))))
+    first = lambda *codes: F.when(F.col("nobody"), codes[0]).when(F.col("large"), codes[1]).when(F.col("b.bad"), codes[2])
     return read.select(
-        "certname", "seq", "received_at", F.to_timestamp_ntz(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("producer_ts"),
-        "b.tree", "b.builtin", "b.external",
-        F.when(nobody, "no-client-cert").when(large, "oversized: snapshot-bytes").when(F.col("b.bad") | (F.col("b.producer_ts").isNotNull() & stamp.isNull()), "bad-request").alias("reason"),
-        F.when(nobody, 403).when(large, 413).when(F.col("b.bad") | (F.col("b.producer_ts").isNotNull() & stamp.isNull()), 400).alias("status"),
+        "certname", "seq", "received_at", "b.producer_ts", "b.tree", "b.builtin", "b.external",
+        first("no-client-cert", "oversized: snapshot-bytes", "bad-request").alias("reason"), first(403, 413, 400).alias("status"),
     )
 
 

@@ -8,20 +8,20 @@ from factlake.plans.dsl import Term, literal, parse, stamp
 
 
 def test_terms_are_typed():
-    q = parse("""a=1 b="1" c=true d=null e='x y' f=web g= h=a=b""")
-    assert q.terms == (Term("a", Number("1")), Term("b", "1"), Term("c", True), Term("d", None), Term("e", "x y"), Term("f", "web"), Term("g", ""), Term("h", "a=b"))
-    assert isinstance(q.terms[0].value, Number) and not isinstance(q.terms[1].value, Number)
+    q = parse("""rack=12 slot="12" spare=false owner=null site='north hall' tier=gold note= rule=x=y""")
+    assert [(t.path, t.value) for t in q.terms] == [("rack", "12"), ("slot", "12"), ("spare", False), ("owner", None), ("site", "north hall"), ("tier", "gold"), ("note", ""), ("rule", "x=y")]
+    assert isinstance(q.terms[0].value, Number) and not any(isinstance(t.value, Number) for t in q.terms[1:])
     assert q.at is None and q.group_field is None
 
 
 def test_group_by_and_time():
-    q = parse("os.name where role=web dc=x group by os.name at 2026-01-01T10:30:00+02:00")
-    assert q.group_field == "os.name" and len(q.terms) == 2 and q.at == dt.datetime(2026, 1, 1, 8, 30)
-    assert parse("role=web at now").at is None
+    q = parse("kernel.build where tier=gold dc=x group by kernel.build at 2026-01-01T10:30:00+02:00")
+    assert q.group_field == "kernel.build" and len(q.terms) == 2 and q.at == dt.datetime(2026, 1, 1, 8, 30)
+    assert parse("tier=gold at now").at is None
 
 
 @pytest.mark.parametrize(
-    "text", ["", "  ", "role", "=web", "role where os.name=x", "a where b=1 group", "a where b=1 group by", "a where group by a", "a where b=1 group by a c", "x=1 a where b=1 group by a", "a='x", "a=1 at", "at now", "a=1 at now b=2", "a=1 at yesterday", "a=1 at 2026-01-01", "a=1 at 2026-13-01T00:00:00Z"],
+    "text", ["", " \t", "rack", "=gold", "rack where tier=gold", "rack where tier=gold group", "rack where tier=gold group by", "rack where group by rack", "rack where tier=gold group by rack slot", "tier=gold rack where tier=gold group by rack", "site='north", "tier=gold at", "at now", "tier=gold at now rack=1", "tier=gold at noon", "tier=gold at 2025-06-01", "tier=gold at 2025-02-30T00:00:00Z"],
 )
 def test_bad_queries(text):
     with pytest.raises(BadQuery) as e:
@@ -58,18 +58,18 @@ def facts(spark):
     from tests.pushes import pushes, t1, t2
 
     rows = [
-        ("qweb01", t1, '{"role":"web","os":{"name":"Debian"},"uptime":12345.0,"n":1.0}', "clean"),
-        ("qweb02", t1, '{"role":"web","os":{"name":"Ubuntu"},"uptime":7,"n":1}', "clean"),
-        ("qdb01", t1, '{"role":"db","os":{"name":"Debian"},"n":1}', "clean"),
-        ("qhist01", t1, '{"role":"hist","os":{"name":"Debian"},"uptime":null}', "clean"),
-        ("qhist01", t2, '{"role":"hist","os":{"name":"Fedora"},"uptime":null}', "clean"),
+        ("c-gold", t1, '{"tier":"gold","kernel":{"build":"elm"},"uptime":12345.0,"n":1.0}', "clean"),
+        ("d-gold", t1, '{"tier":"gold","kernel":{"build":"oak"},"uptime":7,"n":1}', "clean"),
+        ("a-iron", t1, '{"tier":"iron","kernel":{"build":"elm"},"n":1}', "clean"),
+        ("b-old", t1, '{"tier":"old","kernel":{"build":"elm"},"uptime":null}', "clean"),
+        ("b-old", t2, '{"tier":"old","kernel":{"build":"ash"},"uptime":null}', "clean"),
     ]
     policy = Policy(("uptime",))
     outcomes = ingest.push_outcomes(plan_pushes(pushes(spark, rows), policy)).cache()
     nodes = ingest.node_table(outcomes)
     from pyspark.sql import functions as F
 
-    nodes = nodes.withColumn("expired", F.when(F.col("certname") == "qdb01", F.col("last_seen")))
+    nodes = nodes.withColumn("expired", F.when(F.col("certname") == "a-iron", F.col("last_seen")))
     return Facts(intervals.fact_history(ingest.applied(outcomes)).cache(), nodes, ingest.volatile_table(outcomes).cache(), policy)
 
 
@@ -80,31 +80,31 @@ def ask(facts, text, **options):
 
 
 def test_filters(facts):
-    assert ask(facts, "role=web os.name=Debian") == [("qweb01",)]
-    assert ask(facts, "os.name=Debian") == [("qweb01",)]
-    assert ask(facts, "os.name=Debian", include_inactive=True) == [("qdb01",), ("qweb01",)]
-    assert ask(facts, "os.name=Debian at 2026-01-01T10:30:00Z") == [("qhist01",), ("qweb01",)]
-    assert ask(facts, "role=web role=db") == [] and ask(facts, "no.such=1") == [] and ask(facts, "role=web role=web") == [("qweb01",), ("qweb02",)]
-    assert ask(facts, "n=1") == [("qweb02",)] and ask(facts, "n=1.0") == [("qweb01",)] and ask(facts, 'n="1"') == []
-    assert ask(facts, "os.name=Debian at 1999-01-01T00:00:00Z") == []
+    assert ask(facts, "tier=gold kernel.build=elm") == [("c-gold",)]
+    assert ask(facts, "kernel.build=elm") == [("c-gold",)]
+    assert ask(facts, "kernel.build=elm", include_inactive=True) == [("a-iron",), ("c-gold",)]
+    assert ask(facts, "kernel.build=elm at 2026-01-01T10:30:00Z") == [("b-old",), ("c-gold",)]
+    assert ask(facts, "tier=gold tier=iron") == [] and ask(facts, "no.such=1") == [] and ask(facts, "tier=gold tier=gold") == [("c-gold",), ("d-gold",)]
+    assert ask(facts, "n=1") == [("d-gold",)] and ask(facts, "n=1.0") == [("c-gold",)] and ask(facts, 'n="1"') == []
+    assert ask(facts, "kernel.build=elm at 1999-01-01T00:00:00Z") == []
 
 
 def test_volatile_terms(facts):
-    assert ask(facts, "uptime=12345") == [("qweb01",)] == ask(facts, "uptime=1.2345e4 role=web")
-    assert ask(facts, "uptime=null") == [("qhist01",)] and ask(facts, "uptime='7'") == []
-    for text in ("uptime=7 at 2026-01-01T10:30:00Z", "uptime where role=web group by uptime at 2099-01-01T00:00:00Z"):
+    assert ask(facts, "uptime=12345") == [("c-gold",)] == ask(facts, "uptime=1.2345e4 tier=gold")
+    assert ask(facts, "uptime=null") == [("b-old",)] and ask(facts, "uptime='7'") == []
+    for text in ("uptime=7 at 2026-01-01T10:30:00Z", "uptime where tier=gold group by uptime at 2099-01-01T00:00:00Z"):
         with pytest.raises(NoHistory):
             ask(facts, text)
-    assert ask(facts, "uptime=7 at now") == [("qweb02",)]
+    assert ask(facts, "uptime=7 at now") == [("d-gold",)]
     with pytest.raises(BadQuery):
         ask(facts, "uptime=inf")
 
 
 def test_groups(facts):
-    assert ask(facts, "os.name where role=web group by os.name") == [('"Debian"', 1), ('"Ubuntu"', 1)]
-    assert ask(facts, "uptime where role=web group by uptime") == [("7", 1), ("12345.0", 1)]
-    assert ask(facts, "n where role=web group by n", include_inactive=True) == [("1", 1), ("1.0", 1)]
-    assert ask(facts, "n where role=hist group by n") == []
+    assert ask(facts, "kernel.build where tier=gold group by kernel.build") == [('"elm"', 1), ('"oak"', 1)]
+    assert ask(facts, "uptime where tier=gold group by uptime") == [("7", 1), ("12345.0", 1)]
+    assert ask(facts, "n where tier=gold group by n", include_inactive=True) == [("1", 1), ("1.0", 1)]
+    assert ask(facts, "n where tier=old group by n") == []
 
 
 def test_query_limits(facts):
@@ -120,9 +120,9 @@ def test_a_term_reaches_the_scan(spark, facts, tmp_path):
     store = FactStore(spark, f"file://{tmp_path}")
     store.save(facts.history, facts.nodes, facts.volatile)
     stored = store.open(facts.policy)
-    assert [tuple(r) for r in plan(stored, parse("role=web os.name=Debian")).collect()] == [("qweb01",)]
-    text = plan(stored, parse("os.name=Debian"))._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(is_open" in text and "EqualTo(path,os.name)" in text
+    assert [tuple(r) for r in plan(stored, parse("tier=gold kernel.build=elm")).collect()] == [("c-gold",)]
+    text = plan(stored, parse("kernel.build=elm"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(is_open" in text and "EqualTo(path,kernel.build)" in text
 
 
 def test_the_last_whole_version_counts(spark, tmp_path):

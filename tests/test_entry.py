@@ -28,9 +28,21 @@ def test_the_engine_stands_without_the_corpus_operators(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
 
 
+def test_the_engine_stands_where_a_library_of_the_corpus_operators_lacks(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("factlake.llm")] + ["corpus_pipeline", "__spark_entry__"]:
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    entry = importlib.import_module("__spark_entry__")
+    from factlake.queries import QUERIES
+
+    assert set(entry.queries()) == set(QUERIES)
+    for name in [m for m in sys.modules if m.startswith("factlake.llm")] + ["corpus_pipeline", "__spark_entry__"]:
+        monkeypatch.delitem(sys.modules, name, raising=False)
+
+
 def test_entry_gives_rows_with_a_stable_schema(spark, entry):
     found = entry.entry(spark)
-    assert found.dtypes == [("value", "string"), ("count", "bigint")] and found.count() >= 0
+    assert found.dtypes == [("value", "string"), ("count", "bigint")] and found.count() > 0
 
 
 def test_registered_queries_match_their_sql(spark, entry):

@@ -278,3 +278,40 @@ def test_history_takes_one_exchange(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+
+
+def bodies(spark, texts):
+    rows = [(f"n{i}", i, NOON, t) for i, t in enumerate(texts)]
+    return decode_bodies(spark.createDataFrame(rows, "certname string, seq bigint, received_at timestamp_ntz, body string")).orderBy("seq").collect()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kathmandu"])
+def test_stamps_are_rfc_3339_and_utc_in_any_session(spark, zone):
+    stamps = {
+        "2026-01-01T10:00:00Z": t1, "2026-01-01T10:00:00.9999999Z": t1 + dt.timedelta(microseconds=999999), "2026-01-01T12:30:00+02:30": t1, "2026-03-29T02:30:00Z": dt.datetime(2026, 3, 29, 2, 30),
+        "2026": None, "2026-01-01": None, "2026-01-01 10:00:00": None, "2026-01-01T10:00:00": None, "2026-01-01t10:00:00z": None, "2026-01-01T10:00:00,5Z": None, "2026-01-01T24:00:00Z": None,
+        "2026-02-29T10:00:00Z": None, "2026-01-01T10:00:60Z": None, "2026-01-01T10:00:00+24:00": None, "2026-01-01T1:00:00Z": None, "0001-01-01T00:00:00+01:00": None, "now": None, "": None,
+    }
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        found = bodies(spark, [f'{{"producer_timestamp":"{s}","tree":{{"k":1}}}}' for s in stamps])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [r.producer_ts for r in found] == list(stamps.values())
+    assert [r.status for r in found] == [None if at else 400 for at in stamps.values()]
+
+
+def test_no_body_stops_a_job(spark):
+    deep = lambda n: '{"tree":{"a":' + "[" * n + "]" * n + "}}"
+    texts = [deep(1500), deep(9000), deep(60_000), "[" * 100_000, '{"tree":{"a":1e99999999999999999999}}', '{"a":' * 20_000, '{"discovery":{"builtin":{"\\ud800":"ok"}}}', '{"discovery":[]}', '{"discovery":{"builtin":[]}}', '{"producer_timestamp":5}', "", None, "\x00", '{"tree":']
+    found = bodies(spark, texts)
+    assert [r.status for r in found] == [None, None, 400, 400, None, 400, None, 400, 400, 400, 400, 400, 400, 400]
+    assert found[4].tree == '{"a":1e99999999999999999999}' and found[6].builtin == {"�": "ok"}
+    planned = plan_pushes(spark.createDataFrame([(r.certname, r.seq, NOON, NOON, r.tree, {"os": "ok"}, None, r.reason, r.status) for r in found], PUSH + ", reason string, status int"))
+    assert [r.reason for r in planned.orderBy("seq").collect()[:5]] == [None, None, "bad-request", "bad-request", None]
+
+
+def test_a_tree_stays_the_text_that_it_is(spark):
+    found = bodies(spark, ['{"Tree": {"b" : 1.00, "a":[ ]} , "producer_timestamp":null, "DISCOVERY":{"external":{"x":"ok"}}} tail'])[0]
+    assert (found.tree, found.producer_ts, found.builtin, found.external, found.reason) == ('{"b" : 1.00, "a":[ ]}', None, {}, {"x": "ok"}, None)

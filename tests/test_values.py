@@ -1,12 +1,13 @@
-import itertools
+import sys
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from factlake.functions.classify import Policy
-from factlake.functions.flatten import TreeError, flatten, read_tree
-from factlake.functions.values import Number, decode, encode, equality_key, value_hash, wire_size
+from factlake.functions.flatten import TreeError, flat_batch, flatten, read_tree
+from factlake.functions.values import MAX_DEPTH, Number, _scan, decode, encode, equality_key, measured, members, type_of, value_hash, wire_size
 from factlake.model import Settings
 
 # Digests derived from the encoding: a tag, an 8-byte length, the bytes.
@@ -29,12 +30,27 @@ def test_golden_digests(text):
     assert value_hash(decode(text)).hex() == GOLDEN[text]
 
 
-def test_values_are_pairwise_distinct():
-    texts = ["1", '"1"', "1.0", "1.00", "2", "true", "false", "null", '"true"', '"1.0"', "[]", "{}", "0"]
-    digests = [value_hash(decode(t)) for t in texts]
-    assert all(a != b for a, b in itertools.combinations(digests, 2))
-    assert value_hash(decode('["ab","c"]')) != value_hash(decode('["a","bc"]'))
-    assert value_hash(decode("[1,2]")) != value_hash(decode("[2,1]"))
+literals = st.sampled_from(["7", "7.0", "70e-1", "-7", "0", "-0", "0.0", "7E0"]).map(Number)
+typed = st.recursive(st.none() | st.booleans() | literals | st.sampled_from(["7", "7.0", "", "true", "null", "[]"]), lambda x: st.lists(x, max_size=2) | st.dictionaries(st.sampled_from(["", "a", "b"]), x, max_size=2), max_leaves=4)
+
+
+def shape(value):
+    """What durable equality goes by: types and literals, all the way down."""
+    if isinstance(value, list):
+        return ("array", *map(shape, value))
+    if isinstance(value, dict):
+        return ("object", *((k, shape(value[k])) for k in sorted(value)))
+    return type_of(value), str(value)
+
+
+@settings(max_examples=400, deadline=None)
+@given(typed, typed)
+def test_digests_are_equal_where_type_and_literal_are(a, b):
+    assert (value_hash(a) == value_hash(b)) == (shape(a) == shape(b))
+
+
+def test_lengths_part_neighbours():
+    assert len({value_hash(decode(t)) for t in ('["12","3"]', '["1","23"]', '["123"]', '"123"', "[123]", "[12,3]")}) == 6
 
 
 def test_equality_keys_go_by_number():
@@ -108,6 +124,77 @@ def test_trees():
     assert [x["value_type"] for x in read_tree('{"a":1,"b":"x","c":true,"d":null,"e":[1],"f":{}}', Settings())["leaves"]] == ["number", "string", "bool", "null", "array", "object"]
 
 
+@pytest.mark.parametrize("levels", [1500, 9000, MAX_DEPTH - 1])
+def test_depth_stops_nothing(levels):
+    assert levels < MAX_DEPTH and sys.getrecursionlimit() < 9000
+    for opened, closed in (("[", "]"), ('[{"k":', "}]")):
+        n = levels // len(closed)
+        inner = opened * n + "1.0" + closed * n
+        found = read_tree(f'{{"a":{inner}}}', Settings(max_value_bytes=1 << 20))
+        assert found["reason"] is None and found["leaves"][0]["value"] == inner
+    assert read_tree('{"a":' * levels + "1" + "}" * levels, Settings())["reason"] == "oversized: path-length"
+
+
+def test_too_deep_is_a_bad_request():
+    for n in (MAX_DEPTH, MAX_DEPTH * 5):
+        assert read_tree('{"a":' + "[" * n + "]" * n + "}", Settings())["reason"] == "bad-request"
+        assert read_tree('{"a":' + "[" * n, Settings())["reason"] == "bad-request"
+
+
+@pytest.mark.parametrize("literal, key", [("1e99999999999999999999", "1e99999999999999999999"), ("10e99999999999999999999", "1e100000000000000000000"), ("-0.00e9999999999999999999", "0"), ("1.50E-99999999999999999999", "15e-100000000000000000000")])
+def test_any_exponent_has_a_key(literal, key):
+    found = read_tree(f'{{"a":{literal}}}', Settings())["leaves"][0]
+    assert (found["value"], found["equality_key"]) == (literal, key)
+
+
+def test_an_exponent_of_thousands_of_digits_is_kept_as_written():
+    digits = "9" * 5000
+    assert equality_key(Number(f"20e{digits}")) == f"2.1e{digits}"
+
+
+@settings(max_examples=200, deadline=None)
+@given(typed, st.sampled_from(["", " ", "\n\t"]))
+def test_the_scanner_reads_as_the_library_does(value, space):
+    text = encode(value).replace(",", f"{space},{space}").replace(":", f"{space}:{space}")
+    assert _scan(text + "x", 0) == (decode(text), len(text)) and shape(_scan(text, 0)[0]) == shape(decode(text))
+
+
+@pytest.mark.parametrize("bad", ["", "[", "[1", "[1,", "[1,]", "{", '{"a"', '{"a":', '{"a":1', '{"a":1,', '{"a":1,}', "{1:2}", "[1 2]", "01x", "nul", "NaN", "-", "]", '"a', "[}", '{"a":1]', '{"a" 1}', '"\n"'])
+def test_the_scanner_refuses_what_isnt_json(bad):
+    with pytest.raises(ValueError):
+        _, end = _scan(bad, 0)
+        if end != len(bad):
+            raise ValueError(bad)
+
+
+def test_members_are_found_in_place():
+    text = ' {"a" : 1.00 , "b":{"c":[1,"}"]},"a":[2]} {"d":1}'
+    assert {k: text[slice(*v)] for k, v in members(text).items()} == {"a": "[2]", "b": '{"c":[1,"}"]}'}
+    assert members("{}") == {}
+    for bad in ("[]", "{", '{"a":}', '{"a":1 "b":2}', ""):
+        with pytest.raises(ValueError):
+            members(bad)
+
+
+def test_surrogates_alone_become_replacements():
+    assert decode('["\\ud83d\\ude00", "\\ud83d", "\\ude00x", "\\\\ud83d", "\\uD83D\\u0041"]') == ["😀", "\ufffd", "\ufffdx", "\\ud83d", "\ufffdA"]
+
+
+def test_a_batch_is_its_trees_one_by_one():
+    texts = ['{"a":{"b":1},"c":"x"}', None, "[1]", '{"a":1,"b":2,"c":3}', '{"k":"<<<<"}', '{"a":{"b":1},"a.b":2}', '{"z":null}']
+    limits = Settings(max_leaves=2, max_value_bytes=20)
+    assert flat_batch(pa.array(texts), limits).to_pylist() == [read_tree(t, limits) for t in texts]
+    assert [x["reason"] for x in flat_batch(pa.array(texts), limits).to_pylist()] == [None, "bad-request", "bad-request", "oversized: leaf-count", None, "bad-request: colliding path a.b", None]
+    assert flat_batch(pa.array([], pa.string()), limits).to_pylist() == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(typed)
+def test_one_walk_gives_text_digest_and_key(value):
+    found = measured(value)
+    assert (encode(value), value_hash(value), equality_key(value)) == tuple(found) and shape(decode(found.text)) == shape(value)
+
+
 def test_policy():
     policy = Policy(("uptime", "memory.*.available_bytes", "load*", "disk?"))
     assert all(map(policy.is_volatile, ["uptime", "memory.system.available_bytes", "load", "load.1m", "disk1", "load\n1", "memory.a.b.available_bytes"]))
