@@ -5,9 +5,17 @@ from __future__ import annotations
 import datetime as dt
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _STAMP = re.compile(r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(?:([.,])(\d+))?(?:Z|([+-])(\d\d):(\d\d))", re.ASCII)
 
 
+def ntz(at: dt.datetime) -> Column:
+    """A naive time as a constant. As a Python value it would pass through the zones of the process and the session."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def utc(text: str, strict: bool = True) -> dt.datetime:
     """The time in UTC, cut to microseconds; ValueError for anything else.
 

@@ -12,14 +12,16 @@ UNREAD = ("no-client-cert", "rate-limited", "backpressure")
 STATUS = {"applied": 200, "skewed": 409, "stale": 409, "deactivated": 403}
 
 
-def push_outcomes(planned: DataFrame, settings: Settings = Settings(), deactivations: DataFrame | None = None) -> DataFrame:
+def push_outcomes(planned: DataFrame, settings: Settings = Settings(), deactivations: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """``planned`` with ``outcome`` and ``status``: applied, or the first reason against it.
 
     A push is applied if its stamp isn't ahead of the server's clock by more than the skew, its
     node isn't deactivated, the stamp is later than all applied before it, and a node's first
     isn't behind by more than the skew. One exchange by node; rejects take no part in windows.
     ``deactivations`` has (certname, seq): what arrives later is rejected, if the node was there
-    by then. A deactivation before a node's first applied push changes nothing.
+    by then. A deactivation before a node's first applied push changes nothing. ``known`` has
+    (certname, floor, shut) of nodes that were there before all these pushes: the time that a push
+    must be past, and whether the node is deactivated.
     """
     skew = F.lit(settings.max_skew)
     node = Window.partitionBy("certname")
@@ -31,14 +33,17 @@ def push_outcomes(planned: DataFrame, settings: Settings = Settings(), deactivat
         orders = deactivations.groupBy("certname").agg(F.collect_set("seq").alias("orders"))
         own = own.join(orders, "certname", "left")
     # nothing is sealed before a node's first push, so the first doesn't depend on seals
-    own = own.withColumn("first_seq", F.min(F.when(F.col("sound") & ~F.col("behind"), F.col("seq"))).over(node))
+    first, sealed, floor = F.min(F.when(F.col("sound") & ~F.col("behind"), F.col("seq"))).over(node), F.lit(False), F.lit(None).cast("timestamp_ntz")
+    if known is not None:
+        own = own.join(known.select("certname", "floor", "shut"), "certname", "left")
+        first, sealed, floor = F.when(F.col("shut").isNotNull(), F.lit(-(1 << 63))).otherwise(first), F.coalesce("shut", F.lit(False)), F.col("floor")
+    own = own.withColumn("first_seq", first)
     if deactivations is not None:
         sealed_seq = F.array_min(F.filter("orders", lambda at: at >= F.col("first_seq")))
-        own = own.withColumn("sealed", F.coalesce(F.col("seq") > sealed_seq, F.lit(False)))
-    else:
-        own = own.withColumn("sealed", F.lit(False))
+        sealed = sealed | F.coalesce(F.col("seq") > sealed_seq, F.lit(False))
+    own = own.withColumn("sealed", sealed)
     sound = F.col("sound") & ~F.col("sealed")
-    own = own.withColumn("mark", F.max(F.when(sound & (F.col("seq") >= F.col("first_seq")), ts)).over(before))
+    own = own.withColumn("mark", F.greatest(floor, F.max(F.when(sound & (F.col("seq") >= F.col("first_seq")), ts)).over(before)))
     outcome = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(F.col("ahead"), "skewed").when(F.col("sealed"), "deactivated")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlake.functions.times import ntz
 from factlake.model import FOREVER
 
 KEY = ["certname", "path"]
@@ -36,10 +37,10 @@ def fact_history(pushes: DataFrame) -> DataFrame:
         F.first("fact_name").alias("fact_name"), F.first("value").alias("value"), F.first("value_type").alias("value_type"), F.first("value_hash").alias("value_hash"),
         F.min("ts").alias("valid_from"), last.alias("last"),
     )
-    gone = F.col("last.next_clean") < F.coalesce(F.col("last.next_seen"), F.lit(FOREVER))
+    gone = F.col("last.next_clean") < F.coalesce(F.col("last.next_seen"), ntz(FOREVER))
     end = F.when(gone, F.col("last.next_clean")).otherwise(F.col("last.next_seen"))
     return spans.select(
-        *KEY, "fact_name", "value", "value_type", "value_hash", "valid_from", F.coalesce(end, F.lit(FOREVER)).alias("valid_to"), end.isNull().alias("is_open"),
+        *KEY, "fact_name", "value", "value_type", "value_hash", "valid_from", F.coalesce(end, ntz(FOREVER)).alias("valid_to"), end.isNull().alias("is_open"),
         F.when(end.isNotNull(), F.when(gone, "tombstone").otherwise("change")).alias("ended_by"),
     )
 
@@ -62,7 +63,7 @@ def integrity(history: DataFrame) -> DataFrame:
     keys = rows.groupBy(*KEY).agg(
         F.greatest(n(F.col("is_open")) - 1, F.lit(0)).alias("extra_open"), n(F.col("valid_from") >= F.col("valid_to")).alias("empty"),
         n(F.col("next_from") == F.col("valid_from")).alias("same_start"), n(F.col("next_from") < F.col("valid_to")).alias("overlaps"),
-        n(F.octet_length("value_hash") != 32).alias("bad_hash"), n(F.col("is_open") != (F.col("valid_to") == F.lit(FOREVER))).alias("bad_flag"),
+        n(F.octet_length("value_hash") != 32).alias("bad_hash"), n(F.col("is_open") != (F.col("valid_to") == ntz(FOREVER))).alias("bad_flag"),
     )
     names = ["extra_open", "empty", "same_start", "overlaps", "bad_hash", "bad_flag"]
     return keys.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names])
@@ -78,6 +79,6 @@ def fold_changes(changes: DataFrame) -> DataFrame:
     marked = changes.select("*", F.lead(F.struct("ts", "change")).over(by).alias("next"))
     end = F.col("next.ts")
     return marked.filter("change = 'open'").select(
-        *KEY, "fact_name", "value", "value_type", "value_hash", F.col("ts").alias("valid_from"), F.coalesce(end, F.lit(FOREVER)).alias("valid_to"), end.isNull().alias("is_open"),
+        *KEY, "fact_name", "value", "value_type", "value_hash", F.col("ts").alias("valid_from"), F.coalesce(end, ntz(FOREVER)).alias("valid_to"), end.isNull().alias("is_open"),
         F.when(end.isNotNull(), F.when(F.col("next.change") == "close", "change").otherwise(F.col("next.change"))).alias("ended_by"),
     )

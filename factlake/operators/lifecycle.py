@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factlake.functions.state import NodeState
+from factlake.functions.times import ntz
 from factlake.model import CHANGES, Settings
 
 
 def expire_stale(nodes: DataFrame, as_of: dt.datetime, after: dt.timedelta = Settings().expire_after) -> DataFrame:
     """Marks nodes that were last seen before ``as_of - after``; closes nothing."""
-    due = (F.col("last_seen") < F.lit(as_of - after)) & F.col("expired").isNull() & F.col("deactivated").isNull()
-    return nodes.withColumn("expired", F.when(due, F.lit(as_of)).otherwise(F.col("expired")))
+    due = (F.col("last_seen") < ntz(as_of - after)) & F.col("expired").isNull() & F.col("deactivated").isNull()
+    return nodes.withColumn("expired", F.when(due, ntz(as_of)).otherwise(F.col("expired")))
 
 
 def deactivate(nodes: DataFrame, history: DataFrame, which: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:
@@ -26,7 +27,7 @@ def deactivate(nodes: DataFrame, history: DataFrame, which: DataFrame, as_of: dt
     """
     due = nodes.filter("deactivated IS NULL").join(which.select("certname").distinct(), "certname", "left_semi").select("certname")
     latest = history.filter("is_open").join(due, "certname", "left_semi").groupBy("certname").agg(F.max("valid_from").alias("latest"))
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = ntz(as_of)
     seal = F.greatest(now, F.coalesce("latest", now) + F.expr("INTERVAL '0.000001' SECOND"))
     seals = due.join(latest, "certname", "left").select("certname", seal.alias("seal"))
     sealed = nodes.join(seals, "certname", "left").withColumn("deactivated", F.coalesce("deactivated", "seal")).drop("seal")

@@ -7,12 +7,13 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlake.functions.times import ntz
 from factlake.model import Settings
 
 
 def high_churn(history: DataFrame, as_of: dt.datetime, window: dt.timedelta = dt.timedelta(hours=24), at_least: int = 5000, top: int | None = 20) -> DataFrame:
     """Paths with most intervals that opened after ``as_of - window``; ties go by path."""
-    counts = history.filter(F.col("valid_from") > F.lit(as_of - window)).groupBy("path").agg(F.count("*").alias("changes")).filter(F.col("changes") >= at_least).orderBy(F.desc("changes"), "path")
+    counts = history.filter(F.col("valid_from") > ntz(as_of - window)).groupBy("path").agg(F.count("*").alias("changes")).filter(F.col("changes") >= at_least).orderBy(F.desc("changes"), "path")
     return counts if top is None else counts.limit(top)
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.functions.times import ntz
 from factlake.model import NodeNotFound
 
 FACT = ["path", "fact_name", "value", "valid_from", "valid_to", "is_open"]
@@ -18,7 +19,7 @@ def current_facts(history: DataFrame) -> DataFrame:
 
 def facts_at(history: DataFrame, at: dt.datetime) -> DataFrame:
     """Half-open intervals that hold at ``at``; both bounds reach the scan."""
-    return history.filter((F.col("valid_from") <= F.lit(at)) & (F.col("valid_to") > F.lit(at)))
+    return history.filter((F.col("valid_from") <= ntz(at)) & (F.col("valid_to") > ntz(at)))
 
 
 def node_facts(history: DataFrame, certname: str, at: dt.datetime | None = None) -> DataFrame:
@@ -28,7 +29,7 @@ def node_facts(history: DataFrame, certname: str, at: dt.datetime | None = None)
 
 
 def _within(time: str, start: dt.datetime, end: dt.datetime) -> Column:
-    return (F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end))
+    return (F.col(time) >= ntz(start)) & (F.col(time) < ntz(end))
 
 
 def diff(history: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:

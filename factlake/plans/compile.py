@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -24,6 +25,12 @@ class Facts:
     volatile: DataFrame
     policy: Policy = field(default_factory=Policy)
 
+    def now(self) -> DataFrame:
+        return current_facts(self.history)
+
+    def at(self, at: dt.datetime) -> DataFrame:
+        return facts_at(self.history, at)
+
 
 def _check(query: Query, policy: Policy) -> None:
     paths = [t.path for t in query.terms] + ([query.group_field] if query.group_field else [])
@@ -54,7 +61,7 @@ def members(facts: Facts, query: Query) -> DataFrame:
     volatile = [t for t in query.terms if facts.policy.is_volatile(t.path)]
     found = None
     if durable:
-        source = current_facts(facts.history) if query.at is None else facts_at(facts.history, query.at)
+        source = facts.now() if query.at is None else facts.at(query.at)
         tests = [_durable(t) for t in durable]
         hits = source.filter(reduce(Column.__or__, tests))
         if len(tests) == 1:
@@ -79,7 +86,7 @@ def plan(facts: Facts, query: Query, include_inactive: bool = False) -> DataFram
         rows = facts.volatile.filter(F.map_contains_key("volatile_key", name)).join(nodes, "certname", "left_semi")
         groups = rows.groupBy(F.element_at("volatile_key", name).alias("key")).agg(F.min(F.element_at("volatile", name)).alias("value"), F.count("*").alias("count"))
     else:
-        source = current_facts(facts.history) if query.at is None else facts_at(facts.history, query.at)
+        source = facts.now() if query.at is None else facts.at(query.at)
         rows = source.filter(F.col("path") == query.group_field).join(nodes, "certname", "left_semi")
         groups = rows.groupBy("value_hash", "value").agg(F.count("*").alias("count"))
     first = F.substring("value", 1, 1)

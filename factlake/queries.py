@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions.classify import Policy
 from factlake.model import PLANNED, Settings
-from factlake.operators import ingest, intervals, lifecycle, monitor, reads
+from factlake.operators import carry, ingest, intervals, lifecycle, monitor, reads
 from factlake.plans.compile import Facts, run
 from factlake.sources.adapters import event_pushes, order_pushes, table
 from factlake.sources.pushes import decode_bodies, plan_pushes
@@ -276,16 +276,48 @@ def deactivate_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reset_events(pushes: DataFrame) -> DataFrame:
-    """A reset of each node, halfway through its pushes."""
-    halfway = F.floor((F.min("seq") + F.max("seq")) / 2).cast("long")
-    return pushes.groupBy("certname").agg(halfway.alias("seq"), F.max("received_at").alias("at")).select("certname", "seq", F.lit("reset").alias("kind"), "at")
+    """Of every third node a reset halfway through its pushes, of every fifth one at three quarters."""
+    number = F.substring("certname", F.lit(2), F.length("certname")).cast("long")
+    ends = pushes.groupBy("certname").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.max("received_at").alias("at"))
+    halfway, late = F.floor((F.col("a") + F.col("b")) / 2).cast("long"), F.floor((F.col("a") + 3 * F.col("b")) / 4).cast("long")
+    at = F.array_compact(F.array(F.when(number % 3 == 0, halfway), F.when(number % 5 == 0, late)))
+    return ends.select("certname", F.explode(at).alias("seq"), F.lit("reset").alias("kind"), "at")
+
+
+# One push or reset of each node a step: the state is its watermark, its two open facts with their
+# starts, and its latest end.
+_RESETS = (
+    "WITH RECURSIVE" + _PUSHES + """,
+ends AS (SELECT certname, CAST(substr(certname, 2) AS BIGINT) AS number, min(seq) AS a, max(seq) AS b FROM pushes GROUP BY certname),
+resets AS (SELECT certname, CAST(floor((a + b) / 2) AS BIGINT) AS seq FROM ends WHERE number % 3 = 0 UNION ALL SELECT certname, CAST(floor((a + 3 * b) / 4) AS BIGINT) FROM ends WHERE number % 5 = 0),
+log AS (SELECT *, row_number() OVER (PARTITION BY certname ORDER BY seq, kind) AS n FROM (
+  SELECT certname, seq, 'push' AS kind, producer_ts AS ts, received_at, clean, event_type, band FROM pushes UNION ALL SELECT certname, seq, 'reset', NULL, NULL, NULL, NULL, NULL FROM resets)),
+run AS (
+  SELECT certname, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS outcome, FALSE AS known, NULL::TIMESTAMP AS mark, NULL::TIMESTAMP AS closed,
+         NULL::VARCHAR AS t, NULL::TIMESTAMP AS t_from, NULL::VARCHAR AS b, NULL::TIMESTAMP AS b_from, NULL::VARCHAR AS old_t, NULL::VARCHAR AS old_b FROM ends
+  UNION ALL
+  SELECT certname, n, seq, ts, outcome, known OR outcome = 'applied', CASE WHEN outcome = 'applied' THEN ts WHEN outcome = 'reset' THEN NULL ELSE mark END,
+         CASE WHEN outcome = 'applied' AND (t <> event_type OR b <> band OR (band IS NULL AND clean AND b IS NOT NULL)) THEN ts ELSE closed END,
+         CASE WHEN outcome = 'applied' THEN event_type ELSE t END, CASE WHEN outcome = 'applied' AND t IS DISTINCT FROM event_type THEN ts ELSE t_from END,
+         CASE WHEN outcome <> 'applied' OR (band IS NULL AND NOT clean) THEN b ELSE band END,
+         CASE WHEN outcome <> 'applied' OR b IS NOT DISTINCT FROM band OR (band IS NULL AND NOT clean) THEN b_from WHEN band IS NULL THEN NULL ELSE ts END, t, b
+  FROM (SELECT run.certname, log.n, log.seq, log.ts, known, mark, closed, t, t_from, b, b_from, event_type, band, clean,
+               CASE WHEN kind = 'reset' THEN 'reset' WHEN log.ts > received_at + INTERVAL 5 MINUTE THEN 'skewed' WHEN log.ts <= mark THEN 'stale' WHEN NOT known AND log.ts < received_at - INTERVAL 5 MINUTE THEN 'skewed'
+                    WHEN log.ts <= greatest(t_from, b_from) OR log.ts < closed THEN 'stale' ELSE 'applied' END AS outcome
+        FROM run JOIN log ON log.certname = run.certname AND log.n = run.n + 1))
+SELECT certname, seq, ts, outcome AS change, NULL AS path, NULL AS value FROM run WHERE outcome IN ('skewed', 'stale')
+UNION ALL SELECT certname, seq, ts, 'close', 'event.type', NULL FROM run WHERE outcome = 'applied' AND old_t <> t
+UNION ALL SELECT certname, seq, ts, 'open', 'event.type', '"' || t || '"' FROM run WHERE outcome = 'applied' AND old_t IS DISTINCT FROM t
+UNION ALL SELECT certname, seq, ts, CASE WHEN b IS NULL THEN 'tombstone' ELSE 'close' END, 'event.band', NULL FROM run WHERE outcome = 'applied' AND old_b IS NOT NULL AND old_b IS DISTINCT FROM b
+UNION ALL SELECT certname, seq, ts, 'open', 'event.band', '"' || b || '"' FROM run WHERE outcome = 'applied' AND b IS NOT NULL AND old_b IS DISTINCT FROM b"""
+)
 
 
-@registered()
+@registered(_RESETS)
 def reset_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes and rejects of nodes whose watermark is reset, by the sequential path."""
+    """Changes and rejects where some nodes' watermarks are reset: windows over the segments between resets."""
     pushes = event_pushes(table(spark, sf_dir, "events"))
-    changes = lifecycle.sequential_changes(pushes, _reset_events(pushes))
+    changes = carry.segmented_changes(pushes, _reset_events(pushes))
     return changes.select("certname", "seq", "ts", "change", "path", "value")
 
 
