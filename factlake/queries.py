@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.functions.classify import Policy
-from factlake.model import PLANNED, Settings
-from factlake.operators import carry, ingest, intervals, lifecycle, monitor, reads
+from factlake.model import PLANNED, NodeNotFound, Settings
+from factlake.operators import carry, ingest, intervals, lifecycle, metrics, monitor, reads
 from factlake.plans.compile import Facts, run
 from factlake.sources.adapters import event_pushes, order_pushes, table
 from factlake.sources.pushes import decode_bodies, plan_pushes
+from factlake.sources.pushes import failing_sources as found_failing
 from factlake.sources.shared import fresh_path
+from factlake.sources.store import FactStore
 from factlake.streaming.apply import stream_changes, write_changes
 
 AT = dt.datetime(2024, 1, 15, 12)
@@ -132,6 +134,45 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(folded.withColumn("value_hash", F.lower(F.hex("value_hash"))), "ended_by", "value_hash")
 
 
+def _batched(spark: SparkSession, sf_dir: str) -> FactStore:
+    """The events taken by a store in three batches, by arrival."""
+    pushes = event_pushes(table(spark, sf_dir, "events"))
+    first, last = pushes.agg(F.min("seq"), F.max("seq")).first()
+    store = FactStore(spark, fresh_path(spark, "store"), buckets=16)
+    for k in range(3):
+        store.apply(pushes.filter(F.col("seq").between(first + (last - first + 1) * k // 3, first + (last - first + 1) * (k + 1) // 3 - 1)), f"part-{k}")
+    return store
+
+
+@registered(_HISTORY_SQL)
+def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same history from a store that took the pushes in batches."""
+    return _shown(_batched(spark, sf_dir).open().history.withColumn("value_hash", F.lower(F.hex("value_hash"))), "ended_by", "value_hash")
+
+
+@registered(_FACTS + f" SELECT {_COLUMNS} FROM history WHERE valid_from <= TIMESTAMP '{AT}' AND (is_open OR valid_to > TIMESTAMP '{AT}')")
+def store_facts_at_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The past from a store, of whose closed files only those are opened whose span holds the time."""
+    return _shown(_batched(spark, sf_dir).open().at(AT))
+
+
+@registered(
+    _ALL + """, runs AS (SELECT certname, producer_ts, clean, max(CASE WHEN clean THEN producer_ts END) OVER (PARTITION BY certname) AS last_clean FROM applied),
+streaks AS (SELECT certname, count(*) FILTER (WHERE last_clean IS NULL OR producer_ts > last_clean) AS streak FROM runs GROUP BY certname)
+SELECT certname, first_seen, last_seen, last_producer_ts, streak, k, observed_at FROM nodes JOIN streaks USING (certname) JOIN volatile USING (certname)"""
+)
+def store_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, their dirty streaks and volatile values after three batches."""
+    found = _batched(spark, sf_dir).open()
+    volatile = found.volatile.select("certname", F.element_at("volatile", "props.k").alias("k"), "observed_at")
+    return found.nodes.select("certname", "first_seen", "last_seen", "last_producer_ts", "streak").join(volatile, "certname")
+
+
+@registered(_FACTS + " SELECT DISTINCT path, fact_name FROM history")
+def store_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batched(spark, sf_dir).paths()
+
+
 @registered(_FACTS + f" SELECT {_COLUMNS} FROM history WHERE is_open")
 def current_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(reads.current_facts(_history(spark, sf_dir)))
@@ -180,6 +221,122 @@ def apply_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.apply_stats(pushes, intervals.fact_history(pushes))
 
 
+def _views(spark: SparkSession, sf_dir: str) -> None:
+    """Saved first, so that a view's plan is a scan."""
+    found = facts(spark, sf_dir)
+    store = FactStore(spark, fresh_path(spark, "views"), buckets=16)
+    store.save(found.history, found.nodes, found.volatile)
+    reads.register_views(store.open().history, store.open().nodes, store.open().volatile)
+
+
+@registered(_FACTS + f" SELECT {_COLUMNS} FROM history WHERE valid_from <= TIMESTAMP '{AT}' AND (is_open OR valid_to > TIMESTAMP '{AT}')")
+def sql_facts_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function, in SQL."""
+    _views(spark, sf_dir)
+    return _shown(spark.sql(f"SELECT * FROM facts_at(TIMESTAMP_NTZ '{AT}')"))
+
+
+@registered(_FACTS + f" SELECT {_COLUMNS} FROM history WHERE certname = '{NODE}' AND valid_from <= TIMESTAMP '{AT}' AND (is_open OR valid_to > TIMESTAMP '{AT}')")
+def sql_node_state_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir)
+    return _shown(spark.sql(f"SELECT * FROM node_state_at('{NODE}', TIMESTAMP_NTZ '{AT}')"))
+
+
+@registered(_FACTS + _DIFF + f" AND certname = '{NODE}'")
+def sql_node_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir)
+    return _shown(spark.sql(f"SELECT * FROM node_diff('{NODE}', TIMESTAMP_NTZ '{START}', TIMESTAMP_NTZ '{END}')"), "opened_in_window", "closed_in_window")
+
+
+@registered(
+    _ALL + f""", shown AS (SELECT certname FROM nodes WHERE expired IS NULL AND certname = '{NODE}')
+SELECT 'fact' AS kind, path, value FROM history JOIN shown USING (certname) WHERE is_open
+UNION ALL SELECT 'volatile', 'props.k', k FROM volatile JOIN shown USING (certname)"""
+)
+def state_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a node's state is answered with now: its facts and its volatile values."""
+    found = facts(spark, sf_dir)
+    held, volatile = reads.state_response(found.history, found.nodes, found.volatile, NODE)
+    return held.select(F.lit("fact").alias("kind"), "path", "value").unionAll(volatile.select(F.lit("volatile"), F.explode("volatile")))
+
+
+@registered(_ALL + f", hidden AS (SELECT min(certname) AS certname FROM nodes WHERE expired IS NOT NULL) " + _DIFF.replace("FROM history", "FROM history JOIN hidden USING (certname)"))
+def diff_response_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed on a node that has gone silent, which is shown only if inactive nodes are asked for."""
+    found = facts(spark, sf_dir)
+    name = found.nodes.filter("expired IS NOT NULL").agg(F.min("certname")).first()[0]
+    try:
+        reads.diff_response(found.history, found.nodes, name, START, END)
+        raise AssertionError(f"{name} isn't hidden")
+    except NodeNotFound:
+        answer = reads.diff_response(found.history, found.nodes, name, START, END, include_inactive=True)
+    return _shown(answer.withColumn("certname", F.lit(name)), "opened_in_window", "closed_in_window")
+
+
+@registered(_FACTS + """ SELECT '{"certname":' || to_json(certname) || ',"path":' || to_json(path) || ',"value":' || value || ',"is_open":' || CASE WHEN is_open THEN 'true' ELSE 'false' END || '}' AS body FROM history""")
+def facts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.as_json(_history(spark, sf_dir).select("certname", "path", "value", "is_open"))
+
+
+@registered(
+    _PUSHES.join(["WITH", ""]) + """, orders AS (SELECT certname, CAST(floor((min(seq) + max(seq)) / 2) AS BIGINT) AS order_seq FROM pushes WHERE CAST(substr(certname, 2) AS BIGINT) % 4 = 0 GROUP BY certname),
+ahead AS (SELECT *, producer_ts > received_at + INTERVAL 5 MINUTE AS fut FROM pushes LEFT JOIN orders USING (certname)),
+firsts AS (SELECT *, min(CASE WHEN NOT fut AND producer_ts >= received_at - INTERVAL 5 MINUTE THEN seq END) OVER (PARTITION BY certname) AS first_seq FROM ahead),
+seals AS (SELECT *, coalesce(order_seq >= first_seq AND seq > order_seq, FALSE) AS shut FROM firsts),
+marks AS (SELECT *, max(CASE WHEN NOT fut AND NOT shut AND seq >= first_seq THEN producer_ts END) OVER (PARTITION BY certname ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM seals)
+SELECT certname, seq, CASE WHEN fut THEN 'skewed' WHEN shut THEN 'deactivated' WHEN first_seq IS NULL OR seq < first_seq THEN 'skewed' WHEN producer_ts <= mark THEN 'stale' ELSE 'applied' END AS outcome FROM marks"""
+)
+def sealed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pushes of a fleet of which every fourth node is deactivated halfway."""
+    pushes = event_pushes(table(spark, sf_dir, "events"))
+    some = pushes.filter(F.substring("certname", F.lit(2), F.length("certname")).cast("long") % 4 == 0)
+    orders = some.groupBy("certname").agg(F.floor((F.min("seq") + F.max("seq")) / 2).cast("long").alias("seq"))
+    return ingest.push_outcomes(pushes, deactivations=orders).select("certname", "seq", "outcome")
+
+
+@registered(
+    """SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'disk,net' WHEN 'click' THEN 'disk' WHEN 'view' THEN 'x.sh' ELSE '' END AS failing,
+       event_type NOT IN ('error', 'click', 'view') AS clean FROM events"""
+)
+def failing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sources failed, and whether a pass was clean, by the events' types."""
+    status = lambda *types: F.when(F.col("event_type").isin(*types), "error").otherwise("ok")
+    rows = table(spark, sf_dir, "events").select(
+        F.lit("n").alias("certname"), F.col("event_id").alias("seq"), F.col("ts").alias("received_at"), F.col("ts").alias("producer_ts"), F.lit('{"k":1}').alias("tree"),
+        F.create_map(F.lit("net"), status("error"), F.lit("disk"), status("error", "click"), F.lit("os"), F.lit("ok")).alias("builtin"),
+        F.create_map(F.lit("x.sh"), status("view"), F.lit("y.sh"), F.lit("absent")).alias("external"),
+    )
+    named = rows.select("seq", F.array_join(found_failing(), ",").alias("failing"))
+    return named.join(plan_pushes(rows).select("seq", "clean"), "seq")
+
+
+@registered(
+    _BASE + """, runs AS (SELECT certname, producer_ts, clean, max(CASE WHEN clean THEN producer_ts END) OVER (PARTITION BY certname) AS last_clean FROM applied)
+SELECT certname, count(*) AS streak FROM runs WHERE last_clean IS NULL OR producer_ts > last_clean GROUP BY certname HAVING count(*) >= 1"""
+)
+def dirty_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.dirty_nodes(_applied(spark, sf_dir), threshold=1)
+
+
+_LAG = "epoch(received_at - producer_ts)"
+
+
+@registered(
+    _BASE + f""", lags AS (SELECT {_LAG} AS lag FROM applied), bounds AS (SELECT unnest([{', '.join(map(str, metrics.LAG_SECONDS))}]) AS b),
+runs AS (SELECT certname, producer_ts, max(CASE WHEN clean THEN producer_ts END) OVER (PARTITION BY certname) AS last_clean FROM applied),
+dirty AS (SELECT certname FROM runs WHERE last_clean IS NULL OR producer_ts > last_clean GROUP BY certname HAVING count(*) >= 2)
+SELECT 'pushes_total' AS metric, CASE outcome WHEN 'applied' THEN 'applied' ELSE 'rejected' END AS label, CAST(count(*) AS DOUBLE) AS value FROM outcomes GROUP BY 2
+UNION ALL SELECT 'rejects_total', outcome, count(*) FROM outcomes WHERE outcome <> 'applied' GROUP BY 2
+UNION ALL SELECT 'lag_seconds_bucket', CAST(b AS VARCHAR), count(*) FILTER (WHERE lag <= b) FROM lags, bounds GROUP BY b
+UNION ALL SELECT 'lag_seconds_bucket', '+Inf', count(*) FROM lags
+UNION ALL SELECT 'lag_seconds_sum', '', sum(lag) FROM lags
+UNION ALL SELECT 'dirty_streak_nodes', '', count(*) FROM dirty"""
+)
+def ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four of the service's five collectors; the fifth, the time that batches take, is a stream's (``metrics.ApplyTimes``)."""
+    return metrics.push_metrics(_outcomes(spark, sf_dir), Settings(dirty_streak=2))
+
+
 @registered(_FACTS + " SELECT DISTINCT path, fact_name FROM history")
 def fact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.fact_paths(_history(spark, sf_dir))

@@ -35,6 +35,9 @@ PATHS = "path string, fact_name string"
 #: is a bucket, or a level and slot of closed intervals.
 ENTRY = "number long, kind string, part string, path string, level int, slot long, layout int, whole boolean"
 
+#: Spans have 2 ** 11 minutes or more, a day and a half, so that a batch closes intervals of few spans.
+LEAST_LEVEL = 11
+
 #: The tables whose buckets a commit replaces.
 REPLACED = {"open": HISTORY, "nodes": NODES, "volatile": VOLATILE}
 
@@ -51,9 +54,9 @@ def _minute(time: str) -> Column:
 
 
 def spanned(closed: DataFrame) -> DataFrame:
-    """``closed`` with ``level`` and ``slot``: the least level whose spans, of ``2 ** level`` minutes, are no
-    shorter than the interval, and the number of the span in which it began."""
-    level = F.length(F.bin(_minute("valid_to") - _minute("valid_from")))
+    """``closed`` with ``level`` and ``slot``: the least level, ``LEAST_LEVEL`` or more, whose spans of
+    ``2 ** level`` minutes are no shorter than the interval, and the number of the span in which it began."""
+    level = F.greatest(F.length(F.bin(_minute("valid_to") - _minute("valid_from"))), F.lit(LEAST_LEVEL))
     return closed.withColumn("level", level).withColumn("minute", _minute("valid_from")).withColumn("slot", F.expr("shiftright(minute, level)")).drop("minute")
 
 
