@@ -29,10 +29,11 @@ class NodeState:
             return "stale"
         if not self.known and ts < received - skew:
             return "skewed"
-        if self.open and ts <= max(start for _, start in self.open.values()):
-            return "stale"
-        if self.last_closed is not None and ts < self.last_closed:
-            return "stale"
+        if self.watermark is None:  # else it is past every start and end
+            if self.open and ts <= max(start for _, start in self.open.values()):
+                return "stale"
+            if self.last_closed is not None and ts < self.last_closed:
+                return "stale"
         return "applied"
 
     def apply(self, ts: dt.datetime, leaves: list[dict], clean: bool) -> list[tuple[str, dict]]:

@@ -18,6 +18,7 @@ from factlake.sources.pushes import failing_sources as found_failing
 from factlake.sources.shared import fresh_path
 from factlake.sources.store import FactStore
 from factlake.streaming.apply import stream_changes, write_changes
+from factlake.streaming.nodes import read_tables, stream_nodes, write_tables
 
 AT = dt.datetime(2024, 1, 15, 12)
 START, END = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 12)
@@ -134,6 +135,33 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(folded.withColumn("value_hash", F.lower(F.hex("value_hash"))), "ended_by", "value_hash")
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """(history, nodes, volatile, rejects) of a stream over the events with state by path."""
+    at = fresh_path(spark, "stream-by-path")
+    event_pushes(table(spark, sf_dir, "events")).write.parquet(f"{at}/in")
+    write_tables(stream_nodes(spark.readStream.schema(PLANNED).parquet(f"{at}/in")), f"{at}/out", f"{at}/state").awaitTermination()
+    return read_tables(spark, f"{at}/out")
+
+
+@registered(_HISTORY_SQL)
+def stream_history_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same history by a stream whose state has an entry for each open fact."""
+    return _shown(_streamed(spark, sf_dir)[0].withColumn("value_hash", F.lower(F.hex("value_hash"))), "ended_by", "value_hash")
+
+
+_STREAKS = """, runs AS (SELECT certname, producer_ts, clean, max(CASE WHEN clean THEN producer_ts END) OVER (PARTITION BY certname) AS last_clean FROM applied),
+streaks AS (SELECT certname, count(*) FILTER (WHERE last_clean IS NULL OR producer_ts > last_clean) AS streak FROM runs GROUP BY certname)
+SELECT certname, first_seen, last_seen, last_producer_ts, streak, k, observed_at FROM nodes JOIN streaks USING (certname) JOIN volatile USING (certname)"""
+
+
+@registered(_ALL + _STREAKS)
+def stream_node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, dirty streaks and volatile values as the stream leaves them."""
+    _, nodes, volatile, _ = _streamed(spark, sf_dir)
+    latest = volatile.select("certname", F.element_at("volatile", "props.k").alias("k"), "observed_at")
+    return nodes.select("certname", "first_seen", "last_seen", "last_producer_ts", "streak").join(latest, "certname")
+
+
 def _batched(spark: SparkSession, sf_dir: str) -> FactStore:
     """The events taken by a store in three batches, by arrival."""
     pushes = event_pushes(table(spark, sf_dir, "events"))
@@ -156,11 +184,7 @@ def store_facts_at_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_batched(spark, sf_dir).open().at(AT))
 
 
-@registered(
-    _ALL + """, runs AS (SELECT certname, producer_ts, clean, max(CASE WHEN clean THEN producer_ts END) OVER (PARTITION BY certname) AS last_clean FROM applied),
-streaks AS (SELECT certname, count(*) FILTER (WHERE last_clean IS NULL OR producer_ts > last_clean) AS streak FROM runs GROUP BY certname)
-SELECT certname, first_seen, last_seen, last_producer_ts, streak, k, observed_at FROM nodes JOIN streaks USING (certname) JOIN volatile USING (certname)"""
-)
+@registered(_ALL + _STREAKS)
 def store_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, their dirty streaks and volatile values after three batches."""
     found = _batched(spark, sf_dir).open()
