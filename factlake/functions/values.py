@@ -28,7 +28,7 @@ def _refuse(word: str):
 
 
 _DECODER = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=_refuse)
-_SPACE = re.compile(r"[ \t\n\r]*")
+_SPACE, _BLANK = re.compile(r"[ \t\n\r]*"), frozenset(" \t\n\r")
 _WORD = re.compile(r"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|true|false|null")
 _WORDS = {"true": True, "false": False, "null": None}
 _ESCAPE = re.compile(r"\\(?:u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|(u[dD][89a-fA-F][0-9a-fA-F]{2})|.)", re.DOTALL)
@@ -45,12 +45,16 @@ def _scan(text: str, at: int) -> tuple[Any, int]:
     """``raw_decode`` with a stack of its own: (value, end)."""
     stack: list[tuple[Any, Any]] = []  # containers, with the key under which the next value goes
     while True:
-        at = _SPACE.match(text, at).end()
         c = text[at : at + 1]
-        if c in ("{", "["):
+        if c in _BLANK:
+            at = _SPACE.match(text, at).end()
+            c = text[at : at + 1]
+        if c == "[" or c == "{":
             if len(stack) >= MAX_DEPTH:
                 raise ValueError("nested too deeply")
-            box, at = ({} if c == "{" else []), _SPACE.match(text, at + 1).end()
+            box, at = ({} if c == "{" else []), at + 1
+            if text[at : at + 1] in _BLANK:
+                at = _SPACE.match(text, at).end()
             if text[at : at + 1] != ("}" if c == "{" else "]"):
                 key, at = _key(text, at) if c == "{" else (None, at)
                 stack.append((box, key))
@@ -69,7 +73,8 @@ def _scan(text: str, at: int) -> tuple[Any, int]:
                 box.append(value)
             else:
                 box[key] = value
-            at = _SPACE.match(text, at).end()
+            if text[at : at + 1] in _BLANK:
+                at = _SPACE.match(text, at).end()
             c, at = text[at : at + 1], at + 1
             if c == ",":
                 key, at = _key(text, at) if key is not None else (None, at)
