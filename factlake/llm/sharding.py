@@ -26,15 +26,18 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float, key: str = "key",
     Each round counts the exact bytes below ``2**PROBE_BITS`` even probes over the whole range,
     then between those probes only where a splitter's interval still holds more than the
     tolerated bytes. What comes back is at most shards * 2**PROBE_BITS sums, whatever the input.
+    A group of copies is gone into only where it has more bytes than the largest row: others
+    are no less even than rows are, and the splitter takes the nearer of their edges.
     """
-    total = keyed.agg(F.sum(size)).first()[0] or 0
+    total, largest = (x or 0 for x in keyed.agg(F.sum(size), F.max(size)).first())
     allowed = max(1.0, tolerance * total / shards)
+    edge = 62 - GROUP_BITS
     open_ = {i: (0, 62, 0) for i in range(1, shards)}  # low end and bits of its interval, bytes below it
     found: dict[int, int] = {}
     while open_:
         by_bits: dict[int, tuple[int, list[int]]] = {}
         for low, bits in {(low, bits) for low, bits, _ in open_.values()}:
-            by_bits.setdefault(bits, (max(0, bits - PROBE_BITS), []))[1].append(low)
+            by_bits.setdefault(bits, (max(edge if bits > edge else 0, bits - PROBE_BITS), []))[1].append(low)
         counts: dict[tuple[int, int], int] = {}
         for bits, (step, lows) in by_bits.items():
             wanted = keyed if bits == 62 else keyed.filter(F.shiftright(key, bits).isin([low >> bits for low in lows]))
@@ -47,7 +50,7 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float, key: str = "key",
                 bytes_ = counts[step, probe]
                 if before + bytes_ >= goal:
                     near_low, near_high = goal - before, before + bytes_ - goal
-                    if min(near_low, near_high) <= allowed or step == 0:
+                    if min(near_low, near_high) <= allowed or step == edge and bytes_ <= largest or step == 0:
                         found[i] = (probe if near_low <= near_high else probe + 1) << step
                         del open_[i]
                     else:
@@ -66,7 +69,7 @@ def histogram_shards(docs: DataFrame, shards: int = 40, tolerance: float = 0.002
 
     Law: bytes. A shard's bytes are within ``tolerance`` of even, or within one row where a row
     is larger. Copies of a text stand together, and a splitter passes between copies only where
-    the law needs it. A null text has no bytes. Rows that repeat id and text share a key and so
+    they have more bytes than the largest row together and an edge of theirs would miss the law. A null text has no bytes. Rows that repeat id and text share a key and so
     a shard; null ids are ids like others. Columns named like a result are replaced. An empty
     table gives an empty one.
     """
