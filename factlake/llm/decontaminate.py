@@ -64,19 +64,18 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, te
     documents hold, in their own words or with other numbers, names and units.
 
     Windows of ``window`` template words meet by hash and are then compared word by word. They
-    count where the slots of a passage (windows at one offset) agree: each value of the item
-    stands for one value in the document, and no two values for the same one. Windows of the
-    benchmark that are more than half slots say too little and aren't looked up; items shorter
-    than a window can't be found.
-
-    ``whole``, as the registered query and the pipeline have it, lets each window count whose
-    own slots agree (each value of the item stands for one value; two may meet in one), whatever
-    the others of its passage do. Literal windows in lower case are looked up as well, whatever
-    share of them is slots, and items shorter than a window as one literal window of their
-    length. So are templates in which every capitalised word is a name, at the start of a
-    sentence or after any white space too. n_windows, n_slots and n_changed are the most of any
-    of these; n_slots and n_changed are then those of the longest runs of windows that agree
-    with each other.
+    count where the slots of a passage (all windows at one offset) agree: each value of the item
+    stands for one value in the document, and no two values for the same one. What a passage
+    covers must hold words outside slots for half a window; a window that has fewer is looked up
+    like others and counts with its passage, one of slots alone says nothing and isn't. Items
+    shorter than a window can't be found.
+
+    ``whole``, as the registered query and the pipeline have it, finds more: literal windows in
+    lower case too, whatever share of them is slots, and items shorter than a window as one
+    literal window of their length. So are templates in which every capitalised word is a name,
+    at the start of a sentence or after any white space too. Each of these ways judges its own
+    passages by the same rule (literal ones have no slots). n_windows, n_slots and n_changed are
+    the most of any of these.
 
     ``row`` is ``row_key(id, text)``. Null texts and items match nothing; null ids are
     ids like others; repeated rows are one row here, repeated items count once; empty tables
@@ -90,7 +89,7 @@ def template_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, te
         short = sorted(r.n for r in sizes.filter(F.col("n") < window).distinct().collect())
         ways += [(plain, window, None), (lambda text: marked(text, everywhere=True), window, None)] + [(plain, n, n) for n in short]
     items, sought = sought_windows(asked, ways)
-    every = _matches(candidates(keyed, sought), items, sought, ways, whole)
+    every = _matches(candidates(keyed, sought), items, sought, ways)
     first = lambda c: F.min_by(c, "way").alias(c)
     return every.groupBy("row", "item").agg(*[F.max(c).alias(c) for c in ("n_windows", "n_slots", "n_changed")], first("first_word"), first("last_word"))
 
@@ -117,7 +116,7 @@ def sought_windows(asked: DataFrame, ways: list[tuple]) -> tuple[DataFrame, Data
     tokens = F.slice("item_template", F.col("item_at") + 1, F.col("span"))
     literal = F.filter(tokens, lambda w: ~w.isin(NUMBER, NAME, UNIT))
     text = F.array_join(literal, " ")
-    sought = sought.filter((F.size(tokens) - F.size(literal)) * 2 <= F.col("span")).withColumn("runs", runs(text, "words")).withColumn("digits", runs(text, "digits"))
+    sought = sought.filter(F.size(literal) > 0).withColumn("runs", runs(text, "words")).withColumn("digits", runs(text, "digits"))
     wordless = F.size("runs") == 0
     sought = sought.withColumn("kind", F.when(wordless, "digits").otherwise("words")).withColumn("runs", F.when(wordless, F.col("digits")).otherwise(F.col("runs")))
     longest = F.reverse(F.array_sort(F.transform(F.array_distinct("runs"), lambda w: F.struct(F.length(w).alias("n"), w.alias("run")))))
@@ -152,7 +151,7 @@ def candidates(keyed: DataFrame, sought: DataFrame) -> DataFrame:
     return stored(maybe_in(texts, "row", some.distinct()).dropDuplicates(["row"]), "candidates")
 
 
-def _matches(keyed: DataFrame, items: DataFrame, sought: DataFrame, ways: list[tuple], whole: bool) -> DataFrame:
+def _matches(keyed: DataFrame, items: DataFrame, sought: DataFrame, ways: list[tuple]) -> DataFrame:
     """``template_matches`` by each way."""
     sought = sought.select("way", "hash", "item_row", "item_at")
     small = sought.count() <= BROADCAST_WINDOWS
@@ -180,24 +179,11 @@ def _matches(keyed: DataFrame, items: DataFrame, sought: DataFrame, ways: list[t
     last = F.max(F.array_max("places.at") + F.col("span") - 1).cast("long").alias("last_word")
     value = lambda c, at: F.lower(F.element_at(c, at))
     slot = lambda p: F.filter(F.transform(steps, lambda k: F.struct(value("item_words", p.item_at + k).alias("mine"), value(p.words, k).alias("theirs"))), lambda s: F.substring(s.mine, 1, 1).isin(NUMBER, NAME, UNIT))
-    if whole:
-        agree = lambda s: F.size(s) == F.size(F.array_distinct(F.transform(s, lambda v: v.mine)))
-        each = F.filter(F.transform("places", lambda p: F.struct(p.alias("place"), F.array_distinct(slot(p)).alias("slots"))), lambda w: agree(w.slots))
-        both = both.withColumn("windows", each).filter(F.size("windows") > 0)
-        none = F.struct(F.array().cast("array<struct<mine:string,theirs:string>>").alias("run"), F.lit(0).alias("n"), F.lit(0).alias("changed"))
-
-        def grown(state, w):
-            run = F.when(agree(F.array_union(state.run, w.slots)), F.array_union(state.run, w.slots)).otherwise(w.slots)
-            return F.struct(run.alias("run"), F.greatest(state.n, F.size(run)).alias("n"), F.greatest(state.changed, F.size(F.filter(run, lambda s: s.mine != s.theirs))).alias("changed"))
-
-        both = both.withColumn("runs", F.aggregate("windows", none, grown))
-        return both.groupBy("row", "item", "way").agg(
-            F.sum(F.size("windows")).cast("long").alias("n_windows"), F.max("runs.n").cast("long").alias("n_slots"), F.max("runs.changed").cast("long").alias("n_changed"),
-            F.min(F.array_min("windows.place.at")).cast("long").alias("first_word"), F.max(F.array_max("windows.place.at") + F.col("span") - 1).cast("long").alias("last_word"),
-        )
     both = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("places", slot))))
     n, mine, theirs = F.size("slots"), F.size(F.array_distinct("slots.mine")), F.size(F.array_distinct("slots.theirs"))
-    return both.filter((n == mine) & (n == theirs)).groupBy("row", "item", "way").agg(
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(steps, lambda k: p.item_at + k))))
+    literal = F.filter(covered, lambda at: ~F.element_at("item_template", at).isin(NUMBER, NAME, UNIT))
+    return both.filter((n == mine) & (n == theirs) & (F.size(literal) * 2 >= F.col("span"))).groupBy("row", "item", "way").agg(
         F.sum(F.size("places")).cast("long").alias("n_windows"), F.max(n).cast("long").alias("n_slots"),
         F.max(F.size(F.filter("slots", lambda s: s.mine != s.theirs))).cast("long").alias("n_changed"),
         F.min(F.array_min("places.at")).cast("long").alias("first_word"), last,

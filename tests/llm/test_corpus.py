@@ -298,6 +298,56 @@ def test_windows_count_by_themselves(spark):
     assert leaks(spark, [item], ["so " + item.replace("then Tom", "then Joe"), "so " + item.replace("12", "9").replace("5", "9"), item.replace("apples", "pears").replace("them", "it")]) == {0: [0], 1: [0]}
 
 
+def test_slots_agree_over_a_passage(spark):
+    ask = "{} has {} apples and {} pears and gives {} apples to {} who eats them all before noon so how many pears does {} have now"
+    item = "today " + ask.format("Tom", 12, 5, 3, "Mary", "Tom")
+    told = [("Ann", 8, 6, 2, "Sue", "Ann"), ("Tom", 7, 7, 7, "Tom", "Sue"), ("Ann", 8, 6, 2, "Sue", "Joe"), ("Tom", 12, 5, 3, "Mary", "Sue"), ("Ann", 8, 8, 2, "Sue", "Ann")]
+    texts = ["so " + ask.format(*x) for x in told]
+    assert leaks(spark, [item], texts) == {0: [0], 3: [0]}  # the fourth contradicts itself, but has windows in the item's own words
+
+
+def test_passages_of_numbers(spark):
+    item = "given 3 4 5 6 find 7 8 9 10 between 11 12 13 14 under 15 16 17 18 beyond 19 20 21 22 around 23 24 25 26 minus 27 28 29 30"
+    moved = re.sub(r"\d+", lambda m: str(int(m[0]) + 40), item)
+    texts = [moved, moved.replace("50", "43"), moved.replace("between", "among"), "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17", " ".join(moved.split()[:14])]
+    assert leaks(spark, [item], texts) == {0: [0]}
+
+
+def test_templates_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdeg"), 5))
+    say = lambda n, share: [str(rng.integers(1, 60)) if rng.random() < share else word() for _ in range(n)]
+    items = [say(int(rng.integers(8, 40)), rng.choice([0, 0.2, 0.5, 0.7])) for _ in range(30)]
+    docs = []
+    for i in range(240):
+        told, kind = list(items[i % 30]), rng.integers(0, 4)
+        numbers = {t: str(int(t) + 100 if kind < 3 else rng.integers(1, 9)) for t in told if t.isdigit()}
+        told = [numbers.get(t, t) if kind else t for t in told]
+        if kind == 2 and rng.random() < 0.7:
+            told[int(rng.integers(0, len(told)))] = str(rng.choice(told))
+        docs.append(say(int(rng.integers(0, 20)), 0.3) + told + say(int(rng.integers(0, 20)), 0.3))
+
+    def leaked(doc, item):
+        n = min(13, len(item))
+        if any(doc[i : i + n] == item[j : j + n] for i in range(len(doc) - n + 1) for j in range(len(item) - n + 1)):
+            return True
+        shape = lambda x: ["#" if t.isdigit() else t for t in x]
+        d, t = shape(doc), shape(item)
+        for offset in range(-len(item), len(doc)):
+            starts = [j for j in range(len(item) - 12) if 0 <= j + offset <= len(doc) - 13 and d[j + offset : j + offset + 13] == t[j : j + 13] and set(t[j : j + 13]) != {"#"}]
+            at = {j + k for j in starts for k in range(13)}
+            slots = {(item[j], doc[j + offset]) for j in at if t[j] == "#"}
+            if len(slots) == len({a for a, _ in slots}) == len({b for _, b in slots}) and sum(t[j] != "#" for j in at) * 2 >= 13:
+                return True
+        return False
+
+    expected = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if leaked(doc, item)}
+    verbatim = {(d, d % 30) for d, doc in enumerate(docs) if " ".join(items[d % 30]) in " ".join(doc)}
+    found = leaks(spark, [" ".join(x) for x in items], [" ".join(x) for x in docs])
+    assert {(d, i) for d, ids in found.items() for i in ids} == expected
+    assert 20 < len(expected - verbatim) and len(expected) < 220
+
+
 def test_windows_across_blocks(spark):
     item = [f"item{chr(97 + i)}word" for i in range(15)]
     rest = lambda n: [f"other{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)]
@@ -533,6 +583,19 @@ def test_shards_are_even(spark):
     assert all(r.size == len(r.text) + 16 for r in found)
 
 
+def test_copies_stay_in_a_shard(spark):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abc"), int(rng.integers(1, 300)))) for _ in range(700)]
+    rows = [(3 * i + k, t) for i, t in enumerate(texts) for k in range(1 + i % 3)] + [(9000, "long " * 700)] + [(10_000 + i, "hot copy of a text") for i in range(900)]
+    found = sharding.histogram_shards(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
+    sizes = check_shards(found, 40, len(rows))
+    of = collections.defaultdict(set)
+    for r in found:
+        of[r.text].add(r.shard)
+    assert {t for t, shards in of.items() if len(shards) > 1} <= {"hot copy of a text"}
+    assert max(abs(x - sum(sizes.values()) / 40) for x in sizes.values()) <= 3516 and len(of["hot copy of a text"]) > 1
+
+
 def test_odd_shards(docs, none):
     found = sharding.histogram_shards(docs, 3).collect()
     check_shards(found, 3, docs.count())
