@@ -13,6 +13,9 @@ LEAF = "struct<path: string, fact_name: string, value: string, value_type: strin
 #: A push as it arrives. Identity comes with the transport, never from the body.
 PUSH = "certname string, seq bigint, received_at timestamp_ntz, producer_ts timestamp_ntz, tree string, builtin map<string, string>, external map<string, string>"
 
+#: A push before its body is read.
+REQUEST = "certname string, seq bigint, received_at timestamp_ntz, body string"
+
 #: A push once planned: ``reason`` is set for what is rejected on its own evidence.
 PLANNED = f"certname string, seq bigint, received_at timestamp_ntz, producer_ts timestamp_ntz, reason string, status int, clean boolean, durable array<{LEAF}>, volatile map<string, string>, volatile_key map<string, string>"
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions.classify import Policy
 from factlake.model import PLANNED, NodeNotFound, Settings
-from factlake.operators import carry, ingest, intervals, lifecycle, metrics, monitor, reads
+from factlake.operators import admission, carry, ingest, intervals, lifecycle, metrics, monitor, reads
 from factlake.plans.compile import Facts, run
 from factlake.sources.adapters import event_pushes, order_pushes, table
 from factlake.sources.pushes import decode_bodies, plan_pushes
@@ -623,6 +623,27 @@ def push_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A bucket of four tokens a day for each node, one push a step; 345.6 thousand million units fill it.
+_BUCKETS = (
+    f"""WITH RECURSIVE pushes AS (SELECT 'u' || user_id AS certname, event_id AS seq, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id % {len(_BODIES)} <> 1),
+run AS (SELECT certname, seq, n, t, CAST(345600000000 - 86400000000 AS BIGINT) AS level, TRUE AS admitted FROM pushes WHERE n = 1
+  UNION ALL
+  SELECT certname, seq, n, t, CAST(CASE WHEN filled >= 86400000000 THEN filled - 86400000000 ELSE filled END AS BIGINT), filled >= 86400000000
+  FROM (SELECT p.certname, p.seq, p.n, p.t, least(345600000000, level + 4 * least(p.t - run.t, 86400000000)) AS filled FROM run JOIN pushes p ON p.certname = run.certname AND p.n = run.n + 1))
+SELECT seq, certname, CASE WHEN admitted THEN 'read' ELSE 'rate-limited' END AS admission, CAST(CASE WHEN NOT admitted THEN 429 END AS INTEGER) AS status FROM run
+UNION ALL SELECT event_id, '', 'no-client-cert', 403 FROM events WHERE event_id % {len(_BODIES)} = 1"""
+)
+
+
+@registered(_BUCKETS)
+def admitted_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pushes are read where a node has four a day, and how the others are answered."""
+    raw = admission.admit(push_bodies(table(spark, sf_dir, "events")), Settings(pushes_per_minute=4), dt.timedelta(days=1))
+    unread = F.col("reason").isin(*ingest.UNREAD)
+    read = decode_bodies(raw)
+    return read.select("seq", "certname", F.when(unread, F.col("reason")).otherwise("read").alias("admission"), F.when(unread, F.col("status")).alias("status"))
+
+
 @registered(
     """WITH pushes AS (SELECT 'c' || o_custkey AS certname, o_orderdate AS ts, o_orderkey, o_orderstatus, o_orderpriority FROM orders),
 applied AS (SELECT certname, ts, arg_min(o_orderstatus, o_orderkey) AS s, arg_min(o_orderpriority, o_orderkey) AS p FROM pushes GROUP BY certname, ts),

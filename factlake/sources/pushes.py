@@ -10,7 +10,7 @@ from factlake.functions.classify import Policy
 from factlake.functions.flatten import flat_column
 from factlake.functions.times import utc
 from factlake.functions.values import decode, members
-from factlake.model import PUSH, Settings
+from factlake.model import PUSH, REQUEST, Settings
 
 STATUSES = {"builtin": ("ok", "error"), "external": ("ok", "error", "absent")}
 
@@ -27,6 +27,17 @@ def stream_pushes(spark: SparkSession, path: str, kind: str = "parquet", files_p
     return spark.readStream.schema(PUSH).option("maxFilesPerTrigger", files_per_trigger).format(kind).load(path)
 
 
+def read_requests(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
+    """Pushes as they came in: identity, order, time and the body as text, one file for each span of arrivals."""
+    return spark.read.schema(REQUEST).format(kind).load(path)
+
+
+def stream_requests(spark: SparkSession, path: str, kind: str = "json", files_per_trigger: int = 1) -> DataFrame:
+    """The same as a stream that takes files whole, so many a batch, in the order they were
+    written. Which files were taken lies in the query's checkpoint, where a restart goes on."""
+    return spark.readStream.schema(REQUEST).option("maxFilesPerTrigger", files_per_trigger).format(kind).load(path)
+
+
 def _body(text: str | None) -> tuple:
     """(stamp, tree, builtin, external) of a body; ValueError for what isn't one.
 
@@ -64,19 +75,22 @@ def _bodies(texts: pa.Array) -> pa.StructArray:
 def decode_bodies(raw: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Pushes from (certname, seq, received_at, body): the body as JSON text.
 
-    ``reason`` and ``status`` are set for a missing identity, a body over the cap and a body
-    that doesn't decode, in this order. Stamps are RFC 3339 to the letter, and UTC whatever the
+    ``reason`` and ``status`` are set for a missing identity, a push that was turned away
+    (``turned_away``, where there is such a column: see ``operators.admission``), a body over the
+    cap and a body that doesn't decode, in this order. What is turned away isn't read. Stamps are RFC 3339 to the letter, and UTC whatever the
     session's zone. No body can stop the job: what Python can't read is a bad request.
     """
     body = F.arrow_udf(lambda texts: _bodies(texts), BODY)
     large = F.octet_length("body") > settings.max_body_bytes
     nobody = F.col("certname").isNull() | (F.col("certname") == "")
     read = raw.withColumn("large", F.coalesce(large, F.lit(False))).withColumn("nobody", nobody)
-    read = read.withColumn("b", body(F.when(~F.col("large"), F.col("body"))))
-    first = lambda *codes: F.when(F.col("nobody"), codes[0]).when(F.col("large"), codes[1]).when(F.col("b.bad"), codes[2])
+    away = F.col("turned_away") if "turned_away" in raw.columns else F.lit(None).cast("string")
+    read = read.withColumn("away", away).withColumn("b", body(F.when(~F.col("large") & ~F.col("nobody") & F.col("away").isNull(), F.col("body"))))
+    first = lambda none, turned, large, bad: F.when(F.col("nobody"), none).when(F.col("away").isNotNull(), turned).when(F.col("large"), large).when(F.col("b.bad"), bad)
     return read.select(
         "certname", "seq", "received_at", "b.producer_ts", "b.tree", "b.builtin", "b.external",
-        first("no-client-cert", "oversized: snapshot-bytes", "bad-request").alias("reason"), first(403, 413, 400).alias("status"),
+        first("no-client-cert", F.col("away"), "oversized: snapshot-bytes", "bad-request").alias("reason"),
+        first(403, F.when(F.col("away") == "rate-limited", 429).otherwise(503), 413, 400).alias("status"),
     )
 
 
