@@ -15,7 +15,7 @@ from factlake.plans.compile import Facts, run
 from factlake.sources.adapters import event_pushes, order_pushes, table
 from factlake.sources.pushes import decode_bodies, plan_pushes, unread
 from factlake.sources.pushes import failing_sources as found_failing
-from factlake.sources.shared import fresh_path, spread
+from factlake.sources.shared import dealt, fresh_path
 from factlake.sources.store import FactStore
 from factlake.streaming.apply import stream_changes, write_changes
 from factlake.streaming.nodes import read_tables, stream_nodes, write_tables
@@ -617,7 +617,7 @@ def push_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first reason against each of many kinds of JSON bodies, by decoding, caps, flattening, discovery and classification."""
     limits = Settings(max_body_bytes=60_000, max_leaves=3, max_path_bytes=64, max_value_bytes=50_000)
     # a body is a hundred times an event, and events may lie in one row group
-    bodies = push_bodies(spread(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "event_id"))
+    bodies = push_bodies(dealt(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "event_id", each=4_000))
     planned = plan_pushes(decode_bodies(bodies, limits), Policy(("up", "up.*")), limits)
     sound = lambda c: F.when(F.col("reason").isNull(), c)
     return planned.select(

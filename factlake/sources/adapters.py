@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.sources.shared import importable
+from factlake.sources.shared import dealt, importable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +38,19 @@ def _planned(rows: DataFrame, leaves: list[Column], volatile: Column | None, key
     )
 
 
+def _dealt(rows: DataFrame, letter: str, number: str) -> DataFrame:
+    """With ``certname``, by which the rows are dealt while they are narrow, so that windows over the
+    pushes made of them need no exchange of leaves and digests."""
+    return dealt(rows.withColumn("certname", F.concat(F.lit(letter), F.col(number))), "certname")
+
+
 def event_pushes(events: DataFrame) -> DataFrame:
-    """A node for each user. Every 17th event's stamp is three days late, every 23rd's ten minutes
+    """A node for each user, dealt by node. Every 17th event's stamp is three days late, every 23rd's ten minutes
     early; error events are dirty passes; the band is missing for other than three types."""
     id = F.col("event_id")
     late, early = F.expr("ts - INTERVAL 3 DAYS"), F.expr("ts + INTERVAL 10 MINUTES")
-    rows = events.select(
-        F.concat(F.lit("u"), F.col("user_id")).alias("certname"), id.alias("seq"), F.col("ts").alias("received_at"),
+    rows = _dealt(events, "u", "user_id").select(
+        "certname", id.alias("seq"), F.col("ts").alias("received_at"),
         F.when(id % 17 == 5, late).when(id % 23 == 7, early).otherwise(F.col("ts")).alias("producer_ts"),
         (F.col("event_type") != "error").alias("clean"), "event_type", "value", "props",
     )
@@ -54,9 +60,9 @@ def event_pushes(events: DataFrame) -> DataFrame:
 
 
 def order_pushes(orders: DataFrame) -> DataFrame:
-    """A node for each customer; orders of one day arrive by key, and only the first is new."""
-    rows = orders.select(
-        F.concat(F.lit("c"), F.col("o_custkey")).alias("certname"), (F.unix_date(F.to_date("o_orderdate")) * F.lit(86_400_000_000) + F.col("o_orderkey")).alias("seq"), F.col("o_orderdate").alias("received_at"),
+    """A node for each customer, dealt by node; orders of one day arrive by key, and only the first is new."""
+    rows = _dealt(orders, "c", "o_custkey").select(
+        "certname", (F.unix_date(F.to_date("o_orderdate")) * F.lit(86_400_000_000) + F.col("o_orderkey")).alias("seq"), F.col("o_orderdate").alias("received_at"),
         F.col("o_orderdate").alias("producer_ts"), F.lit(True).alias("clean"), "o_orderstatus", "o_orderpriority",
     )
     return _planned(rows, [text_leaf("order.status", F.col("o_orderstatus")), text_leaf("order.priority", F.col("o_orderpriority"))], None)

@@ -315,3 +315,23 @@ def test_no_body_stops_a_job(spark):
 def test_a_tree_stays_the_text_that_it_is(spark):
     found = bodies(spark, ['{"Tree": {"b" : 1.00, "a":[ ]} , "producer_timestamp":null, "DISCOVERY":{"external":{"x":"ok"}}} tail'])[0]
     assert (found.tree, found.producer_ts, found.builtin, found.external, found.reason) == ('{"b" : 1.00, "a":[ ]}', None, {}, {"x": "ok"}, None)
+
+
+def test_a_task_holds_as_much_over_any_input(spark):
+    """Partitions go by rows, and what crosses the exchange is the table's own columns, not leaves with digests."""
+    from factlake.queries import QUERIES
+    from factlake.sources.shared import dealt
+
+    rows = spark.range(90).selectExpr("id", "id % 7 AS node")
+    assert dealt(rows, "id", each=20).rdd.getNumPartitions() == 5 and dealt(rows.limit(0), "id").rdd.getNumPartitions() == 1
+    for name in ("orders_by_nation", "groupby_now", "groupby_at_t", "filter_mixed_now", "groupby_volatile", "deactivate_seal"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name
+        below = plan[plan.rindex("REPARTITION_BY_NUM") :]
+        assert "sha2" not in below and "array(" not in below, name
+
+
+def test_intervals_take_no_grouping(spark):
+    planned = plan_pushes(pushes(spark, [("n", t1, '{"os":"A"}', "clean")]))
+    plan = intervals.fact_history(ingest.applied(ingest.push_outcomes(planned)))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort [") == 3
