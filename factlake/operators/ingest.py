@@ -24,8 +24,9 @@ def push_outcomes(planned: DataFrame, settings: Settings = Settings(), deactivat
     must be past, and whether the node is deactivated.
     """
     skew = F.lit(settings.max_skew)
-    node = Window.partitionBy("certname")
-    before = node.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    # both windows in one order, which is sorted for once
+    node = Window.partitionBy("certname").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = node.rowsBetween(Window.unboundedPreceding, -1)
     ts, received = F.col("producer_ts"), F.col("received_at")
     own = planned.withColumn("ahead", ts > received + skew).withColumn("behind", ts < received - skew)
     own = own.withColumn("sound", F.col("reason").isNull() & ~F.col("ahead"))
