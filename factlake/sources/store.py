@@ -26,7 +26,7 @@ from factlake.operators.carry import NODES, VOLATILE, Applied, Carried, apply_ba
 from factlake.operators.intervals import fact_paths
 from factlake.operators.reads import facts_at
 from factlake.plans.compile import Facts
-from factlake.sources.shared import fresh_path
+from factlake.sources.shared import kept
 
 LAYOUT = 2
 PATHS = "path string, fact_name string"
@@ -215,6 +215,7 @@ class FactStore:
         log = self.log()
         after = self.version() if log is not None else 0
         at, every = f"data/{uuid.uuid4().hex}", list(range(self.buckets))
+        history = kept(history, "history")  # four tables are made of it
         edges = history.groupBy("certname").agg(F.max(F.when(F.col("is_open"), F.col("valid_from"))).alias("open_from"), F.max(F.when(~F.col("is_open"), F.col("valid_to"))).alias("closed_to"))
         if "open_from" not in nodes.columns:
             nodes = nodes.join(edges, "certname", "left")

@@ -208,3 +208,22 @@ def test_a_whole_save_takes_the_place_of_all(spark, tmp_path):
     assert store.open().history.count() == 0 and store.open().nodes.count() == 1 and store.open(number=1).history.count() == 2
     os.makedirs(f"{tmp_path}/store/data/unfinished/nodes/bucket=0")
     assert store.version() == 2
+
+
+def test_a_saved_history_is_computed_once(spark, tmp_path):
+    from factlake.model import FOREVER, HISTORY
+    from factlake.operators.carry import NODES, VOLATILE
+
+    times = [dt.datetime(2026, 1, 1, h) for h in range(6)]
+    rows = [("n", f"p{i}", "p", "1", "number", bytes(32), times[i], times[i + 1] if i < 3 else FOREVER, i >= 3, "change" if i < 3 else None) for i in range(5)]
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    history = spark.createDataFrame(rows, HISTORY).mapInArrow(count, HISTORY)
+    store = FactStore(spark, f"file://{tmp_path}/s", buckets=2)
+    store.save(history, spark.createDataFrame([("n", None, None, times[4], None, None, None, None, 0)], NODES), spark.createDataFrame([], VOLATILE))
+    assert made.value == len(rows) and store.open().history.count() == len(rows) and store.paths().count() == len(rows)
