@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.utils import AnalysisException
@@ -28,6 +28,7 @@ NODE = "first_seen timestamp_ntz, last_seen timestamp_ntz, last_producer_ts time
 #: A change or reject (``node`` false), or what a node is after a batch.
 OUT = f"{CHANGES}, node boolean, {NODE}, volatile map<string, string>, volatile_key map<string, string>, observed_at timestamp_ntz"
 _OUT = [*(c.split()[0] for c in CHANGES.split(", ")), "node", *(c.split()[0] for c in NODE.split(", ")), "volatile", "volatile_key", "observed_at"]
+_ROW = Row(*_OUT)
 _EVENTS = ("open", "close", "tombstone", "seal")
 
 _EPOCH, _MICRO = dt.datetime(1970, 1, 1), dt.timedelta(microseconds=1)
@@ -43,7 +44,10 @@ def _time(number: int | None) -> dt.datetime | None:
 
 
 class NodeProcessor(StatefulProcessor):
-    """One node's pushes and control events, in arrival order, on its state."""
+    """One node's pushes and control events, in arrival order, on its state.
+
+    Rows come and go as rows: a frame for each of many small groups takes longer than their pushes.
+    """
 
     def __init__(self, settings: Settings = Settings(), timers: bool = False) -> None:
         self.settings, self.timers = settings, timers
@@ -68,20 +72,17 @@ class NodeProcessor(StatefulProcessor):
                 self.open.updateValue((path,), (held[0], _number(held[1])))
         self.node.update((state.known, _number(state.watermark), _number(state.deactivated), _number(state.last_closed), _number(seen["first"]), _number(seen["last"]), _number(seen["expired"]), seen["streak"]))
 
-    def _row(self, key, state: NodeState, seen: dict, latest: tuple = (None, None, None)) -> tuple:
-        return (key[0], *[None] * 8, True, seen["first"], seen["last"], state.watermark, state.deactivated, seen["expired"], seen["streak"], *latest)
+    def _row(self, key, state: NodeState, seen: dict, latest: tuple = (None, None, None)) -> Row:
+        return _ROW(key[0], *[None] * 8, True, seen["first"], seen["last"], state.watermark, state.deactivated, seen["expired"], seen["streak"], *latest)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        import pandas as pd
-
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "kind"])
         state, seen = self._load()
-        before, out, latest = dict(state.open), [], (None, None, None)
-        for row in batch.itertuples(index=False):
-            row = row._replace(**{c: None if (x := getattr(row, c)) is None or x != x else x.to_pydatetime() for c in ("at", "producer_ts")})
+        before, latest = dict(state.open), (None, None, None)
+        for row in sorted(rows, key=lambda row: (row.seq, row.kind)):
             known, shut = state.known, state.deactivated is not None
             changes = step(state, row, self.settings)
-            out += [(*c, False, *[None] * 9) for c in changes]
+            for change in changes:
+                yield _ROW(*change, False, *[None] * 9)
             if row.kind != "push":
                 continue
             outcome = changes[0][3] if changes and changes[0][3] not in _EVENTS else "applied"
@@ -94,8 +95,7 @@ class NodeProcessor(StatefulProcessor):
             self._save(state, seen, before)
             if self.timers:
                 self._expire_later(state, seen)
-            out.append(self._row(key, state, seen, latest))
-        yield pd.DataFrame(out, columns=_OUT)
+            yield self._row(key, state, seen, latest)
 
     def _expire_later(self, state: NodeState, seen: dict) -> None:
         for timer in list(self.handle.listTimers()):  # one call at a time goes through
@@ -104,15 +104,11 @@ class NodeProcessor(StatefulProcessor):
             self.handle.registerTimer(_number(seen["last"] + self.settings.expire_after) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
         state, seen = self._load()
-        out = []
         if state.deactivated is None and seen["expired"] is None:
             seen["expired"] = _time(timerValues.getCurrentProcessingTimeInMs() * 1000)
             self._save(state, seen, dict(state.open))
-            out.append(self._row(key, state, seen))
-        yield pd.DataFrame(out, columns=_OUT)
+            yield self._row(key, state, seen)
 
     def close(self) -> None:
         pass
@@ -129,7 +125,7 @@ def stream_nodes(planned: DataFrame, settings: Settings = Settings(), timers: bo
     kind = F.col("kind") if "kind" in planned.columns else F.lit("push")
     rows = planned.select("certname", "seq", kind.alias("kind"), F.col("received_at").alias("at"), "producer_ts", "reason", "clean", "durable", "volatile", "volatile_key")
     mode = "ProcessingTime" if timers else "None"
-    return rows.groupBy("certname").transformWithStateInPandas(statefulProcessor=NodeProcessor(settings, timers), outputStructType=OUT, outputMode="Append", timeMode=mode)
+    return rows.groupBy("certname").transformWithState(statefulProcessor=NodeProcessor(settings, timers), outputStructType=OUT, outputMode="Append", timeMode=mode)
 
 
 def write_tables(nodes: DataFrame, root: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
