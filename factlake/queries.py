@@ -164,11 +164,12 @@ def stream_node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _batched(spark: SparkSession, sf_dir: str) -> FactStore:
     """The events taken by a store in three batches, by arrival."""
-    pushes = event_pushes(table(spark, sf_dir, "events"))
-    first, last = pushes.agg(F.min("seq"), F.max("seq")).first()
+    events = table(spark, sf_dir, "events")
+    first, last = events.agg(F.min("event_id"), F.max("event_id")).first()
     store = FactStore(spark, fresh_path(spark, "store"), buckets=16)
     for k in range(3):
-        store.apply(pushes.filter(F.col("seq").between(first + (last - first + 1) * k // 3, first + (last - first + 1) * (k + 1) // 3 - 1)), f"part-{k}")
+        arrived = F.col("event_id").between(first + (last - first + 1) * k // 3, first + (last - first + 1) * (k + 1) // 3 - 1)
+        store.apply(event_pushes(events.filter(arrived)), f"part-{k}")
     return store
 
 

@@ -242,17 +242,13 @@ class FactStore:
         after = self.version() if self.log() is not None else 0
         at = f"data/{uuid.uuid4().hex}"
 
-        def keep(df: DataFrame, name: str) -> DataFrame:
-            path = fresh_path(self.spark, name)
-            df.write.parquet(path)
-            return self.spark.read.schema(df.schema).parquet(path)
-
         touched = self._touched(planned.filter("certname IS NOT NULL"))
-        done = apply_batch(planned, self._carried(after, touched), settings, keep)
+        done = apply_batch(planned, self._carried(after, touched), settings, kept)
         lines = [x for kind in REPLACED for x in self._write_replaced(kind, getattr(done.after, kind), at, touched)] if touched else []
         lines += self._write_closed(done.closed, at)
-        shown = done.outcomes.filter("outcome = 'applied'").select(F.inline("durable")).select("path", "fact_name")
-        self._commit(after, lines + self._write_paths(shown, after, at), batch or at)
+        # what applied pushes show lies in the intervals, which are fewer; carried ones are known already
+        shown = done.closed.unionByName(done.after.open)
+        self._commit(after, lines + self._write_paths(fact_paths(shown), after, at), batch or at)
         return done
 
     def _change_nodes(self, which: DataFrame, change: Callable[[Carried], tuple[Carried, DataFrame | None]]) -> int:
