@@ -2,9 +2,11 @@
 
 The encoding of a byte string ends in one token that is fixed by the encoding of what stands
 before it: ``t`` is the last token of ``p`` exactly if ``t`` is a suffix of ``p`` and the merges
-leave the pair (last token of ``p`` without ``t``, ``t``) as it is. So each trie node keeps one
+leave the pair (last token of ``p`` without ``t``, ``t``) as it is. So each trie node has one
 state, the last token of the prefix that it stands for, and shared prefixes are encoded once.
-A word's tokens are read by walking back from its node over the last tokens.
+A batch's words are taken in sorted order, which walks their trie depth first: only the nodes
+on the path to the present word are held. A word's tokens are read by walking back from its
+node over the last tokens.
 """
 
 from __future__ import annotations
@@ -91,28 +93,51 @@ LONG = 2000
 class PrefixTrie:
     """Encodes words of bytes; see the module text.
 
-    Nodes are numbers: ``child`` maps ``node << 8 | byte`` to a node, ``last`` and ``back`` hold
-    a node's last token and the node before that token. ``reach`` is the depth at which the
-    longest suffix starts that begins some token. At ``max_nodes`` the trie starts anew.
+    Of the nodes on the path to the present word, by depth, ``last`` holds the last tokens and
+    ``reach`` the longest suffixes that begin some token, by number. ``step`` maps
+    ``suffix << 8 | byte`` to the next suffix; ``ends`` has the tokens that a suffix ends in,
+    longest first, each with its length and with ``fits`` of it: whether it stands beside a left
+    neighbour as it is. All are filled as words need them; of pairs and steps about ``max_nodes``
+    are kept, and there are no more suffixes than the vocabulary's tokens have beginnings.
     """
 
-    def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]], max_nodes: int = 150_000) -> None:
+    def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]], max_nodes: int = 300_000) -> None:
         self.vocab, self.max_nodes = vocab, max_nodes
         self.bytes_of = {i: b for b, i in vocab.items()}
+        self.size = {i: len(b) for b, i in vocab.items()}
         self.starts = {b[:n] for b in vocab for n in range(1, len(b) + 1)}
         self.rank = {a << 20 | b: r for (a, b), (r, _) in merges.items()}
         self.made = {t: (r, a, b) for (a, b), (r, t) in merges.items()}
         self.right: dict[int, list[tuple[int, float]]] = {}
         self.left: dict[int, list[tuple[int, float]]] = {}
-        self.fits: dict[int, bool] = {}
+        self.fits: dict[int, dict[int, bool]] = {}
         self.sound: dict[int, bool] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.last, self.back, self.reach = [-1], [-1], [0]
-        if len(self.fits) > self.max_nodes:
-            self.fits.clear()
+        self.step: dict[int, int] = {}
+        self.number, self.suffix = {b"": 0}, [b""]
+        self.ends: list[list[tuple[int, int, dict[int, bool]]]] = [[]]
+        self.last, self.reach = [-1], [0]
+
+    def trim(self) -> None:
+        if sum(map(len, self.fits.values())) > self.max_nodes:
+            for pairs in self.fits.values():  # in place: ``ends`` holds them too
+                pairs.clear()
+        if len(self.step) > self.max_nodes:
+            self.step.clear()
+
+    def _next(self, key: int) -> int:
+        """The suffix that follows on ``suffix << 8 | byte``."""
+        text = self.suffix[key >> 8] + bytes((key & 255,))
+        while text and text not in self.starts:
+            text = text[1:]
+        found = self.number.get(text)
+        if found is None:
+            found = self.number[text] = len(self.suffix)
+            self.suffix.append(text)
+            tokens = [self.vocab.get(text[i:]) for i in range(len(text))]
+            # a token that the merges don't make of its own bytes is no prefix's last one
+            self.ends.append([(self.size[t], t, self.fits.setdefault(t, {})) for t in tokens if t is not None and self._alone(t)])
+        self.step[key] = found
+        return found
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """What stands at a token's edge while it is being merged, each with the rank of the
@@ -153,89 +178,83 @@ class PrefixTrie:
                 return True
 
     def encode(self, words: Iterable[bytes]) -> list[tuple[int, ...]]:
-        """Tokens of each word. In sorted order the words walk the trie depth first."""
+        """Tokens of each word. In sorted order the words walk their trie depth first."""
         out = []
-        vocab, starts, fits = self.vocab, self.starts, self.fits
+        self.trim()
+        step, ends, size = self.step, self.ends, self.size
+        last, reach, before = [-1], [0], b""
         for word in words:
             if len(word) > LONG:
                 out.append(self.encode_alone(word))
                 continue
-            if len(self.last) > self.max_nodes:
-                self.clear()
-            child, last, back, reach = self.child, self.last, self.back, self.reach
-            path = [0]
-            node = 0
-            for depth, byte in enumerate(word, 1):
-                key = node << 8 | byte
-                found = child.get(key)
-                if found is None:
-                    start = reach[node]
-                    while word[start:depth] not in starts:
-                        start += 1
-                    found = child[key] = len(last)
-                    reach.append(start)
-                    while True:
-                        token = vocab.get(word[start:depth])
-                        if token is not None:
-                            before = path[start]
-                            if before:
-                                pair = last[before] << 20 | token
-                                fit = fits.get(pair)
-                                if fit is None:
-                                    fit = fits[pair] = self._alone(token) and self._meet(last[before], token)
-                            else:
-                                fit = self._alone(token)
-                            if fit:
-                                break
-                        start += 1
-                        if start == depth:
-                            raise ValueError("the vocabulary lacks a byte")
-                    last.append(token)
-                    back.append(before)
-                node = found
-                path.append(node)
+            depth = 0
+            for a, b in zip(word, before):
+                if a != b:
+                    break
+                depth += 1
+            del last[depth + 1 :], reach[depth + 1 :]
+            suffix = reach[depth]
+            for byte in word[depth:]:
+                depth += 1
+                key = suffix << 8 | byte
+                suffix = step.get(key)
+                if suffix is None:
+                    suffix = self._next(key)
+                for n, token, fits in ends[suffix]:
+                    if n == depth:
+                        break
+                    left = last[depth - n]
+                    fit = fits.get(left)
+                    if fit is None:
+                        fit = fits[left] = self._meet(left, token)
+                    if fit:
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+                last.append(token)
+                reach.append(suffix)
+            before = word
             tokens = []
-            while node:
-                tokens.append(last[node])
-                node = back[node]
+            while depth:
+                token = last[depth]
+                tokens.append(token)
+                depth -= size[token]
             out.append(tuple(tokens[::-1]))
+        self.last, self.reach = last, reach
         return out
 
     def encode_alone(self, word: bytes) -> tuple[int, ...]:
         """Tokens of a word that gets no nodes: four bytes for each of its bytes, and no more."""
-        vocab, starts, fits = self.vocab, self.starts, self.fits
-        last, reach = array("i", bytes(4 * len(word) + 4)), 0
-        for depth in range(1, len(word) + 1):
-            while word[reach:depth] not in starts:
-                reach += 1
-            start = reach
-            while True:
-                token = vocab.get(word[start:depth])
-                if token is not None:
-                    if start:
-                        pair = last[start] << 20 | token
-                        fit = fits.get(pair)
-                        if fit is None:
-                            fit = fits[pair] = self._alone(token) and self._meet(last[start], token)
-                    else:
-                        fit = self._alone(token)
-                    if fit:
-                        break
-                start += 1
-                if start == depth:
-                    raise ValueError("the vocabulary lacks a byte")
+        step, ends = self.step, self.ends
+        last, suffix = array("i", bytes(4 * len(word) + 4)), 0
+        for depth, byte in enumerate(word, 1):
+            key = suffix << 8 | byte
+            suffix = step.get(key)
+            if suffix is None:
+                suffix = self._next(key)
+            for n, token, fits in ends[suffix]:
+                if n == depth:
+                    break
+                left = last[depth - n]
+                fit = fits.get(left)
+                if fit is None:
+                    fit = fits[left] = self._meet(left, token)
+                if fit:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
             last[depth] = token
         tokens, at = array("i"), len(word)
         while at:
             tokens.append(last[at])
-            at -= len(self.bytes_of[last[at]])
+            at -= self.size[last[at]]
         return tuple(tokens[::-1])
 
 
 class ByteBpe:
     """Encoder and decoder for a tokenizer file with byte-level BPE."""
 
-    def __init__(self, path: str, max_words: int = 100_000) -> None:
+    def __init__(self, path: str, max_words: int = 200_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -261,6 +280,7 @@ class ByteBpe:
         self.pieces = Pieces(list(self.special), self._library_split)
         self.max_words = max_words
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.long: list[str] = []  # those that aren't kept after their batch
 
     def _library_split(self, text: str) -> list[str]:
@@ -271,13 +291,21 @@ class ByteBpe:
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Encodes the distinct words that aren't known yet, in one walk of the trie."""
-        if len(self.known) > self.max_words:
-            self.known.clear()
-        new = sorted(map(str.encode, set(pieces).difference(self.known)))
+        """Encodes the distinct words that aren't known yet, in one walk of the trie.
+
+        The table has two halves. When the newer one is full the older one goes, without those of
+        its words that were used meanwhile: so a common word is encoded once.
+        """
+        if len(self.known) > self.max_words // 2:
+            self.known, self.older = {}, self.known
+        new = set(pieces).difference(self.known)
+        again = self.older.keys() & new
+        self.known.update((w, self.older[w]) for w in again)
+        words = sorted(new - again)
+        data = list(map(str.encode, words))
         digits = self.digits.__getitem__
-        self.long += [w.decode() for w in new if len(w) > LONG]
-        self.known.update((w.decode(), ",".join(map(digits, ids))) for w, ids in zip(new, self.trie.encode(new)))
+        self.long += [w for w, b in zip(words, data) if len(b) > LONG]
+        self.known.update((w, ",".join(map(digits, ids))) for w, ids in zip(words, self.trie.encode(data)))
 
     def encode_batch(self, texts: list[str]) -> list[str]:
         """Each text's ids in decimal, joined by commas."""

@@ -86,6 +86,24 @@ def test_encoder_with_tiny_memory_gives_the_same():
     assert [small.encode_batch([t])[0] for t in texts] == whole.encode_batch(texts)
 
 
+def test_words_in_use_are_encoded_once():
+    """A full word table drops what isn't used, so words of every batch don't reach the trie again."""
+    encoder, reached = bpe.ByteBpe(PATH, max_words=40), []
+    encode = encoder.trie.encode
+    encoder.trie.encode = lambda words: reached.extend(words := list(words)) or encode(words)
+    for i in range(30):
+        encoder.encode_batch(["common words stay" + "".join(f" rare{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(10))])
+    assert [reached.count(w) for w in (b"common", b" words", b" stay")] == [1, 1, 1]
+    assert len(encoder.known) + len(encoder.older) < 80
+
+
+def test_the_trie_holds_the_path_to_the_last_word():
+    """Shared prefixes are walked once: of sorted words only what they don't share takes steps."""
+    trie, words = bpe.ByteBpe(PATH).trie, sorted(f" prefix{a}{b}".encode() for a in "abcdefgh" for b in "abcdefgh")
+    alone = [trie.encode_alone(w) for w in words]
+    assert trie.encode(words) == alone and len(trie.last) == len(words[-1]) + 1
+
+
 def test_long_words_get_no_nodes():
     """A blob without spaces is encoded as the library does, in few nodes, and isn't kept."""
     rng = np.random.default_rng(11)
