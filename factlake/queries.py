@@ -15,7 +15,7 @@ from factlake.plans.compile import Facts, run
 from factlake.sources.adapters import event_pushes, order_pushes, table
 from factlake.sources.pushes import decode_bodies, plan_pushes, unread
 from factlake.sources.pushes import failing_sources as found_failing
-from factlake.sources.shared import dealt, fresh_path
+from factlake.sources.shared import dealt, fresh_path, kept
 from factlake.sources.store import FactStore
 from factlake.streaming.apply import stream_changes, write_changes
 from factlake.streaming.nodes import read_tables, stream_nodes, write_tables
@@ -452,7 +452,7 @@ SELECT history.certname, path, value, valid_from, coalesce(valid_to, seal) AS va
 )
 def deactivate_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes that have gone silent are sunset for good."""
-    nodes = _nodes(spark, sf_dir)
+    nodes = kept(_nodes(spark, sf_dir), "nodes")
     _, sealed = lifecycle.deactivate(nodes, _history(spark, sf_dir), nodes.filter("expired IS NOT NULL"), AT)
     return sealed.select("certname", "path", "value", "valid_from", F.when(~F.col("is_open"), F.col("valid_to")).alias("valid_to"), "is_open", "ended_by")
 

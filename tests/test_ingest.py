@@ -331,6 +331,14 @@ def test_a_task_holds_as_much_over_any_input(spark):
         assert "sha2" not in below and "array(" not in below, name
 
 
+def test_a_seal_takes_the_node_table_from_disk(spark):
+    """No task holds the windows of the node table beside those of the history."""
+    from factlake.queries import QUERIES
+
+    plan = QUERIES["deactivate_seal"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "nodes-" in plan
+
+
 def test_intervals_take_no_grouping(spark):
     planned = plan_pushes(pushes(spark, [("n", t1, '{"os":"A"}', "clean")]))
     plan = intervals.fact_history(ingest.applied(ingest.push_outcomes(planned)))._jdf.queryExecution().executedPlan().toString()
