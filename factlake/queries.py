@@ -62,6 +62,13 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
     return Facts(_history(spark, sf_dir), _nodes(spark, sf_dir), ingest.volatile_table(_outcomes(spark, sf_dir)), POLICY)
 
 
+def _answer(spark: SparkSession, sf_dir: str, text: str, include_inactive: bool = False) -> DataFrame:
+    """Of a query over these facts. What is latest of each node, a row, is written and read, so that
+    no task holds its windows beside those of the history."""
+    nodes = kept(_nodes(spark, sf_dir), "nodes")
+    return run(Facts(_history(spark, sf_dir), nodes, ingest.volatile_table(_outcomes(spark, sf_dir)), POLICY), text, include_inactive)
+
+
 def _shown(history: DataFrame, *more: str) -> DataFrame:
     end = F.when(~F.col("is_open"), F.col("valid_to")).alias("valid_to")
     return history.select("certname", "path", "fact_name", "value", "valid_from", end, "is_open", *more)
@@ -377,37 +384,37 @@ _ACTIVE = " SELECT certname FROM nodes WHERE expired IS NULL AND certname IN ({}
 
 @registered(_ALL + _ACTIVE.format(_has("event.type", "click")))
 def filter_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(facts(spark, sf_dir), "event.type=click")
+    return _answer(spark, sf_dir, "event.type=click")
 
 
 @registered(_ALL + _ACTIVE.format(_has("event.type", "purchase") + " INTERSECT " + _has("event.band", "mid")))
 def filter_and_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(facts(spark, sf_dir), "event.type='purchase' event.band=mid")
+    return _answer(spark, sf_dir, "event.type='purchase' event.band=mid")
 
 
 @registered(_ALL + _ACTIVE.format(_has("event.type", "view", _THEN)))
 def filter_at_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(facts(spark, sf_dir), f"event.type=view at {AT.isoformat()}Z")
+    return _answer(spark, sf_dir, f"event.type=view at {AT.isoformat()}Z")
 
 
 @registered(_ALL + " SELECT certname FROM nodes WHERE certname IN (" + _has("event.type", "click") + ")")
 def filter_include_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(facts(spark, sf_dir), "event.type=click", include_inactive=True)
+    return _answer(spark, sf_dir, "event.type=click", include_inactive=True)
 
 
 @registered(_ALL + _ACTIVE.format(_has("no.such.path", "x")))
 def filter_unknown_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(facts(spark, sf_dir), "no.such.path=x")
+    return _answer(spark, sf_dir, "no.such.path=x")
 
 
 @registered(_ALL + _ACTIVE.format("SELECT certname FROM volatile WHERE CAST(k AS DOUBLE) = 42"))
 def filter_volatile_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(facts(spark, sf_dir), "props.k=42.0")
+    return _answer(spark, sf_dir, "props.k=42.0")
 
 
 @registered(_ALL + _ACTIVE.format("SELECT certname FROM volatile WHERE CAST(k AS DOUBLE) = 69 INTERSECT " + _has("event.type", "error")))
 def filter_mixed_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(facts(spark, sf_dir), "event.type=error props.k=69.0")
+    return _answer(spark, sf_dir, "event.type=error props.k=69.0")
 
 
 def _group(path: str, where: str, when: str) -> str:
@@ -416,17 +423,17 @@ def _group(path: str, where: str, when: str) -> str:
 
 @registered(_ALL + _group("event.band", _has("event.type", "click"), "is_open"))
 def groupby_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(facts(spark, sf_dir), "event.band where event.type=click group by event.band")
+    return _answer(spark, sf_dir, "event.band where event.type=click group by event.band")
 
 
 @registered(_ALL + _group("event.type", _has("event.band", "high", _THEN), _THEN))
 def groupby_at_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(facts(spark, sf_dir), f"event.type where event.band=high group by event.type at {AT.isoformat()}+00:00")
+    return _answer(spark, sf_dir, f"event.type where event.band=high group by event.type at {AT.isoformat()}+00:00")
 
 
 @registered(_ALL + " SELECT k AS value, count(*) AS count FROM volatile JOIN nodes USING (certname) WHERE expired IS NULL AND certname IN (" + _has("event.type", "view") + ") GROUP BY k")
 def groupby_volatile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(facts(spark, sf_dir), "props.k where event.type=view group by props.k")
+    return _answer(spark, sf_dir, "props.k where event.type=view group by props.k")
 
 
 @registered(_ALL + " SELECT certname, k, observed_at FROM volatile")

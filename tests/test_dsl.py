@@ -107,6 +107,13 @@ def test_groups(facts):
     assert ask(facts, "n where tier=old group by n") == []
 
 
+def test_a_group_takes_terms_of_all_kinds(facts):
+    assert ask(facts, "kernel.build where n=1.0 tier=gold uptime=12345 group by kernel.build") == [('"elm"', 1)]
+    assert ask(facts, "kernel.build where uptime=7 group by kernel.build") == [('"oak"', 1)]
+    assert ask(facts, "kernel.build where kernel.build=elm group by kernel.build at 2026-01-01T10:30:00Z") == [('"elm"', 2)]
+    assert ask(facts, "tier where tier=gold tier=iron group by tier", include_inactive=True) == []
+
+
 def test_query_limits(facts):
     for text, error in ((None, BadQuery), ("", BadQuery), ("a=" + "x" * 9000, QueryTooLong)):
         with pytest.raises(error):

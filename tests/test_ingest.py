@@ -339,6 +339,15 @@ def test_a_seal_takes_the_node_table_from_disk(spark):
     assert plan.count("REPARTITION_BY_NUM") == 2 and "nodes-" in plan
 
 
+def test_a_query_computes_the_history_once_and_takes_the_nodes_from_disk(spark):
+    """Two exchanges of events: of the history, and of the node table before it was written."""
+    from factlake.queries import QUERIES
+
+    for name in ("groupby_at_t", "groupby_now", "filter_at_t"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") == 1 and "nodes-" in plan, name
+
+
 def test_intervals_take_no_grouping(spark):
     planned = plan_pushes(pushes(spark, [("n", t1, '{"os":"A"}', "clean")]))
     plan = intervals.fact_history(ingest.applied(ingest.push_outcomes(planned)))._jdf.queryExecution().executedPlan().toString()
