@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.model import Settings
@@ -64,17 +64,22 @@ def ingest_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome", "status").agg(F.count("*").alias("pushes"))
 
 
+def _contacts(outcomes: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(pushes of nodes that exist, which of them are applied, which are contacts)."""
+    ok = F.col("outcome") == "applied"
+    first = F.min(F.when(ok, F.col("seq"))).over(Window.partitionBy("certname"))
+    contact = ok | (~F.col("outcome").isin(*UNREAD, "deactivated") & (F.col("seq") > F.col("first_seq")))
+    return outcomes.withColumn("first_seq", first).filter(F.col("first_seq").isNotNull()), ok, contact
+
+
 def node_table(outcomes: DataFrame) -> DataFrame:
     """(certname, first_seen, last_seen, last_producer_ts, deactivated, expired) by node.
 
     A node exists from its first applied push. Later rejects are contacts too, but for those
     that are turned away before they are read or come after a deactivation.
     """
-    ok = F.col("outcome") == "applied"
-    first = F.min(F.when(ok, F.col("seq"))).over(Window.partitionBy("certname"))
-    contact = ok | (~F.col("outcome").isin(*UNREAD, "deactivated") & (F.col("seq") > F.col("first_seq")))
     none = F.lit(None).cast("timestamp_ntz")
-    nodes = outcomes.select("certname", "seq", "received_at", "producer_ts", "outcome").withColumn("first_seq", first).filter(F.col("first_seq").isNotNull())
+    nodes, ok, contact = _contacts(outcomes.select("certname", "seq", "received_at", "producer_ts", "outcome"))
     return nodes.groupBy("certname").agg(
         F.min(F.when(ok, F.col("received_at"))).alias("first_seen"), F.max(F.when(contact, F.col("received_at"))).alias("last_seen"),
         F.max(F.when(ok, F.col("producer_ts"))).alias("last_producer_ts"),
@@ -85,3 +90,18 @@ def volatile_table(outcomes: DataFrame) -> DataFrame:
     """(certname, volatile, volatile_key, observed_at): the last applied push's, whole."""
     last = F.max_by(F.struct("volatile", "volatile_key"), "producer_ts")
     return applied(outcomes).groupBy("certname").agg(last.alias("last"), F.max("producer_ts").alias("observed_at")).select("certname", "last.volatile", "last.volatile_key", "observed_at")
+
+
+def latest_table(outcomes: DataFrame) -> DataFrame:
+    """``node_table`` with the columns of ``volatile_table``: of each node the last applied push,
+    with what windows say of all. The pushes are gone through once, and no map is aggregated."""
+    none = F.lit(None).cast("timestamp_ntz")
+    nodes, ok, contact = _contacts(outcomes)
+    over = lambda x: x.over(Window.partitionBy("certname"))
+    nodes = nodes.select(
+        "certname", over(F.min(F.when(ok, F.col("received_at")))).alias("first_seen"), over(F.max(F.when(contact, F.col("received_at")))).alias("last_seen"),
+        over(F.max(F.when(ok, F.col("producer_ts")))).alias("last_producer_ts"), none.alias("deactivated"), none.alias("expired"),
+        "volatile", "volatile_key", F.col("producer_ts").alias("observed_at"), ok.alias("ok"),
+    )
+    # of applied pushes each is later than those before
+    return nodes.filter(F.col("ok") & (F.col("observed_at") == F.col("last_producer_ts"))).drop("ok")

@@ -12,6 +12,7 @@ from factlake.functions.classify import Policy
 from factlake.model import PLANNED, NodeNotFound, Settings
 from factlake.operators import admission, carry, ingest, intervals, lifecycle, metrics, monitor, reads
 from factlake.plans.compile import Facts, run
+from factlake.plans.dsl import parse
 from factlake.sources.adapters import event_pushes, order_pushes, table
 from factlake.sources.pushes import decode_bodies, plan_pushes, unread
 from factlake.sources.pushes import failing_sources as found_failing
@@ -65,8 +66,9 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
 def _answer(spark: SparkSession, sf_dir: str, text: str, include_inactive: bool = False) -> DataFrame:
     """Of a query over these facts. What is latest of each node, a row, is written and read, so that
     no task holds its windows beside those of the history."""
-    nodes = kept(_nodes(spark, sf_dir), "nodes")
-    return run(Facts(_history(spark, sf_dir), nodes, ingest.volatile_table(_outcomes(spark, sf_dir)), POLICY), text, include_inactive)
+    latest = ingest.latest_table if any(map(POLICY.is_volatile, parse(text).paths)) else ingest.node_table
+    nodes = kept(lifecycle.expire_stale(latest(_outcomes(spark, sf_dir)), AS_OF, SILENT), "nodes")
+    return run(Facts(_history(spark, sf_dir), nodes, nodes, POLICY), text, include_inactive)
 
 
 def _shown(history: DataFrame, *more: str) -> DataFrame:

@@ -343,11 +343,21 @@ def test_a_query_computes_the_history_once_and_takes_the_nodes_from_disk(spark):
     """Two exchanges of events: of the history, and of the node table before it was written."""
     from factlake.queries import QUERIES
 
-    for name in ("groupby_at_t", "groupby_now", "filter_at_t"):
+    for name in ("groupby_at_t", "groupby_now", "groupby_volatile", "filter_mixed_now", "filter_at_t"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("REPARTITION_BY_NUM") == 1 and "nodes-" in plan, name
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_the_latest_table_is_the_node_table_with_the_volatile_one(spark, seed):
+    planned = plan_pushes(pushes(spark, random_rows(seed)), Policy(("vol",)))
+    outcomes = ingest.push_outcomes(planned, deactivations=spark.createDataFrame([("n1", 200), ("n2", 100)], "certname string, seq bigint")).cache()
+    shown = lambda df: sorted(map(repr, df.withColumns({c: F.map_entries(c) for c in ("volatile", "volatile_key")}).collect()))
+    latest = ingest.latest_table(outcomes)
+    expected = ingest.node_table(outcomes).join(ingest.volatile_table(outcomes), "certname").select(latest.columns)
+    assert shown(latest) == shown(expected) and latest.count() > 0
+
+
 def test_intervals_take_no_grouping(spark):
     planned = plan_pushes(pushes(spark, [("n", t1, '{"os":"A"}', "clean")]))
     plan = intervals.fact_history(ingest.applied(ingest.push_outcomes(planned)))._jdf.queryExecution().executedPlan().toString()
