@@ -95,7 +95,10 @@ def plan(facts: Facts, query: Query, include_inactive: bool = False) -> DataFram
     _check(query, facts.policy)
     nodes = active(facts.nodes, include_inactive).select("certname")
     if query.group_field is None:
-        return nodes.join(members(facts, query), "certname", "left_semi").orderBy("certname")
+        # an order is found by a sample, which without an exchange below would compute all of it twice;
+        # few partitions, as a task of the exchange opens a file for each
+        few = nodes.sparkSession.sparkContext.defaultParallelism
+        return nodes.join(members(facts, query), "certname", "left_semi").hint("rebalance", few, "certname").orderBy("certname")
     if facts.policy.is_volatile(query.group_field):
         name = F.lit(query.group_field)
         rows = facts.volatile.filter(F.map_contains_key("volatile_key", name)).join(nodes, "certname", "left_semi").join(members(facts, query), "certname", "left_semi")

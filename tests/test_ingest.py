@@ -348,6 +348,16 @@ def test_a_query_computes_the_history_once_and_takes_the_nodes_from_disk(spark):
         assert plan.count("REPARTITION_BY_NUM") == 1 and "nodes-" in plan, name
 
 
+def test_a_filter_is_computed_once_for_its_order(spark):
+    """The sample of an order by ranges is taken from an exchange, not from the whole job."""
+    from factlake.queries import QUERIES
+
+    for name in ("filter_mixed_now", "filter_now"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        above = plan[plan.index("rangepartitioning") : plan.index("Join")]
+        assert "REBALANCE_PARTITIONS_BY_COL" in above, name
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_the_latest_table_is_the_node_table_with_the_volatile_one(spark, seed):
     planned = plan_pushes(pushes(spark, random_rows(seed)), Policy(("vol",)))
